@@ -447,12 +447,12 @@ def pages_of(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     page = F.col("headers")[PAGE].cast("long").alias("page_id")
     kind = F.col("record_type")
-    scan = spark.read.format("warc").load(path)
-    responses = scan.where(kind == "response").select(
+    # Loaded twice: filters pushed to one loaded source would hold for every use of it.
+    responses = spark.read.format("warc").load(path).where(kind == "response").select(
         page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), kind,
         F.lit(None).cast("long").alias("refers_to"),
     )
-    revisits = scan.where(kind == "revisit").select(
+    revisits = spark.read.format("warc").load(path).where(kind == "revisit").select(
         page, F.col("headers")[PAYLOAD_BYTES].cast("long").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), kind,
         F.col("headers")[FIRST_PAGE].cast("long").alias("refers_to"),
     )
