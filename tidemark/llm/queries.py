@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, near_dedup, packing, quality_rules, sql, warc
+import corpus_pipeline
+from tidemark.llm import chats, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, sql, token_counts, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,22 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render(read(spark, sf_dir, "conversations"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -34,9 +51,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pack_sequences, op3_near_duplicates, op4_warc, op9_mix_sources, op10_quality_rules]
-    return {f.__name__: f for f in found}
+    found = [op1_pack_sequences, op3_near_duplicates, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_collapse, op8_shards, op9_mix_sources, op10_quality_rules]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.OP4, "op9_mix_sources": sql.op9(), "op10_quality_rules": sql.op10()}
+    return {"op4_warc": sql.OP4, "op7_chat_collapse": sql.OP7, "op9_mix_sources": sql.op9(), "op10_quality_rules": sql.op10()}

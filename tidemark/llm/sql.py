@@ -17,6 +17,19 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+OP7 = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text FROM conversations),
+c AS (
+  SELECT conv_id, count(*) AS n, list(md5(concat(role IS NULL, '|', role, '|', text IS NULL, '|', text)) ORDER BY place) AS marks,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) ORDER BY place) AS text
+  FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT marks[1:k] AS marks FROM (SELECT marks, unnest(range(1, n)) AS k FROM c)),
+e AS (SELECT marks, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY marks)
+SELECT c.conv_id, c.n::BIGINT AS n_turns, e.n_equal, c.text
+FROM e JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.marks NOT IN (SELECT marks FROM p)
+"""
+
+
 def op9() -> str:
     first, second, third = mixing.WEIGHTS
     return f"""
