@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from("abc '\x1c\x1f\x85\xa0́Σ漢İ 'sll"), st.characters())))
+@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from("abc '\x1c\x1f\x85\xa0́Σ漢İ 'sll"), st.characters(exclude_categories=["Cs"]))))
 def test_ids_are_those_of_the_library(text):
     encoder = _encoder()
     assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

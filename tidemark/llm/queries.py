@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chats, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, sql, token_counts, warc
+from tidemark.llm import chats, chroma, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, sql, token_counts, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each vector of embeddings is rendered as a recording, a tone per number."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), "embedding")
+    return chroma.search(vectors, chroma.render_tones(F.col("embedding")), F.col("rec_id") % 20 == 0)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(read(spark, sf_dir, "documents"), size=2)
 
@@ -51,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pack_sequences, op3_near_duplicates, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_collapse, op8_shards, op9_mix_sources, op10_quality_rules]
+    found = [op1_pack_sequences, op2_chroma_fingerprints, op3_near_duplicates, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_collapse, op8_shards, op9_mix_sources, op10_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -1,25 +1,42 @@
 """Ids of the word-level BPE vocabulary.
 
 White space ends every word of this vocabulary, and none of the tokenizer's steps looks past it.
-So the ids of a text are those of its white-space-separated chunks in order. Each worker encodes
-chunks that it has not met by the tokenizers library and keeps their ids. Only U+001C to U+001F
+So the ids of a text are those of its white-space-separated chunks in order. Only U+001C to U+001F
 are white space to str.split() and not to the tokenizer; texts with those are encoded whole.
+
+Each worker keeps the ids of chunks that it has met. A new chunk of common letters, where the
+tokenizer's normalizer does nothing but lower-case, is split by the tokenizer's own pattern, and
+each new piece goes straight to its BPE model; any other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Distinct chunks whose ids a Python worker keeps, and characters of the texts looked at together.
-KEPT_CHUNKS = 600_000
+#: Distinct chunks, and pieces, whose ids a Python worker keeps; characters of the texts looked at together.
+KEPT = 500_000
 TOGETHER = 1_000_000
 #: Chunks longer than this are not kept.
 LONG_CHUNK = 64
+#: Below this code point no character changes under NFC.
+PLAIN = 0x250
+
+
+def _class(chars: list[str]) -> str:
+    return "".join(re.escape(c) for c in chars)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the model: itself if printable, else the next free one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordBpe:
@@ -27,8 +44,17 @@ class WordBpe:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        plain = [chr(i) for i in range(PLAIN)]
+        spaces = _class([c for c in plain if c in "\t\n\x0b\x0c\r \x85\xa0"])
+        words = _class([c for c in plain if unicodedata.category(c)[0] == "L"])
+        numbers = _class([c for c in plain if unicodedata.category(c)[0] == "N"])
         self.odd = re.compile("[\x1c-\x1f]")
+        self.other = re.compile(f"[^{_class(plain)}]|<\\|")
+        self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{words}]+|[{numbers}]|[^{spaces}{words}{numbers}]+")
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -37,29 +63,37 @@ class WordBpe:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.chunks) + len(new) > KEPT_CHUNKS:
-            self.chunks.clear()
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.chunks[chunk] = self._bytes(found.ids)
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        if not shown.isprintable():
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        found = self.pieces[piece] = self._bytes([t.id for t in self.model.tokenize(shown)])
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if self.other.search(chunk) or self.other.search(low):
+            return self._whole(chunk)
+        known = self.pieces
+        return b"".join([known.get(p) or self._piece(p) for p in self.piece.findall(low)])
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         split = [None if self.odd.search(t) else t.split() for t in texts]
-        wanted = {c for s in split if s for c in s}
-        new = [c for c in wanted if c not in self.chunks and len(c) <= LONG_CHUNK]
-        if new and len(self.chunks) + len(new) > KEPT_CHUNKS:
-            self.chunks.clear()
-            new = [c for c in wanted if len(c) <= LONG_CHUNK]
-        self._learn(new)
-        get = self.chunks.__getitem__
+        for kept in (self.chunks, self.pieces):
+            if len(kept) > KEPT:
+                kept.clear()
+        known = self.chunks
         for text, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 yield self._whole(text)
                 continue
             try:
-                yield b"".join(map(get, chunks))
+                yield b"".join(map(known.__getitem__, chunks))
             except KeyError:
-                yield b"".join(self.chunks.get(c) if len(c) <= LONG_CHUNK else self._whole(c) for c in chunks)
+                for c in chunks:
+                    if c not in known and len(c) <= LONG_CHUNK:
+                        known[c] = self._chunk(c)
+                yield b"".join([known[c] if c in known else self._whole(c) for c in chunks])
 
     def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
         group: list[str] = []
