@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, ready
 
@@ -144,12 +145,12 @@ def tones(values: np.ndarray, seconds: float = 0.125) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def render_tones(values: pd.Series) -> pd.Series:
     return pd.Series([tones(v if v is not None else []) for v in values])
 
 
-@F.pandas_udf("codes array<long>, sounds array<boolean>")
+@F.pandas_udf(T.StructType([T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("sounds", T.ArrayType(T.BooleanType()))]))
 def print_media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [fingerprint(chroma(decode(None if m is None else bytes(m)))) for m in batch]
