@@ -215,5 +215,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     cuts = lookup(cut(cutoffs(table, labels, risk).select(F.col("stratum").alias("_stratum"), F.col("cuts").alias("_cuts"))))
     row = F.struct(*[F.col(c) for c in docs.columns])
     judged = docs.select(row.alias("_row"), group_key(F.col("lang")).alias("_stratum"), metrics(F.col("text")).alias("m"))
-    kept = judged.join(cuts, "_stratum", "left").where(verdict(F.col("_cuts")))
+    # coalesce keeps the condition whole above the join; its parts, pushed below, would compute the metrics again.
+    kept = judged.join(cuts, "_stratum", "left").where(F.coalesce(verdict(F.col("_cuts")), F.lit(False)))
     return kept.select("_row.*")
