@@ -57,7 +57,7 @@ _METRICS = """mt AS (SELECT series, variant, period, value AS actual, ((period +
   CASE WHEN month(period) % 4 != 0 THEN ((period + INTERVAL 1 MONTH)::DATE + 11)::TIMESTAMP + INTERVAL '12:30:00' END AS released_at,
   CASE month(period) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'date_verified' ELSE 'unverified' END AS actual_pit_status, 'r:' || ((period + INTERVAL 1 MONTH)::DATE + 11)::VARCHAR AS release_id FROM monthly_series)"""
 _CONSENSUS = f"""{_METRICS},
-fs AS (SELECT series, period, k, round(value * (1 + 0.001::DOUBLE * k), 1) AS f, ((period + INTERVAL 1 MONTH)::DATE + 11)::TIMESTAMP + INTERVAL '12:30:00' AS sched FROM monthly_series, (SELECT unnest([0, 1, 2]) AS k) WHERE variant = 'F'),
+fs AS (SELECT series, period, k, round((value * (1 + 0.001::DOUBLE * k))::DECIMAL(28,10), 1)::DOUBLE AS f, ((period + INTERVAL 1 MONTH)::DATE + 11)::TIMESTAMP + INTERVAL '12:30:00' AS sched FROM monthly_series, (SELECT unnest([0, 1, 2]) AS k) WHERE variant = 'F'),
 fc AS (SELECT *, CASE WHEN (month(period) + k) % 4 = 0 THEN NULL WHEN month(period) % 5 = 0 AND k < 2 THEN sched - INTERVAL 1 DAY WHEN month(period) % 3 = 0 AND k = 2 THEN sched + INTERVAL 1 DAY ELSE sched - to_days(k::INT + 1) END AS known FROM fs),
 kn AS (SELECT m.series, m.period, fc.* EXCLUDE (series, period), released_at FROM mt m JOIN fc ON m.series = fc.series AND m.period = fc.period WHERE m.variant = 'F'),
 bs AS (SELECT series, period, max(known) AS last FROM kn WHERE known < released_at GROUP BY ALL),
@@ -152,7 +152,7 @@ def j12_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).select("series", _day("period"), "consensus", F.date_format("forecast_as_of", "yyyy-MM-dd HH:mm:ss").alias("forecast_as_of"), "pit_verified")
 
 
-@query(sql("monthly_series", f"""{_CONSENSUS} SELECT series, period::VARCHAR AS period, consensus, round(CASE WHEN pit_verified THEN round(actual, 1) - consensus END, 6) AS surprise,
+@query(sql("monthly_series", f"""{_CONSENSUS} SELECT series, period::VARCHAR AS period, consensus, round(CASE WHEN pit_verified THEN round(actual::DECIMAL(28,10), 1)::DOUBLE - consensus END, 6) AS surprise,
 CASE WHEN consensus IS NOT NULL THEN coalesce(pit_verified, false) AND actual_pit_status != 'verified' END AS surprise_is_estimated FROM cs"""))
 def c08_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro.surprise(_matched(spark, sf_dir)).select("series", _day("period"), "consensus", _r6("surprise"), "surprise_is_estimated")
@@ -237,7 +237,7 @@ def f08_releases_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("monthly_series", f"""{_CONSENSUS} SELECT series, period::VARCHAR AS period, CASE WHEN pit_verified THEN consensus END AS consensus,
-round(CASE WHEN pit_verified AND actual_pit_status = 'verified' THEN round(actual, 1) - consensus END, 6) AS surprise FROM cs"""))
+round(CASE WHEN pit_verified AND actual_pit_status = 'verified' THEN round(actual::DECIMAL(28,10), 1)::DOUBLE - consensus END, 6) AS surprise FROM cs"""))
 def f09_strict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro.strict_metric(macro.surprise(_matched(spark, sf_dir))).select("series", _day("period"), "consensus", _r6("surprise"))
 
