@@ -63,7 +63,7 @@ def ticks_to_bars(trades: DataFrame) -> DataFrame:
 def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly index levels: a series per return flag, seasonal variant by line status."""
     items = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice")
-    value = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count("*")
+    value = F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count("*"), 6)
     return items.groupBy(
         F.col("l_returnflag").alias("series"), F.col("l_linestatus").alias("variant"), F.to_date(F.trunc(F.to_date("l_shipdate"), "MM")).alias("period")
     ).agg(value.alias("value"), F.count("*").alias("persons"))
@@ -128,7 +128,7 @@ SELECT event_type AS symbol, date_trunc('minute', ts)::TIMESTAMP AS start_at, ar
 FROM events GROUP BY ALL""",
     "monthly_series": """
 SELECT l_returnflag AS series, l_linestatus AS variant, date_trunc('month', l_shipdate)::DATE AS period,
-  sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*) AS value, count(*)::BIGINT AS persons
+  round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*), 6) AS value, count(*)::BIGINT AS persons
 FROM lineitem GROUP BY ALL""",
     "weekly_counts": """
 SELECT o_orderpriority AS series, o_orderdate::DATE + (6 - dayofweek(o_orderdate))::INT AS week, count(*)::BIGINT AS claims FROM orders GROUP BY ALL""",
