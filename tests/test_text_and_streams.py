@@ -42,8 +42,8 @@ def test_tickers(spark):
 
 
 def test_merge_mentions_keeps_the_longest(spark):
-    rows = spark.createDataFrame([([(0, 3, "a"), (2, 9, "b"), (10, 12, "c"), (11, 13, "d")],)], "m array<struct<start:int,stop:int,text:string>>")
-    assert [m["text"] for m in rows.select(text.merge_mentions(F.col("m")).alias("m")).first()["m"]] == ["b", "c"]
+    rows = spark.createDataFrame([([(0, 3, 0, "a"), (2, 9, 1, "b"), (10, 12, 1, "c"), (11, 13, 0, "d")],)], "m array<struct<start:int,stop:int,rank:int,text:string>>")
+    assert [m["text"] for m in rows.select(text.merge_mentions(F.col("m")).alias("m")).first()["m"]] == ["b", "d"]
 
 
 def test_overlapping_blocks_and_chunks(spark):

@@ -161,13 +161,20 @@ def ticker_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def merge_mentions(mentions: Column) -> Column:
-    """Of overlapping mentions (start, stop, text) keeps the longest first, then the earliest; a fold over the few of one message.
+    """Of overlapping mentions keeps the longest first, then the lower rank (0 explicit, 1 alias), then the earlier.
 
-    mentions is an array of struct(start, stop, text).
+    mentions is an array of struct(start, stop, rank, text), the few of one message; the rest come in order of start.
     """
-    ranked = F.array_sort(mentions, lambda a, b: F.when(a["stop"] - a["start"] != b["stop"] - b["start"], (b["stop"] - b["start"]) - (a["stop"] - a["start"])).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(F.when(a["text"] < b["text"], -1).when(a["text"] > b["text"], 1).otherwise(0)))
-    kept = F.aggregate(ranked, F.slice(mentions, 1, 0), lambda out, m: F.when(F.exists(out, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"])), out).otherwise(F.concat(out, F.array(m))))
-    return F.sort_array(kept)
+
+    def key(m: Column) -> Column:
+        return F.struct((m["start"] - m["stop"]).alias("length"), m["rank"].alias("rank"), m["start"].alias("start"), m.alias("m"))
+
+    ranked = F.transform(F.sort_array(F.transform(mentions, key)), lambda k: k["m"])
+
+    def add(out: Column, m: Column) -> Column:
+        return F.when(F.exists(out, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"])), out).otherwise(F.concat(out, F.array(m)))
+
+    return F.sort_array(F.aggregate(ranked, F.slice(mentions, 1, 0), add))
 
 
 def release_type(question: Column) -> Column:

@@ -90,15 +90,15 @@ def split_current(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def current_bar_structure(completed: DataFrame, current: DataFrame) -> DataFrame:
-    """The open bar against the last close: change, range and position in percent, pullback and rebound."""
+    """The open bar: change from the last close, range over its open and position in it in percent, pullback and rebound."""
     last = completed.groupBy("symbol").agg(F.max_by("close", "day").alias("previous_close"))
     high, low = F.greatest("high", "close"), F.least("low", "close")
     price, width = F.col("close"), F.nullif(high - low, F.lit(0.0))
     before = F.nullif(F.col("previous_close"), F.lit(0.0))
     return current.join(last, "symbol", "left").select(
         "symbol", price.alias("price"), "previous_close",
-        ((price / before - 1) * 100).alias("change_pct"), ((high - low) / before * 100).alias("range_pct"),
-        ((price - low) / width * 100).alias("position_pct"), ((price / high - 1) * 100).alias("pullback_pct"), ((price / low - 1) * 100).alias("rebound_pct"),
+        ((price / before - 1) * 100).alias("change_pct"), ((high - low) / F.nullif(F.col("open"), F.lit(0.0)) * 100).alias("range_pct"),
+        ((price - low) / width * 100).alias("position_pct"), ((high - price) / high * 100).alias("pullback_pct"), ((price - low) / low * 100).alias("rebound_pct"),
     )
 
 

@@ -188,9 +188,9 @@ _SPLIT = "num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day
 
 
 @query(sql("bars", f"""{_SPLIT},
-c AS (SELECT n.symbol, n.close AS price, n.high, n.low, (SELECT arg_max(close, day) FROM num d WHERE d.symbol = n.symbol AND back > 1) AS previous_close FROM num n WHERE back = 1)
-SELECT symbol, price, previous_close, round((price / previous_close - 1) * 100, 6) AS change_pct, round((high - low) / previous_close * 100, 6) AS range_pct,
-round((price - low) / nullif(high - low, 0) * 100, 6) AS position_pct, round((price / high - 1) * 100, 6) AS pullback_pct, round((price / low - 1) * 100, 6) AS rebound_pct FROM c"""))
+c AS (SELECT n.symbol, n.open, n.close AS price, n.high, n.low, (SELECT arg_max(close, day) FROM num d WHERE d.symbol = n.symbol AND back > 1) AS previous_close FROM num n WHERE back = 1)
+SELECT symbol, price, previous_close, round((price / previous_close - 1) * 100, 6) AS change_pct, round((high - low) / nullif(open, 0) * 100, 6) AS range_pct,
+round((price - low) / nullif(high - low, 0) * 100, 6) AS position_pct, round((high - price) / high * 100, 6) AS pullback_pct, round((price - low) / low * 100, 6) AS rebound_pct FROM c"""))
 def w19_current_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     completed, current = indicators.split_current(views.bars(spark, sf_dir))
     found = indicators.current_bar_structure(completed, current)
