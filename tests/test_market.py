@@ -135,3 +135,13 @@ def test_reference_gap_is_inclusive_and_lag_is_strict(spark):
     far = F.to_timestamp_ntz(F.lit("2027-01-01 00:00:00"))
     assert reaction.observation_bars(targets, one(event + dt.timedelta(minutes=5)), far).count() == 1
     assert reaction.observation_bars(targets, one(event + dt.timedelta(minutes=4)), far).count() == 0
+
+
+def test_reference_price_of_zero_gives_no_return(spark):
+    event = dt.datetime(2026, 9, 25, 12, 30)
+    events = spark.createDataFrame([(1, event)], "event_id long, event_at timestamp_ntz")
+    minute = dt.timedelta(minutes=1)
+    rows = [("A", event - minute, event, 0.0), ("A", event + 4 * minute, event + 5 * minute, 5.0)]
+    bars_ = spark.createDataFrame(rows, "symbol string, start_at timestamp_ntz, end_at timestamp_ntz, close double")
+    found = reaction.window_returns(events, bars_.select("symbol").distinct(), bars_, F.to_timestamp_ntz(F.lit("2027-01-01 00:00:00"))).where("window = '5m'").first()
+    assert (found["status"], found["price"], found["return_pct"]) == ("usable", 5.0, None)

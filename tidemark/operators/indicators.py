@@ -69,7 +69,7 @@ def rsi(bars: DataFrame, n: int = PERIOD) -> DataFrame:
         F.when((F.col("gain") == 0) & (F.col("loss") == 0), 50.0)
         .when(F.col("loss") == 0, 100.0)
         .when(F.col("gain") == 0, 0.0)
-        .otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss")))
+        .otherwise(100 - 100 / (1 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0))))
     )
     return means.select("symbol", F.when(F.col("gain").isNotNull(), value).alias(f"rsi{n}"))
 
@@ -98,7 +98,7 @@ def current_bar_structure(completed: DataFrame, current: DataFrame) -> DataFrame
     return current.join(last, "symbol", "left").select(
         "symbol", price.alias("price"), "previous_close",
         ((price / before - 1) * 100).alias("change_pct"), ((high - low) / F.nullif(F.col("open"), F.lit(0.0)) * 100).alias("range_pct"),
-        ((price - low) / width * 100).alias("position_pct"), ((high - price) / high * 100).alias("pullback_pct"), ((price - low) / low * 100).alias("rebound_pct"),
+        ((price - low) / width * 100).alias("position_pct"), ((high - price) / F.nullif(high, F.lit(0.0)) * 100).alias("pullback_pct"), ((price - low) / F.nullif(low, F.lit(0.0)) * 100).alias("rebound_pct"),
     )
 
 

@@ -82,7 +82,7 @@ def alignment(pairs: DataFrame, marked: DataFrame, as_of: Column) -> DataFrame:
 
 
 def window_returns(events: DataFrame, symbols: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
-    """A row per event, symbol and window: status, reason, price and return_pct."""
+    """A row per event, symbol and window: status, reason, price and return_pct, null after a reference price of zero."""
     wide = events.select("event_id", "event_at").join(F.broadcast(symbols), how="cross")
     windows = F.array(*[F.struct(F.lit(w).alias("window"), (F.col("event_at") + F.expr(f"INTERVAL {m} MINUTES")).alias("target_at")) for w, m in WINDOWS.items()])
     targets = wide.select("event_id", "event_at", "symbol", F.inline(windows))
@@ -94,7 +94,7 @@ def window_returns(events: DataFrame, symbols: DataFrame, bars: DataFrame, as_of
     reason = F.when(ref.isNull(), "reference_bar_unavailable").when(late, "observation_not_yet_reached").when(price.isNull(), "observation_bar_unavailable")
     rows = rows.withColumn("status", status).withColumn("reason", reason)
     usable = F.col("status") == "usable"
-    return rows.select("event_id", "symbol", "window", "status", "reason", F.when(usable, price).alias("price"), F.when(usable, (price / ref - 1) * 100).alias("return_pct"))
+    return rows.select("event_id", "symbol", "window", "status", "reason", F.when(usable, price).alias("price"), F.when(usable, (price / F.nullif(ref, F.lit(0.0)) - 1) * 100).alias("return_pct"))
 
 
 def relative(returns: DataFrame, left: str, right: str) -> DataFrame:
@@ -128,7 +128,7 @@ def close_returns(pairs: DataFrame, daily: DataFrame, as_of: Column) -> DataFram
     status, reason = F.lit("usable"), F.lit(None).cast("string")
     for condition, s, r in reversed(ladder):
         status, reason = F.when(condition, s).otherwise(status), F.when(condition, r).otherwise(reason)
-    value = (F.col("close") / F.col("reference_price") - 1) * 100
+    value = (F.col("close") / F.nullif(F.col("reference_price"), F.lit(0.0)) - 1) * 100
     return rows.select("event_id", "symbol", status.alias("status"), reason.alias("reason"), F.when(status == "usable", value).alias("return_pct"))
 
 

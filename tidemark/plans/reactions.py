@@ -80,7 +80,7 @@ def w24_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RETURNS = f"""{_OBS}, rt AS (SELECT t.event_id, t.symbol, t."window", CASE WHEN reference_price IS NULL THEN 'unavailable' WHEN target_at > TIMESTAMP '{AS_OF}' THEN 'pending' WHEN price IS NULL THEN 'missing' ELSE 'usable' END AS status,
-  CASE WHEN reference_price IS NULL THEN 'reference_bar_unavailable' WHEN target_at > TIMESTAMP '{AS_OF}' THEN 'observation_not_yet_reached' WHEN price IS NULL THEN 'observation_bar_unavailable' END AS reason, price, (price / reference_price - 1) * 100 AS r
+  CASE WHEN reference_price IS NULL THEN 'reference_bar_unavailable' WHEN target_at > TIMESTAMP '{AS_OF}' THEN 'observation_not_yet_reached' WHEN price IS NULL THEN 'observation_bar_unavailable' END AS reason, price, (price / nullif(reference_price, 0) - 1) * 100 AS r
   FROM tg t LEFT JOIN rf ON rf.event_id = t.event_id AND rf.symbol = t.symbol LEFT JOIN ob ON ob.event_id = t.event_id AND ob.symbol = t.symbol AND ob."window" = t."window")"""
 
 
@@ -133,7 +133,7 @@ x AS (SELECT nc.event_id, sy.symbol, nc.close_at, reference_price, dl.close, dl.
 y AS (SELECT *, CASE WHEN reference_price IS NULL THEN 'reference_bar_unavailable' WHEN close_at > now THEN 'close_not_yet_reached' WHEN close IS NULL THEN 'daily_close_unavailable' WHEN k = 1 THEN 'daily_bar_not_complete' WHEN k = 2 THEN 'daily_close_time_unverified'
   WHEN k = 3 AND close_at + INTERVAL 30 DAY > now THEN 'daily_close_not_yet_available' WHEN k = 4 THEN 'price_adjustment_mismatch' END AS reason FROM x)
 SELECT event_id, symbol, CASE reason WHEN 'reference_bar_unavailable' THEN 'unavailable' WHEN 'price_adjustment_mismatch' THEN 'unavailable' WHEN 'daily_close_unavailable' THEN 'missing' WHEN 'daily_close_time_unverified' THEN 'missing' ELSE CASE WHEN reason IS NULL THEN 'usable' ELSE 'pending' END END AS status,
-reason, CASE WHEN reason IS NULL THEN round((close / reference_price - 1) * 100, 6) END AS return_pct FROM y"""))
+reason, CASE WHEN reason IS NULL THEN round((close / nullif(reference_price, 0) - 1) * 100, 6) END AS return_pct FROM y"""))
 def w26_close_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, mb = events(spark, sf_dir), bars(spark, sf_dir)
     closes = reaction.next_close(ev, calendar(spark, sf_dir)).join(F.broadcast(symbols(spark, sf_dir)), how="cross")
