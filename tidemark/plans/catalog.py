@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import macro, market, reactions, records  # noqa: F401
+from tidemark.plans import macro, market, reactions, records, vendors  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 
