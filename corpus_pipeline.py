@@ -15,6 +15,10 @@ from tidemark.llm import mixing, near_dedup, packing, quality_classifier, qualit
 from tidemark.llm.common import shared_folder
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -25,8 +29,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a score under 0.5."""
-    return quality_classifier.keep_good(docs, _labels(spark, sf_dir))
+    """Drops documents with a score under 0.5 by a model of the raw documents, as the rules leave hardly any bad ones to learn from."""
+    return quality_classifier.keep_good(docs, _labels(spark, sf_dir), _raw(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _raw(spark, sf_dir)
     top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

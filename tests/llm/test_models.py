@@ -52,6 +52,27 @@ def test_classifier_learns_and_defines_all_scores(spark):
     assert {r["score"] for r in quality_classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_pipeline_classifier_learns_from_raw_documents(spark, tmp_path):
+    rng = random.Random(2)
+
+    def text(good):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) if good else "ZZZ!!" for _ in range(60))
+
+    raw = [(i, text(i % 2 == 0)) for i in range(400)]
+    spark.createDataFrame(raw, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # What an earlier stage leaves: the good documents and unlabelled ones of both kinds.
+    left = [r for r in raw if r[0] % 2 == 0] + [(1000 + i, text(i % 4 != 0)) for i in range(80)]
+    kept = corpus_pipeline.classifier(spark, spark.createDataFrame(left, "doc_id long, text string"), str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} == {i for i in range(0, 400, 2)} | {1000 + i for i in range(80) if i % 4 != 0}
+
+
+def test_labels_of_absent_documents_use_up_no_sample(spark):
+    docs = spark.createDataFrame([(i, "abc def" if i % 2 else "Z!Z!") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(i, 1, 0) for i in range(1000, 9000)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(docs, labels, sample=40).prior is None
+
+
 def test_recordings_are_aligned(spark):
     rng = np.random.default_rng(7)
     tunes = [rng.uniform(-1.5, 1.5, 64) for _ in range(12)]

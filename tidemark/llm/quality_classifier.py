@@ -154,12 +154,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of labels.quality from at most sample documents that aren't held out."""
+    """A model of labels.quality from at most sample of those documents that aren't held out."""
     ready(docs.sparkSession)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").cast("int").alias("quality"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # labels of other documents don't use up the sample
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
@@ -202,6 +203,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score of 0.5 or more, with the columns they came with."""
-    return docs.where(scorer(fit(docs, labels))(F.col("text")) >= 0.5)
+def keep_good(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """The documents with a score of 0.5 or more, with the columns they came with.
+
+    The model is fit on examples, which are docs themselves if not given. Where docs were filtered
+    before, examples should be what they were filtered from, as few bad documents are left in docs.
+    """
+    return docs.where(scorer(fit(docs if examples is None else examples, labels))(F.col("text")) >= 0.5)
