@@ -89,6 +89,35 @@ def test_recordings_are_aligned(spark):
     assert chroma.search(frame.limit(0), F.col("media"), F.col("rec_id") == 0).collect() == []
 
 
+def test_noisy_and_held_copies_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    samples = [chroma.decode(chroma.tones(rng.uniform(-1.5, 1.5, 64))) for _ in range(10)]
+    held = [chroma.decode(chroma.tones(np.repeat(rng.uniform(-1.5, 1.5), n))) for n in (48, 80)]
+    wanted = [*samples, *held]
+    copies = [s[len(s) // 4 :] + rng.normal(0, level, len(s) - len(s) // 4).astype(np.float32) for s in samples for level in (0.1, 0.3, 0.4)] + [h[len(h) // 3 :] for h in held]
+    prints = [chroma.fingerprint(chroma.chroma(s)) for s in (*wanted, *copies, np.zeros(90000, dtype=np.float32))]
+
+    def best(a, b):
+        fits = []
+        for offset in range(12 - len(a[0]), len(b[0]) - 11):
+            start, stop = max(0, -offset), min(len(a[0]), len(b[0]) - offset)
+            x, y = slice(start, stop), slice(start + offset, stop + offset)
+            errors = np.bitwise_count(a[0][x] ^ b[0][y])
+            votes = ((errors <= 4) & a[1][x] & b[1][y]).sum()
+            if stop - start >= 12 and errors.sum() <= 0.15 * 32 * (stop - start) and votes >= 2:
+                fits.append((votes, -abs(offset), offset, stop - start, errors.sum()))
+        return max(fits, default=None)
+
+    rows = [(i, [int(c) for c in codes], [bool(s) for s in sounds]) for i, (codes, sounds) in enumerate(prints)]
+    member, found = chroma.align(spark.createDataFrame(rows, "rec_id long, codes array<long>, sounds array<boolean>"), F.col("rec_id") < len(wanted))
+    firsts = sorted({r["class_id"] for r in member.collect()})
+    queries = {r["class_id"] for r in member.where(f"rec_id < {len(wanted)}").collect()}
+    want = {(q, m): b for q in queries for m in firsts if m != q and (b := best(prints[q], prints[m]))}
+    assert {(r["query_id"], r["match_id"]) for r in found.collect()} == set(want)
+    assert {(r["query_id"], r["match_id"]): (r["votes"], -abs(r["offset"]), r["offset"], r["overlap"], r["bit_errors"]) for r in found.collect()} == want
+    assert len(want) > 15 and any(b[4] > 0.1 * 32 * b[3] for b in want.values())
+
+
 def test_noise_changes_few_bits():
     rng = np.random.default_rng(9)
     samples = chroma.decode(chroma.tones(rng.uniform(-1.5, 1.5, 64)))

@@ -5,12 +5,13 @@ overlapping frames whose spectra are summed to twelve pitch classes; frames are
 and scaled to length one. Over the integral image of frames and pitch classes, sixteen filters
 compare areas, each giving two bits of Gray code, which together make one 32-bit integer a frame.
 
-Two recordings are aligned by the histogram of offsets at which they have equal integers, and the
-best offset is judged by the share of bits that differ over the whole overlap.
+Two recordings are aligned at an offset if few bits differ over the whole overlap. All offsets of
+all pairs are compared, blocks of recordings at a time, by products of matrices of bits, so that
+no alignment is missed; of a pair's alignments, the one with most like frames is given.
 
 Recordings with equal fingerprints are one class, of which the smallest id stands for all. Silent
-frames, that have no pitch to speak of, give no integer to look up but count in the overlap, so
-that silence matches nothing by itself.
+frames, that have no pitch to speak of, are no like frames but count in the overlap, so that silence
+matches nothing by itself.
 
 Defined results: null, empty and unreadable media have no frames, are a class each on their own,
 and match nothing, as do recordings shorter than a frame and filters' span. Rows with a null id
@@ -26,11 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ready
+from tidemark.llm.common import cut, lookup, ready
 
 RATE = 11025
 FRAME = 4096
@@ -41,8 +42,14 @@ SPAN = 16
 #: Share of differing bits up to which an alignment counts, and the fewest frames of overlap.
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 12
-#: Most equal integers at one offset are needed at least this often.
+#: Frames that sound in both and differ by no more than that share are needed at least this often at one offset.
 LEAST_VOTES = 2
+#: Frames of recordings that are compared together, most of their tasks, and most blocks that are broadcast.
+BLOCK = 1 << 15
+MOST_PARTS = 10_000
+BROADCAST_BLOCKS = 64
+BLOCK_COLUMNS = ["ids", "sizes", "codes", "sounds"]
+ALIGNED = "query_id long, match_id long, offset int, votes long, overlap int, bit_errors int"
 
 
 @lru_cache
@@ -169,7 +176,7 @@ def align(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     """Classes (rec_id, class_id) of all recordings, and alignments of classes that hold a query.
 
     Alignments have query_id and match_id, the smallest ids of two classes, offset (of the match
-    against the query, in frames), votes, overlap and bit_errors.
+    against the query, in frames), votes (like frames), overlap and bit_errors.
     """
     prints = cut(prints.withColumn("key", F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256)).withColumn("is_query", F.coalesce(query, F.lit(False))))
     full = prints.where((F.size("codes") > 0) & F.col("rec_id").isNotNull())
@@ -177,22 +184,61 @@ def align(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     member = prints.select("rec_id", "key").join(classes.select("key", "class_id"), "key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
     shown = cut(full.join(classes.select("key", "class_id"), "key").where("rec_id = class_id").dropDuplicates(["class_id"]).select("class_id", "codes", "sounds", "key"))
     shown = shown.join(classes.select("key", F.col("is_query").alias("asks")), "key")
-    items = shown.select("class_id", "asks", F.posexplode(F.arrays_zip("codes", "sounds")).alias("place", "item")).where("item.sounds").select("class_id", "asks", "place", F.col("item.codes").alias("code"))
-    # A held note gives a run of equal integers; its first frame stands for it.
-    last = F.lag("code").over(Window.partitionBy("class_id").orderBy("place"))
-    items = cut(items.withColumn("before", last).where("before IS NULL OR before != code").drop("before"))
-    asked = items.where("asks").select(F.col("class_id").alias("query_id"), F.col("place").alias("q"), "code")
-    pairs = asked.join(items.select(F.col("class_id").alias("match_id"), F.col("place").alias("m"), "code"), "code").where("query_id != match_id")
-    offsets = pairs.groupBy("query_id", "match_id", (F.col("m") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
-    best = offsets.groupBy("query_id", "match_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b"))
-    codes = shown.select("class_id", "codes")
-    both = best.join(codes.toDF("query_id", "a"), "query_id").join(codes.toDF("match_id", "b_codes"), "match_id")
-    start, stop = F.greatest(F.lit(0), -F.col("b.offset")), F.least(F.size("a"), F.size("b_codes") - F.col("b.offset"))
-    cut_a = F.slice("a", start + 1, F.greatest(F.lit(0), stop - start))
-    cut_b = F.slice("b_codes", start + F.col("b.offset") + 1, F.greatest(F.lit(0), stop - start))
-    errors = F.aggregate(F.zip_with(cut_a, cut_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, e: n + e)
-    found = both.select("query_id", "match_id", F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"), (stop - start).alias("overlap"), errors.alias("bit_errors"))
-    return member, found.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("bit_errors") <= MOST_ERRORS * 32 * F.col("overlap")))
+    left = blocks(shown.where("asks")).select(*[F.col(c).alias(f"q_{c}") for c in BLOCK_COLUMNS])
+    right = blocks(shown).select(*[F.col(c).alias(f"m_{c}") for c in BLOCK_COLUMNS])
+    right = right.repartition(max(1, min(MOST_PARTS, right.count())))
+    return member, right.crossJoin(lookup(left, BROADCAST_BLOCKS)).mapInPandas(aligned, ALIGNED)
+
+
+def blocks(shown: DataFrame) -> DataFrame:
+    """Recordings of like lengths, about BLOCK frames together, as ids, sizes, and codes and sounds end to end."""
+    like = F.ceil(F.log2(F.size("codes"))).cast("int")
+    counts = {r["like"]: r["count"] for r in shown.groupBy(like.alias("like")).count().collect()}  # a row per power of two
+    n = F.lit(1)
+    for k, count in counts.items():
+        n = F.when(like == k, -(-count // max(1, BLOCK >> k))).otherwise(n)
+    rows = shown.select(like.alias("like"), F.pmod(F.xxhash64("class_id"), n).alias("block"), F.struct("class_id", "codes", "sounds").alias("r"))
+    together = rows.groupBy("like", "block").agg(F.collect_list("r").alias("rs"))
+    return cut(together.select(F.col("rs.class_id").alias("ids"), F.transform("rs", lambda r: F.size(r["codes"])).alias("sizes"), F.flatten("rs.codes").alias("codes"), F.flatten("rs.sounds").alias("sounds")))
+
+
+def _unpacked(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A row per recording: every bit as 1 or -1, and 0 after its end."""
+    sizes = np.asarray(sizes)
+    bits = np.unpackbits(np.asarray(codes).astype("<u4").view(np.uint8)).astype(np.float32) * 2 - 1
+    out = np.zeros((len(sizes), int(sizes.max()) * 32), dtype=np.float32)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None] * 32] = bits
+    return out
+
+
+def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best alignment of each pair of recordings of two blocks, over all offsets."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            qs, ms = np.asarray(row.q_sizes, dtype=np.int64), np.asarray(row.m_sizes, dtype=np.int64)
+            q_at, m_at = np.cumsum(qs) - qs, np.cumsum(ms) - ms
+            q_codes, m_codes = (np.asarray(c).astype(np.uint32) for c in (row.q_codes, row.m_codes))
+            q_sounds, m_sounds = (np.asarray(c).astype(bool) for c in (row.q_sounds, row.m_sounds))
+            q_bits, m_bits = _unpacked(qs, q_codes), _unpacked(ms, m_codes)
+            differ = np.asarray(row.q_ids)[:, None] != np.asarray(row.m_ids)[None, :]
+            best: dict[tuple[int, int], tuple] = {}
+            for offset in range(LEAST_OVERLAP - int(qs.max()), int(ms.max()) - LEAST_OVERLAP + 1):
+                start, stop = max(0, -offset), min(int(qs.max()), int(ms.max()) - offset)
+                # Equal bits less unequal ones; the bits after an end count for neither.
+                same = q_bits[:, start * 32 : stop * 32] @ m_bits[:, (start + offset) * 32 : (stop + offset) * 32].T
+                overlap = np.minimum(qs[:, None], ms[None, :] - offset) - start
+                fits = differ & (overlap >= LEAST_OVERLAP) & (32 * overlap - same <= 2 * MOST_ERRORS * 32 * overlap + 0.5)
+                for q, m in zip(*map(np.ndarray.tolist, np.nonzero(fits)), strict=True):
+                    n = int(overlap[q, m])
+                    a, b = int(q_at[q]) + start, int(m_at[m]) + start + offset
+                    errors = np.bitwise_count(q_codes[a : a + n] ^ m_codes[b : b + n])
+                    total = int(errors.sum())
+                    votes = int(((errors <= MOST_ERRORS * 32) & q_sounds[a : a + n] & m_sounds[b : b + n]).sum())
+                    if votes >= LEAST_VOTES and total <= MOST_ERRORS * 32 * n:
+                        best[q, m] = max(best.get((q, m), (-1,)), (votes, -abs(offset), offset, n, total))
+            rows += [(row.q_ids[q], row.m_ids[m], offset, votes, n, total) for (q, m), (votes, _, offset, n, total) in best.items()]
+        yield pd.DataFrame(rows, columns=["query_id", "match_id", "offset", "votes", "overlap", "bit_errors"])
 
 
 def search(recordings: DataFrame, media: Column, query: Column) -> DataFrame:
