@@ -152,3 +152,19 @@ def test_shards(spark):
     prefixes = {r["prefix"] for r in found}
     assert not any(a != b and b.startswith(a) for a in prefixes for b in prefixes)
     assert sharding.shard(documents(spark, rows).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_only_single_texts_make_shards_too_large(spark, monkeypatch, n):
+    monkeypatch.setattr(sharding, "MOST_BITS", 2)
+    rng = random.Random(n)
+    sizes = [rng.choice([1900, 2900, 4500, 200]) for _ in range(n * 4)]
+    rows = [(i, "x" * size, "en", "s") for i, size in enumerate(sizes)] + [(9000, "y" * 2100, "en", "s")] * 3 + [(9001, "z" * 1500, "en", "s")] * 7
+    found = sharding.shard(documents(spark, rows), limit=4000).collect()
+    assert Counter((r["doc_id"], r["bytes"]) for r in found) == Counter((d, len(t)) for d, t, _, _ in rows)
+    shards = defaultdict(list)
+    for r in found:
+        shards[(r["prefix"], r["page"])].append(r)
+    for held in shards.values():
+        assert {r["shard_bytes"] for r in held} == {sum(r["bytes"] for r in held)}
+        assert len(held) == 1 or held[0]["shard_bytes"] <= 4000

@@ -3,9 +3,9 @@
 The directory is indexed by leading bits of a hash of the document's id and text. It starts as one
 bucket; a bucket of more bytes than the limit, and only such a one, is split on the next bit, until
 every bucket fits. Sizes are summed once for cells of a fine prefix and the splits work on these
-sums. A bucket that no bit of a cell splits holds few texts or many equal ones; those are laid into
-overflow pages of the limit by running sums, and only a single text above the limit makes a page
-that is too large.
+sums; a cell that is too large itself is split on the rest of the hash. A bucket of one hash value,
+which no bit splits, is laid into overflow pages of the limit by running sums, and only a single
+text above the limit makes a shard that is too large.
 
 Defined results: null and empty texts have 0 bytes. Rows with equal ids and texts share a bucket.
 An empty table gives an empty result. Other columns are not read.
@@ -32,36 +32,56 @@ def _bits(h: Column, n: int) -> Column:
     return F.shiftrightunsigned(h, 64 - n) if n else F.lit(0).cast("long")
 
 
-def directory(sized: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]:
-    """Buckets (prefix, depth, bytes, documents), with cell prefixes in a row each, and the bits of a cell.
+def _split(cells: DataFrame, bits: int, first: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets (cell, depth, bucket_bytes), a row per cell, and the cells whose buckets don't fit at the last bit, if any.
 
-    sized has columns h and bytes.
+    A bucket of one hash value counts as fitting, as no bit splits it.
     """
-    total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(1, (max(1, total // limit)).bit_length() + FINER))
-    cells = cut(sized.groupBy(_bits(F.col("h"), bits).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("documents")))
     done, open_ = None, cells
-    for depth in range(bits + 1):
-        prefix = F.shiftright("cell", bits - depth)
-        sums = cut(open_.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bucket_bytes"), F.sum("documents").alias("bucket_documents")))
-        fits = F.lit(True) if depth == bits else F.col("bucket_bytes") <= limit
-        found = open_.withColumn("prefix", prefix).join(sums.where(fits), "prefix").select("cell", "prefix", F.lit(depth).alias("depth"), "bucket_bytes", "bucket_documents")
+    for depth in range(first, bits + 1):
+        prefix = F.shiftrightunsigned("cell", bits - depth)
+        sums = cut(open_.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bucket_bytes"), (F.min("low") == F.max("high")).alias("single")))
+        fits = (F.col("bucket_bytes") <= limit) | F.col("single")
+        found = open_.withColumn("prefix", prefix).join(sums.where(fits), "prefix").select("cell", F.lit(depth).alias("depth"), "bucket_bytes")
         done = found if done is None else done.unionByName(found)
-        if depth == bits or not sums.where(~fits).limit(1).count():
-            break
-        open_ = open_.withColumn("prefix", prefix).join(sums.where(~fits).select("prefix"), "prefix").select("cell", "bytes", "documents")
-    return cut(done), bits
+        if not sums.where(~fits).limit(1).count():
+            return cut(done), None
+        open_ = open_.withColumn("prefix", prefix).join(sums.where(~fits).select("prefix"), "prefix").select("cell", "bytes", "low", "high")
+    return cut(done), cut(open_)
+
+
+def _cells(sized: DataFrame, cell: Column) -> DataFrame:
+    return cut(sized.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("low"), F.max("h").alias("high")))
+
+
+def placed(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """sized, which has columns h and bytes, with depth and bucket_bytes of each row's bucket."""
+    total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(1, (max(1, total // limit)).bit_length() + FINER))
+    rows = sized.withColumn("cell", _bits(F.col("h"), bits))
+    done, over = _split(_cells(sized, _bits(F.col("h"), bits)), bits, 0, limit)
+    out = rows.join(lookup(done), "cell").drop("cell")
+    if over is None:
+        return out
+    # What a cell's bits leave too large is split on the rest of the hash.
+    rows = cut(rows.join(lookup(over.select("cell")), "cell").drop("cell"))
+    done, _ = _split(_cells(rows, F.col("h")), 64, bits + 1, limit)
+    return out.unionByName(rows.join(lookup(done.withColumnRenamed("cell", "h")), "h").select(*out.columns))
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """A row per document: doc_id, bytes, prefix (bits as text), depth, page and shard_bytes."""
     sized = cut(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), _hash(F.col("doc_id"), F.col("text")).alias("h")))
-    buckets, bits = directory(sized, limit)
-    placed = sized.withColumn("cell", _bits(F.col("h"), bits)).join(lookup(buckets), "cell")
-    label = F.substring(F.lpad(F.bin("cell"), bits, "0"), F.lit(1), F.col("depth"))
-    one = placed.where(F.col("bucket_bytes") <= limit).select("doc_id", "bytes", label.alias("prefix"), "depth", F.lit(0).cast("long").alias("page"), F.col("bucket_bytes").alias("shard_bytes"))
-    upto = Window.partitionBy("cell").orderBy("h", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A page ends where the running sum passes a multiple of half the limit, so that no two texts under half of it overflow one.
-    over = placed.where(F.col("bucket_bytes") > limit).withColumn("page", F.floor((F.sum("bytes").over(upto) - F.col("bytes")) / F.greatest(F.lit(1), F.lit(limit // 2))).cast("long"))
-    over = over.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("cell", "page")))
+    label = F.substring(F.lpad(F.bin("h"), 64, "0"), F.lit(1), F.col("depth"))
+    rows = placed(sized, limit)
+    one = rows.where(F.col("bucket_bytes") <= limit).select("doc_id", "bytes", label.alias("prefix"), "depth", F.lit(0).cast("long").alias("page"), F.col("bucket_bytes").alias("shard_bytes"))
+    half = F.greatest(F.lit(1), F.lit(limit // 2))
+    large = F.col("bytes") > limit // 2
+    upto = Window.partitionBy("h").orderBy("large", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = rows.where(F.col("bucket_bytes") > limit).withColumn("large", large)
+    # A page of texts up to half the limit ends where their running sum passes a multiple of it, so that none overflows; larger ones follow, a page each.
+    small = F.coalesce(F.sum(F.when(~large, F.col("bytes"))).over(upto), F.lit(0))
+    page = F.when(~large, F.floor((small - F.col("bytes")) / half)).otherwise(F.when(F.count_if(~large).over(upto) > 0, F.floor(small / half) + 1).otherwise(0) + F.count_if(large).over(upto) - 1)
+    over = over.withColumn("page", page.cast("long"))
+    over = over.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "page")))
     return one.unionByName(over.select("doc_id", "bytes", label.alias("prefix"), "depth", "page", "shard_bytes"))
