@@ -81,3 +81,23 @@ def test_stream_of_ids_equals_the_batch(spark, tmp_path):
     found = {tuple(r) for r in _drained(stream, "stream_ids", tmp_path, spark).select("thread_id", "turn", "event_id").collect()}
     batch = {tuple(r) for r in event_log.numbered(views.event_log(spark, DATA)).select("thread_id", "turn", "event_id").collect()}
     assert found == batch
+
+
+def test_a_large_dictionary_is_scanned_in_blocks(spark, tmp_path, monkeypatch):
+    from tidemark.plans import records
+
+    spark.createDataFrame([(i, f"a w{i % 7} b w{i % 11} c") for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    entries = [(k, f" w{k} ") for k in range(13)] + [(3, " w5 "), (4, " w4 "), (20, ""), (21, None)]
+    spark.createDataFrame(entries, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(records, "ENTRIES", 4, raising=False)
+    want = {}
+    for item, entry in entries:
+        n = sum(entry in f"a w{i % 7} b w{i % 11} c" for i in range(40)) if entry else 0
+        if n:
+            want[item] = want.get(item, 0) + n
+    assert {r["item_id"]: r["documents"] for r in records.j21_alias_scan(spark, str(tmp_path)).collect()} == want
+    spark.createDataFrame([(k, f"entry {k}") for k in range(10_001)] + [(0, "w1 b")], "item_id long, text string").write.parquet(str(tmp_path / "more" / "benchmark.parquet"))
+    spark.createDataFrame([(1, "entry 10000 w1 b")], "doc_id long, text string").write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    monkeypatch.setattr(records, "ENTRIES", 10_000, raising=False)
+    found = {r["item_id"]: r["documents"] for r in records.j21_alias_scan(spark, str(tmp_path / "more")).collect()}
+    assert found == {0: 1, 1: 1, 10: 1, 100: 1, 1000: 1, 10000: 1}

@@ -13,6 +13,8 @@ from tidemark.sources.views import read, sql
 from tidemark.streaming import event_log
 
 NOW = "2024-01-20 00:00:00"
+#: Entries of a dictionary that are broadcast together.
+ENTRIES = 10_000
 
 
 def now() -> Column:
@@ -220,12 +222,16 @@ def x16_ticker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) WHERE length(b.text) > 0)
 SELECT item_id, count(*)::BIGINT AS documents FROM m GROUP BY item_id""")
 def j21_alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a dictionary's entries, the passages of benchmark; the dictionary's size is checked before it is broadcast."""
+    """Documents that contain a dictionary's entries, the passages of benchmark, of which about ENTRIES at a time are broadcast."""
     entries = read(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("entry"))
-    if entries.count() > 10_000:
-        raise ValueError("the dictionary is too large to scan for; cut it into parts")
-    hits = read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(entries), F.col("text").contains(F.col("entry")))
-    return hits.groupBy("item_id").agg(F.count("*").alias("documents"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = max(1, -(-entries.count() // ENTRIES))
+    found = None
+    for k in range(blocks):
+        block = entries.where(F.pmod(F.xxhash64("item_id", "entry"), F.lit(blocks)) == k)
+        hits = docs.join(F.broadcast(block), F.col("text").contains(F.col("entry"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy("item_id").agg(F.sum("documents").alias("documents"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
