@@ -199,10 +199,10 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> Plan:
     width = -(-max_len // bins)
     bins = -(-max_len // width)
     histogram = np.zeros(bins + 1)
-    stock: dict[int, list[int]] = defaultdict(list)
+    by_bin: dict[int, list[int]] = defaultdict(list)
     for length in sorted(n for n, c in made.left.items() if c):
         histogram[-(-length // width)] += made.left[length]
-        stock[-(-length // width)].append(length)
+        by_bin[-(-length // width)].append(length)
     ways = patterns(bins)
     # A long piece that is left over costs a sequence; short ones fill gaps.
     weight = np.clip(np.arange(bins + 1) / (bins / 8), 0.05, 1.0)
@@ -210,7 +210,7 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> Plan:
 
     def take(size: int, most: int, longest: bool) -> tuple[int, int]:
         """A length of this bin that is left and up to most of it."""
-        lengths = stock[size]
+        lengths = by_bin[size]
         while lengths and not made.left[lengths[-1 if longest else 0]]:
             lengths.pop(-1 if longest else 0)
         if not lengths:
