@@ -104,7 +104,7 @@ def test_noisy_and_held_copies_are_all_found(spark):
             x, y = slice(start, stop), slice(start + offset, stop + offset)
             errors = np.bitwise_count(a[0][x] ^ b[0][y])
             votes = ((errors <= 4) & a[1][x] & b[1][y]).sum()
-            if stop - start >= 12 and errors.sum() <= 0.15 * 32 * (stop - start) and votes >= 2:
+            if stop - start >= 24 and errors.sum() <= 0.15 * 32 * (stop - start) and votes >= 2:
                 fits.append((votes, -abs(offset), offset, stop - start, errors.sum()))
         return max(fits, default=None)
 
@@ -138,3 +138,25 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_training_takes_whole_texts_and_few_passages(spark):
+    rng = random.Random(4)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    long_ = b"".join(rng.randbytes(1) for _ in range(3 * quality_classifier.TOGETHER + 77))
+    rows, counts = quality_classifier.features([b"ab", long_, b""])
+    assert counts.tolist() == [1, -(-len(long_) // quality_classifier.PASSAGE), 1]
+    at = 1 + 2 * quality_classifier.TOGETHER // quality_classifier.PASSAGE
+    assert np.array_equal(rows[at], quality_classifier.features([long_[2 * quality_classifier.TOGETHER :][: quality_classifier.PASSAGE]])[0][0])
+    docs = spark.createDataFrame([(i, plain(400) + ("!" * 3000 if i % 2 else "")) for i in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(docs, labels, passages=3).prior is not None
+    model = quality_classifier.fit(docs, labels)
+    assert model.prior is None and model.score([plain(900).encode() + b"!" * 3000])[0] > 0.5 > model.score([plain(900).encode()])[0]
+
+
+def test_sessions_keep_their_settings(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = spark.createDataFrame([(1, bytearray(chroma.tones(np.zeros(64))))], "rec_id long, media binary")
+    chroma.search(frame, F.col("media"), F.col("rec_id") == 1).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -106,3 +106,13 @@ def test_components_match_union_find(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {n: c for n, c in want.items() if n != c}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = spark.createDataFrame([(3, x, "a"), (5, x, "b"), (5, y, "c"), (7, y, "d"), (9, "lone text", "e"), (9, "lone text", "e"), (None, x, "f")], "doc_id long, text string, mark string")
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.groups(docs).collect()}
+    assert found == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True), (None, None, True)}
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["mark"]) for r in kept.collect()) == sorted([(3, x, "a"), (5, y, "c"), (9, "lone text", "e"), (0, x, "f")])

@@ -39,3 +39,14 @@ def test_frames(spark):
     found = {(r["doc_id"], r["n_words"]): r["n_pieces"] for r in token_counts.count(docs).collect()}
     assert found[(1, 0)] == 0 and found[(None, 2)] == 2 and found[(4, 20000)] >= 20000
     assert token_counts.count(docs.limit(0)).collect() == []
+
+
+def test_long_words_are_not_kept():
+    counts = token_counts.Counter([("▁a", -1.0), ("a", -2.0), ("ab", -2.5), ("b", -3.0), ("abab", -4.0)])
+    word = "ab" * 20000
+    score, pieces = counts.word(word)
+    assert pieces > 0 and score < 0
+    assert counts.text(word + " a")[0] == 2 and word not in counts.known and "a" in counts.known
+    short = counts.word("ab" * 6)
+    counts.longest = 100
+    assert counts.word("ab" * 6) == short

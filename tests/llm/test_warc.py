@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import zlib
@@ -69,3 +70,32 @@ def test_http_bodies():
     assert warc._http(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n") == (200, b"abcde")
     assert warc._http(b"HTTP/1.1 404 No\r\nContent-Encoding: gzip\r\n\r\n" + packed) == (404, b"hello")
     assert warc._http(b"no http") == (None, b"no http")
+
+
+def test_foreign_archives(spark, tmp_path):
+    def rec(kind, name, block):
+        return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-TARGET-URI: {name}\r\ncontent-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    def page(body, *fields):
+        return b"\r\n".join([b"HTTP/1.1 200 OK", *fields]) + b"\r\n\r\n" + body
+
+    chunked = b"Transfer-Encoding: chunked"
+    blocks = {
+        "a": page(b"one" * 40000), "b": page(b"3\r\nabc\r\n0\r\n\r\n", chunked), "c": page(b"zz\r\nabc", chunked), "d": page(b"no gzip", b"Content-Encoding: gzip"),
+        "e": page(gzip.compress(b"x" * 50) + gzip.compress(b"y"), b"Content-Encoding: gzip"), "f": page(zlib.compress(b"deflated")[2:-4], b"Content-Encoding: deflate"), "g": b"HTTP/1.1 200 OK", "h": page(b"5\r\nab", chunked),
+    }
+    want = {
+        "a": (200, b"one" * 40000), "b": (200, b"abc"), "c": (None, b"zz\r\nabc"), "d": (None, b"no gzip"),
+        "e": (200, b"x" * 50 + b"y"), "f": (200, b"deflated"), "g": (None, b"HTTP/1.1 200 OK"), "h": (None, b"5\r\nab"),
+    }
+    data = b"".join(rec("response", k, b) for k, b in blocks.items())
+    for name, whole in (("one.warc.gz", gzip.compress(data)), ("two.warc.gz", b"".join(gzip.compress(rec("response", k, b)) for k, b in blocks.items())), ("plain.warc", data)):
+        (tmp_path / name).write_bytes(whole)
+        warc.register(spark)
+        read = spark.read.format("warc").load(str(tmp_path / name))
+        assert {r["target_uri"]: (r["http_status"], bytes(r["payload"])) for r in read.collect()} == want, name
+        read = spark.read.format("warc").load(str(tmp_path / name))
+        assert [bytes(r["payload"]) for r in read.where("target_uri = 'f'").collect()] == [b"deflated"], name
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(data)[:-60])
+    with pytest.raises(Exception, match="cut.warc.gz"):
+        spark.read.format("warc").load(str(tmp_path / "cut.warc.gz")).collect()

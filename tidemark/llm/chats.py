@@ -9,8 +9,9 @@ Everything is built from SQL functions, with no Python on the executors.
 
 Defined results: turns are ordered by turn, role and text, nulls first, and counted anew from 0, so
 missing turn numbers don't matter and repeated rows are turns of their own. A null role or text
-differs from an empty one when conversations are compared and is rendered as empty. Rows with a
-null conv_id are one conversation. Other columns are not read.
+differs from an empty one when conversations are compared and is rendered as empty. What rows with a
+null conv_id belong to is unknown: each is a conversation of one turn, and goes like any other if an
+equal one or a longer one that begins with it is there. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from tidemark.llm.common import cut, group_key
 START, STOP = "<|im_start|>", "<|im_end|>"
 
 
+def _line() -> Column:
+    return F.concat(F.lit(START), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(STOP))
+
+
 def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
 
@@ -37,22 +42,25 @@ def _prefixes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, key and n_turns of the conversations that no other one contains as a prefix."""
-    prefixes = cut(_prefixes(turns))
+    """conv_id, key, n_turns and n_equal of the conversations that no other one contains as a prefix.
+
+    Where conv_id is null, line is the conversation's one turn, rendered.
+    """
+    prefixes = cut(_prefixes(turns.where("conv_id IS NOT NULL")))
     going_on = prefixes.where("NOT last").select("place", "h1", "h2").distinct()
-    whole = (
-        prefixes.where("last")
-        .groupBy("place", "h1", "h2")
-        .agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")).alias("c"), F.count("*").alias("equal"))
-    )
+    one = F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")
+    named = prefixes.where("last").select("place", "h1", "h2", one.alias("c"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("line"))
+    alone = turns.where("conv_id IS NULL").groupBy("role", "text").agg(F.count("*").alias("n")).withColumns({"conv_id": F.lit(None).cast(dict(turns.dtypes)["conv_id"]), "key": F.lit(None).cast("string"), "place": F.lit(0)})
+    alone = alone.select("place", *[_hash(s).cast("decimal(38,0)").alias(h) for s, h in ((1, "h1"), (2, "h2"))], one.alias("c"), "n", _line().alias("line"))
+    whole = named.unionByName(alone).groupBy("place", "h1", "h2").agg(F.min("c").alias("c"), F.sum("n").alias("equal"), F.max("line").alias("line"))
     kept = whole.join(going_on, ["place", "h1", "h2"], "left_anti")
-    return kept.select("c.conv_id", "c.key", (F.col("place") + 1).cast("long").alias("n_turns"), F.col("equal").alias("n_equal"))
+    return kept.select("c.conv_id", "c.key", (F.col("place") + 1).cast("long").alias("n_turns"), F.col("equal").alias("n_equal"), "line")
 
 
 def render(turns: DataFrame) -> DataFrame:
     """A row per maximal conversation: conv_id, n_turns, n_equal (copies of it, itself included) and text."""
-    kept = maximal(turns)
-    line = F.concat(F.lit(START), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(STOP))
-    rows = turns.select(group_key(F.col("conv_id")).alias("key"), F.struct("turn", "role", "text", line.alias("line")).alias("t"))
+    kept = cut(maximal(turns))
+    rows = turns.where("conv_id IS NOT NULL").select(group_key(F.col("conv_id")).alias("key"), F.struct("turn", "role", "text", _line().alias("line")).alias("t"))
     texts = rows.join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
-    return kept.join(texts, "key").select("conv_id", "n_turns", "n_equal", "text")
+    named = kept.where("conv_id IS NOT NULL").join(texts, "key").select("conv_id", "n_turns", "n_equal", "text")
+    return named.unionByName(kept.where("conv_id IS NULL").select("conv_id", "n_turns", "n_equal", F.col("line").alias("text")))

@@ -7,15 +7,19 @@ compare areas, each giving two bits of Gray code, which together make one 32-bit
 
 Two recordings are aligned at an offset if few bits differ over the whole overlap. All offsets of
 all pairs are compared, blocks of recordings at a time, by products of matrices of bits, so that
-no alignment is missed; of a pair's alignments, the one with most like frames is given.
+no alignment is missed; of a pair's alignments, the one with most like frames is given, of those the
+one of the least offset, forwards first. Overlaps of LEAST_OVERLAP frames and MOST_ERRORS are bounds that
+chance hardly reaches: adjacent integers share most of their frames, so that short overlaps of
+unrelated recordings agree by luck (README).
 
 Recordings with equal fingerprints are one class, of which the smallest id stands for all. Silent
 frames, that have no pitch to speak of, are no like frames but count in the overlap, so that silence
 matches nothing by itself.
 
 Defined results: null, empty and unreadable media have no frames, are a class each on their own,
-and match nothing, as do recordings shorter than a frame and filters' span. Rows with a null id
-are left out of matches. Other columns are not read.
+and match nothing, as do recordings with fewer than LEAST_OVERLAP integers. Rows with a null id
+are left out of matches. Rows that share an id but not a fingerprint are each compared under that
+id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, lookup, ready
+from tidemark.llm.common import arrow_rows, cut, lookup, ready
 
 RATE = 11025
 FRAME = 4096
@@ -41,12 +45,14 @@ SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
 SPAN = 16
 #: Share of differing bits up to which an alignment counts, and the fewest frames of overlap.
 MOST_ERRORS = 0.15
-LEAST_OVERLAP = 12
+LEAST_OVERLAP = 24
 #: Frames that sound in both and differ by no more than that share are needed at least this often at one offset.
 LEAST_VOTES = 2
 #: Frames of recordings that are compared together, most of their tasks, and most blocks that are broadcast.
 BLOCK = 1 << 15
 MOST_PARTS = 10_000
+#: Recordings in an Arrow batch.
+BATCH_ROWS = 64
 BROADCAST_BLOCKS = 64
 BLOCK_COLUMNS = ["ids", "sizes", "codes", "sounds"]
 ALIGNED = "query_id long, match_id long, offset int, votes long, overlap int, bit_errors int"
@@ -164,11 +170,9 @@ def print_media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"codes": [c.astype(np.int64) for c, _ in found], "sounds": [s for _, s in found]})
 
 
-def fingerprints(recordings: DataFrame, media: Column, batch_rows: int = 64) -> DataFrame:
-    """rec_id, codes and sounds of every recording; media is a column of WAV bytes, read batch_rows at a time."""
-    spark = recordings.sparkSession
-    ready(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def fingerprints(recordings: DataFrame, media: Column) -> DataFrame:
+    """rec_id, codes and sounds of every recording; media is a column of WAV bytes. Run it with few arrow_rows()."""
+    ready(recordings.sparkSession)
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), print_media(media).alias("p")).select("rec_id", "p.codes", "p.sounds")
 
 
@@ -178,11 +182,12 @@ def align(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     Alignments have query_id and match_id, the smallest ids of two classes, offset (of the match
     against the query, in frames), votes (like frames), overlap and bit_errors.
     """
-    prints = cut(prints.withColumn("key", F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256)).withColumn("is_query", F.coalesce(query, F.lit(False))))
+    with arrow_rows(prints.sparkSession, BATCH_ROWS):
+        prints = cut(prints.withColumn("key", F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256)).withColumn("is_query", F.coalesce(query, F.lit(False))))
     full = prints.where((F.size("codes") > 0) & F.col("rec_id").isNotNull())
     classes = cut(full.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("is_query")))
     member = prints.select("rec_id", "key").join(classes.select("key", "class_id"), "key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
-    shown = cut(full.join(classes.select("key", "class_id"), "key").where("rec_id = class_id").dropDuplicates(["class_id"]).select("class_id", "codes", "sounds", "key"))
+    shown = cut(full.join(classes.select("key", "class_id"), "key").where("rec_id = class_id").dropDuplicates(["key"]).select("class_id", "codes", "sounds", "key"))
     shown = shown.join(classes.select("key", F.col("is_query").alias("asks")), "key")
     left = blocks(shown.where("asks")).select(*[F.col(c).alias(f"q_{c}") for c in BLOCK_COLUMNS])
     right = blocks(shown).select(*[F.col(c).alias(f"m_{c}") for c in BLOCK_COLUMNS])

@@ -16,10 +16,13 @@ what was confirmed. At last, in each bucket that still holds several components,
 outside its largest component are compared with all members of other components, so that no link
 between components goes untested.
 
+Nodes of the graph are sets, not ids. groups() links the sets of rows that share an id, as one
+document; keep_one() doesn't, so that a text goes only if a like one stays.
+
 Defined results: null and empty texts and texts without words have an empty set, n_shingles 0, and
 are linked with nothing. Fewer words than a shingle make one shingle of the whole sequence. Rows
-with a null id are linked with nothing and kept. Rows that share an id are one document. Columns
-besides doc_id and text are not read. An empty table gives an empty result.
+with a null id are linked with nothing and kept. Columns besides doc_id and text are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, cut, let, lookup, ready, words
@@ -112,21 +115,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = iter(registers(np.asarray(sets.flatten()), ends) if len(ends) else ())
             sketches = [next(rows).tobytes() if n else None for n in sizes]
             keep = [part.column(i) for i, name in enumerate(part.schema.names) if name != "shingles"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "sketch"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sketches, pa.binary())], names=[*(n for n in part.schema.names if n != "shingles"), "sketch"])
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit key of the set in two columns, and the sketch, null if empty."""
+    """doc_id, mark (a hash of the text), n_shingles, the 128-bit key of the set in two columns, and the sketch, null if empty."""
     ready(docs.sparkSession)
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text"), size).alias("shingles"))
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), shingles(F.col("text"), size).alias("shingles"))
     keyed = sets.select(
         "doc_id",
+        "mark",
         F.size("shingles").cast("long").alias("n_shingles"),
         F.xxhash64("shingles").alias("key1"),
         F.xxhash64(F.lit(7), "shingles").alias("key2"),
         "shingles",
     )
-    return keyed.mapInArrow(_sketch, "doc_id long, n_shingles long, key1 long, key2 long, sketch binary")
+    return keyed.mapInArrow(_sketch, "doc_id long, mark long, n_shingles long, key1 long, key2 long, sketch binary")
 
 
 @lru_cache
@@ -152,7 +156,7 @@ def estimate(a: Column, b: Column, n: Column) -> Column:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar enough."""
-    side = classes.select("rep", "n_shingles", "sketch")
+    side = classes.select("node", "n_shingles", "sketch")
     likely = (
         pairs.join(side.toDF("a", "na", "ka"), "a")
         .join(side.toDF("b", "nb", "kb"), "b")
@@ -165,47 +169,49 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return common.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def groups(docs: DataFrame, size: int = 5) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id and kept."""
+def _one_document(rows: DataFrame) -> DataFrame:
+    """Edges u, v from the least set of each id to its other sets."""
+    least = cut(rows.groupBy("doc_id").agg(F.min("key1").alias("u"), F.max("key1").alias("most")).where("u < most").select("doc_id", "u"))
+    return rows.join(lookup(least), "doc_id").where("key1 != u").select("u", F.col("key1").alias("v")).distinct()
+
+
+def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and per set (key1, key2, n_shingles) the first row, as struct of doc_id and mark, of its component.
+
+    A set's node is key1. by_id says whether rows that share an id are linked.
+    """
     table = cut(sketched(docs, size))
+    rows = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(
-        table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("key1", "key2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        rows.groupBy("key1", "key2", "n_shingles")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.col("key1"))
     )
     width = 2 * BAND
-    bands = classes.select("rep", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1))).alias("i"), "sketch").select(
-        "rep", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
-    )
-    shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
-    members = cut(bands.join(shared, "band").select("band", "rep"))
-    active = cut(members.select("rep").distinct())
-    ids = lookup(active)
-    sets = cut(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-        .join(ids, "rep", "left_semi")
-        .select("rep", shingles(F.col("text"), size).alias("set"))
+    bands = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1))).alias("i"), "sketch").select(
+        "node", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
     )
-    chosen = classes.join(ids, "rep", "left_semi")
-    tree = cut(active.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0))
-    tested = tree.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    members = cut(bands.join(shared, "band").select("band", "node"))
+    active = lookup(cut(members.select("node").distinct()))
+    chosen = cut(classes.join(active, "node", "left_semi").select("node", "n_shingles", "sketch", "row"))
+    ids = lookup(chosen.select("node", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sets = cut(texts.join(ids, ["doc_id", "mark"]).select("node", shingles(F.col("text"), size).alias("set")))
+    if sets.count() > chosen.count():  # rows that repeat id and text
+        sets = cut(sets.dropDuplicates(["node"]))
+    none = chosen.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    tree = components(_one_document(rows)).toDF("u", "v") if by_id else cut(none)
+    tested = cut(none).toDF("a", "b")
     for turn in range(ROUNDS + 1):
-        roots = tree.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-        placed = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead"), F.min_by("root", F.xxhash64("rep", F.lit(turn))).alias("lead_root")).where("r0 < r1")
+        roots = tree.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_hash = F.xxhash64("node", F.lit(turn))
+        open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", by_hash).alias("lead"), F.min_by("root", by_hash).alias("lead_root")).where("r0 < r1")
         if turn < ROUNDS:
-            found = placed.join(open_, "band").where("root != lead_root").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+            found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            rest = cut(placed.join(open_.select("band"), "band").join(chosen.select("rep", "n_shingles"), "rep"))
-            most = rest.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-            left = rest.join(most, "band").where("root != most").toDF("band", "a0", "ra", "na", "most")
-            right = rest.toDF("band", "b0", "rb", "nb")
-            near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-            found = (
-                left.join(right, "band")
-                .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a0") < F.col("b0"))) & near)
-                .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
-            )
+            found = _rest(cut(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles"), "node")))
         pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             if turn < ROUNDS:
@@ -214,25 +220,60 @@ def groups(docs: DataFrame, size: int = 5) -> DataFrame:
         edges = _confirmed(pairs, chosen, sets)
         tree = components(tree.unionByName(edges)).toDF("u", "v")
         tested = tested.unionByName(pairs)
-    final = tree.toDF("rep", "root")
-    known = classes.select("key1", "key2", "n_shingles", "rep").join(final, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    joined = tree.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    placed = classes.select("key1", "key2", "n_shingles", "row", "node").join(joined, "node", "left")
+    first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("row").alias("first"))
+    known = placed.join(first, "root", "left").select("key1", "key2", "n_shingles", F.coalesce("first", "row").alias("first"))
+    return table, known
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """Pairs a, b of members (band, node, root, n_shingles) of a bucket whose components differ and whose sizes allow a link.
+
+    Not both are of the bucket's largest component. Sizes within the threshold differ by at most
+    one class of a logarithmic scale, so only those of neighbouring classes meet.
+    """
+    sized = members.withColumn("scale", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT + 1e-4))))
+    most = members.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    left = sized.join(most, "band").where("root != most").select("band", "scale", F.col("node").alias("a0"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), "most")
+    right = sized.select("band", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])).alias("scale"), F.col("node").alias("b0"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return (
+        left.join(right, ["band", "scale"])
+        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a0") < F.col("b0"))) & near)
+        .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
+    )
+
+
+def groups(docs: DataFrame, size: int = 5) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id and kept.
+
+    Rows that share an id are one document: what any of their sets is linked with is in its component.
+    """
+    table, known = _linked(docs, size, by_id=True)
     out = table.select("doc_id", "n_shingles", "key1", "key2").join(known, ["key1", "key2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("first.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs with one document of each group, that with the smallest id; its columns are those of docs.
+    """docs with one row of each group of like texts, that with the smallest id; its columns are those of docs.
 
-    Rows that share an id are one document, of which the one with the least text stays.
+    A row goes only if a row with a like text stays. Rows that share an id but no like text all
+    stay; of rows with equal ids and texts, one does.
     """
-    found = cut(groups(docs, size))
-    gone = lookup(cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()))
-    repeated = lookup(cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))))
+    table, known = _linked(docs, size, by_id=False)
+    rows = cut(
+        table.where("doc_id IS NOT NULL")
+        .join(known, ["key1", "key2", "n_shingles"], "left")
+        .groupBy("doc_id", "mark")
+        .agg(F.count("*").alias("rows"), F.min("first").alias("first"))
+    )
+    own = F.struct("doc_id", "mark")
+    gone = lookup(cut(rows.where(F.coalesce(F.col("first") != own, F.lit(False))).select("doc_id", "mark")).toDF("_id", "_mark"))
+    repeated = lookup(cut(rows.where(F.coalesce(F.col("first") == own, F.lit(True)) & (F.col("rows") > 1)).select("doc_id", "mark")).toDF("_id", "_mark"))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    rows = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    once = rows.join(repeated, F.col("_id") == F.col("_repeated"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text", F.to_json("_row")))
-    many = rows.join(repeated, F.col("_id") == F.col("_repeated"), "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
-    return once.unionByName(many).select("_row.*")
+    left = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark")).join(gone, ["_id", "_mark"], "left_anti")
+    once = left.join(repeated, ["_id", "_mark"], "left_anti").select("_row.*")
+    many = left.join(repeated, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    return once.unionByName(many)

@@ -4,13 +4,14 @@ A document is a bag of passages of PASSAGE bytes. Every passage is described by
 classes, a hashed histogram of byte pairs and how far it compresses, and encoded by a learned
 layer. A gated attention, a tanh part times a sigmoid part, weighs the passages; the weighted sum
 of their encodings is the document's representation, and a logistic layer scores it. All of it is
-learned from document labels alone. Training is on the driver, on a bounded sample: up to SAMPLE
-labelled documents with the smallest hashes of their ids, of at most SAMPLE_PASSAGES passages each.
-Scores cover all passages of all texts and see nothing but the text.
+learned from document labels alone. Training is on the driver, on a bounded sample of labelled
+documents, each with all of its passages: those with the smallest hashes of their ids, SAMPLE of
+them or as many as have SAMPLE_PASSAGES passages together. Scores cover all passages of all texts
+and see nothing but the text.
 
 Defined results: null and empty texts are one empty passage and get a score. Rows with equal texts
 get equal scores. A document with several labels is good if all of them say so; null labels count
-for nothing. With no labels, or labels of one kind only, every score is that kind's share, or 0.5.
+for nothing. Of rows that share an id, that with the least text is learned from. With no labels, or labels of one kind only, every score is that kind's share, or 0.5.
 A null doc_id is never held out and never used for training.
 """
 
@@ -22,21 +23,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ready
+from tidemark.llm.common import cut, ready
 
 PASSAGE = 1024
 PAIRS = 64
 SAMPLE = 6000
-SAMPLE_PASSAGES = 128
+SAMPLE_PASSAGES = 200_000
 HIDDEN = 24
 GATE = 12
 EPOCHS = 40
 SEED = 17
-#: Characters of the texts that are looked at together.
-TOGETHER = 1_000_000
+#: Bytes of the texts that are looked at together, whole passages of them.
+TOGETHER = 1 << 20
 #: Byte classes: each character of a string is one class; then letters, digits, other marks, other bytes.
 CLASSES = ["\n", " ", "!", "?", ".", ",", "|", "#", "*", "$", "%", "&", "<", ">", "@", ":", "/", "-", "=", "\"'"]
 WIDTH = len(CLASSES) + 5 + PAIRS + 2
@@ -53,7 +54,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A row per passage, and the number of passages of each text."""
+    """A row per passage, and the number of passages of each text. Long texts are looked at in parts."""
+    counts = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts], dtype=np.int64)
+    found, group, size = [np.zeros((0, WIDTH), dtype=np.float32)], [], 0
+    for text in texts:
+        for at in range(0, max(1, len(text)), TOGETHER):
+            group.append(text[at : at + TOGETHER])
+            size += len(group[-1])
+            if size >= TOGETHER:
+                found.append(_features(group))
+                group, size = [], 0
+    if group:
+        found.append(_features(group))
+    return np.concatenate(found), counts
+
+
+def _features(texts: list[bytes]) -> np.ndarray:
     kind, pairs = _tables()
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE))
@@ -63,16 +79,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = int(counts.sum())
     kinds = len(CLASSES) + 5
     classes = np.bincount(owner * kinds + kind[data], minlength=total * kinds).reshape(total, kinds)
-    if len(data) > 1:
-        both = pairs[(data[:-1].astype(np.int64) << 8) | data[1:]]
-        hashed = np.bincount(owner[:-1] * PAIRS + both, minlength=total * PAIRS).reshape(total, PAIRS)
-    else:
-        hashed = np.zeros((total, PAIRS))
+    # Pairs within a passage only, so that a passage's row depends on nothing beside it.
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    both = pairs[(data[inner].astype(np.int64) << 8) | data[inner + 1]]
+    hashed = np.bincount(owner[inner] * PAIRS + both, minlength=total * PAIRS).reshape(total, PAIRS)
     length = classes.sum(1, keepdims=True)
     packed = np.array([len(zlib.compress(t[at : at + PASSAGE], 1)) for t in texts for at in range(0, max(1, len(t)), PASSAGE)])
     ratio = packed[:, None] / (length + 8)
     share = np.sqrt(np.concatenate([classes, hashed], axis=1) / np.maximum(1, length))
-    return np.concatenate([share, ratio, np.log1p(length) / 7], axis=1).astype(np.float32), counts
+    return np.concatenate([share, ratio, np.log1p(length) / 7], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,10 +141,9 @@ def train(bags: list[np.ndarray], quality: np.ndarray, epochs: int = EPOCHS) ->
     if len(bags) == 0 or quality.min() == quality.max():
         return Model(prior=float(quality.mean()) if len(bags) else 0.5)
     model, draw = Model(), np.random.default_rng(SEED)
-    every = np.concatenate(bags)
-    model.mean, model.scale = every.mean(0), every.std(0) + 1e-3
-    bags = [(b - model.mean) / model.scale for b in bags]
     counts = np.array([len(b) for b in bags])
+    model.mean = sum(b.sum(0, dtype=np.float64) for b in bags) / counts.sum()
+    model.scale = np.sqrt(sum(((b - model.mean) ** 2).sum(0) for b in bags) / counts.sum()) + 1e-3
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
@@ -138,7 +152,7 @@ def train(bags: list[np.ndarray], quality: np.ndarray, epochs: int = EPOCHS) ->
         order = draw.permutation(len(bags))
         for at in range(0, len(order), 64):
             chosen = order[at : at + 64]
-            y, kept = model.forward(np.concatenate([bags[i] for i in chosen]), counts[chosen])
+            y, kept = model.forward((np.concatenate([bags[i] for i in chosen]) - model.mean) / model.scale, counts[chosen])
             found = model.gradients((y - quality[chosen]) / len(chosen), kept)
             step += 1
             for k, v in model.p.items():
@@ -153,8 +167,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of labels.quality from at most sample of those documents that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
+    """A model of labels.quality from those documents that aren't held out: at most sample, of at most passages together."""
     ready(docs.sparkSession)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -166,13 +180,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
 
     @F.pandas_udf("binary")
-    def passages(text: pd.Series) -> pd.Series:
-        return pd.Series([features([(t or "").encode()])[0][:SAMPLE_PASSAGES].tobytes() for t in text])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    rows = chosen.select("doc_id", "quality", passages("text").alias("bag")).collect()  # at most sample documents
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([features([t.encode()])[0].tobytes() for t in batch])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = cut(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")))  # at most sample rows
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most sample rows
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    fitting = chosen.select("doc_id", size.alias("size")).withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= passages).select("doc_id")
+    rows = chosen.join(F.broadcast(fitting), "doc_id").select("doc_id", "quality", described("text").alias("bag")).collect()  # at most sample documents and passages rows of features
+    rows.sort(key=lambda r: r["doc_id"])
+    bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in rows]
     return train(bags, np.array([r["quality"] for r in rows], dtype=np.float64))
 
 

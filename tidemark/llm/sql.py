@@ -18,15 +18,15 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 OP7 = """
-WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text FROM conversations),
+WITH r AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+t AS (SELECT conv_id, alone, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text FROM r),
 c AS (
-  SELECT conv_id, count(*) AS n, list(md5(concat(role IS NULL, '|', role, '|', text IS NULL, '|', text)) ORDER BY place) AS marks,
+  SELECT conv_id, alone, count(*) AS n, list(md5(concat(role IS NULL, '|', role, '|', text IS NULL, '|', text)) ORDER BY place) AS marks,
     string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) ORDER BY place) AS text
-  FROM t GROUP BY conv_id),
+  FROM t GROUP BY conv_id, alone),
 p AS (SELECT DISTINCT marks[1:k] AS marks FROM (SELECT marks, unnest(range(1, n)) AS k FROM c)),
-e AS (SELECT marks, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY marks)
-SELECT c.conv_id, c.n::BIGINT AS n_turns, e.n_equal, c.text
-FROM e JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.marks NOT IN (SELECT marks FROM p)
+e AS (SELECT marks, min(conv_id) AS conv_id, count(*) AS n_equal, min(n)::BIGINT AS n_turns, min(text) AS text FROM c GROUP BY marks)
+SELECT conv_id, n_turns, n_equal, text FROM e WHERE marks NOT IN (SELECT marks FROM p)
 """
 
 
@@ -72,7 +72,7 @@ def op10() -> str:
         "word_length": "word_chars / nullif(n_words, 0)",
     }
     rules = " UNION ALL ".join(
-        f"SELECT doc_id, lang, base_failed, '{r}' AS rule, ceil(({v} * 1000 - {g[0]}) / {g[2]}) AS slot FROM m"
+        f"SELECT doc_id, lang, '{r}' AS rule, ceil(({v} * 1000 - {g[0]}) / {g[2]}) AS slot FROM source"
         for (r, (_, g)), v in zip(quality_rules.RULES.items(), values.values(), strict=True)
     )
     grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest(range({(g[1] - g[0]) // g[2] + 1})) AS slot" for r, (_, g) in quality_rules.RULES.items())
@@ -93,8 +93,11 @@ m AS (
     (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words) AS base_failed
   FROM t LEFT JOIN rep USING (doc_id)),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-v AS ({rules}),
-held AS (SELECT lang, rule, slot FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+one AS (
+  SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lang NULLS FIRST, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals) = 1),
+v AS ({rules.replace("source", "m")}),
+held AS ({rules.replace("source", "one")}),
 grid AS ({grid}),
 tests AS (
   SELECT lang, h.rule, g.slot, count(*) AS n, count(*) FILTER (h.slot > g.slot) AS k FROM held h JOIN grid g ON h.rule = g.rule GROUP BY ALL),
@@ -104,7 +107,7 @@ tails AS (
     FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS p FROM tests),
 safe AS (
   SELECT lang, rule, min(slot) AS cutoff FROM tails
-  WHERE p <= {risk.error} / ({len(quality_rules.RULES)} * (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT lang FROM documents))) GROUP BY ALL),
+  WHERE p <= {risk.error} / ({len(quality_rules.RULES)} * (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT lang FROM one))) GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN safe ON v.rule = safe.rule AND v.lang IS NOT DISTINCT FROM safe.lang WHERE v.slot > safe.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept

@@ -5,7 +5,8 @@ own. An Aho-Corasick automaton lists all vocabulary pieces in a word; dynamic pr
 characters keeps the best score and the piece count that goes with it. Ties and unknown characters
 go as in the tokenizers library: scores are added left to right, a piece that starts earlier wins a
 tie, an unknown character scores UNKNOWN below the worst piece, and it counts as its UTF-8 bytes.
-Words met before are looked up.
+Short words met before are looked up. The recursion holds as many characters as the longest piece
+has, so that a text without white space, one word, takes no more memory than its own characters.
 
 The vocabulary is a parameter: pieces and log probabilities. From a sentencepiece file of pieces in
 order of rank, vocabulary() takes its pieces and Zipf's law for their probabilities, a fixed rule;
@@ -32,7 +33,9 @@ from tidemark.llm.common import ready
 
 MARK = "▁"
 UNKNOWN = 10.0
-KEPT_WORDS = 500_000
+#: Distinct words that a worker keeps, and their most characters.
+KEPT_WORDS = 300_000
+LONG_WORD = 32
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PART = re.compile(f"{MARK}[^{MARK}]*")
 
@@ -51,48 +54,58 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN
         self.known: dict[str, tuple[float, int]] = {}
 
     def part(self, text: str) -> tuple[float, int]:
         """Best score and its piece count of a text that is segmented as one."""
-        n = len(text)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(text):
-            found[end].append((end + 1 - length, score))
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
+        ring = min(len(text), self.longest) + 1
+        best, count = [0.0] * ring, [0] * ring
+        matches = self.automaton.iter(text)
+        ahead = next(matches, None)
+        for end, letter in enumerate(text):
+            found = []
+            while ahead is not None and ahead[0] == end:
+                found.append(ahead[1])
+                ahead = next(matches, None)
             top, pieces, single = -math.inf, 0, False
-            for start, score in sorted(found[end]):
-                single |= start == end
-                if best[start] + score > top:
-                    top, pieces = best[start] + score, count[start] + 1
-            if not single and best[end] + self.unknown > top:
-                top, pieces = best[end] + self.unknown, count[end] + len(text[end].encode("utf-8", "replace"))
-            best[end + 1], count[end + 1] = top, pieces
-        return best[n], count[n]
+            for length, score in sorted(found, reverse=True):  # the earliest start first
+                single |= length == 1
+                at = (end + 1 - length) % ring
+                if best[at] + score > top:
+                    top, pieces = best[at] + score, count[at] + 1
+            at = end % ring
+            if not single and best[at] + self.unknown > top:
+                top, pieces = best[at] + self.unknown, count[at] + len(letter.encode("utf-8", "replace"))
+            at = (end + 1) % ring
+            best[at], count[at] = top, pieces
+        return best[len(text) % ring], count[len(text) % ring]
 
     def word(self, word: str) -> tuple[float, int]:
         score, pieces = 0.0, 0
-        for part in PART.findall(word if word.startswith(MARK) else MARK + word):
-            s, p = self.part(part)
+        for part in PART.finditer(word if word.startswith(MARK) else MARK + word):
+            s, p = self.part(part.group())
             score, pieces = score + s, pieces + p
         return score, pieces
 
     def text(self, text: str) -> tuple[int, int, float]:
         """Words, pieces and score of a text."""
-        words = WORD.findall(text)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known, new = self.known, self.word
-        pieces, score = 0, 0.0
-        for w in words:
+        words, pieces, score = 0, 0, 0.0
+        for match in WORD.finditer(text):
+            w = match.group()
             found = known.get(w)
             if found is None:
-                found = known[w] = new(w)
+                found = new(w)
+                if len(w) <= LONG_WORD and len(known) < 2 * KEPT_WORDS:
+                    known[w] = found
+            words += 1
             score += found[0]
             pieces += found[1]
-        return len(words), pieces, score
+        return words, pieces, score
 
 
 @lru_cache(maxsize=2)

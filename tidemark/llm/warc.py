@@ -2,21 +2,27 @@
 
 Reading plans partitions over files, by their sizes. A record's headers are parsed first; filters
 on record_type and on the columns taken from headers are pushed down and decided on them, and a
-payload is inflated and decoded only for records that pass. Each record is a gzip member of its
-own. Members written here carry their compressed length in the "sl" field of the gzip header, so
-that the rest of an unwanted record is skipped without inflating it; members without it, and files
-that aren't compressed, are read too. Option payload=false leaves all payloads out.
+payload is inflated and decoded only for records that pass. Each record written here is a gzip member
+of its own that carries its lengths in the "sl" field of the gzip header, so that the rest of an
+unwanted record is skipped without inflating it. Members without it, members of several records, and
+files that aren't compressed are read too. Option payload=false leaves all payloads out.
 
 Writing makes files of about FILE_BYTES and, when the job commits, a manifest that names the files
 of the tasks that counted, so that files of lost or repeated tasks are never read.
 
 Defined results: a null payload is empty. Null header columns leave their header out. Characters
 that would break a header line are percent-encoded. A record without a block gives an empty
-payload; an empty folder gives no rows. Pages: see archive() and pages_of().
+payload; an empty folder gives no rows. Names of headers are matched without case; of a name that
+repeats, values are joined by commas. A response whose body can't be decoded (no end of HTTP headers,
+bad chunks or bad compression) gives its bytes as they are and a null status; a coding that isn't
+known leaves the body as it is. A file that ends within a record, or whose records can't be parsed,
+is an error that names the file, as leaving its rest out would lose records unseen. Filters reach the
+source by a session setting that register() turns on. Pages: see archive() and pages_of().
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
 import uuid
@@ -87,35 +93,41 @@ class _Bytes:
     """A stream that can be looked ahead in."""
 
     def __init__(self, file):
-        self.file, self.held, self.over = file, b"", False
+        self.file, self.held, self.at, self.over = file, b"", 0, False
 
     def need(self, n: int) -> bytes:
-        while len(self.held) < n and not self.over:
-            more = self.file.read(max(1 << 20, n - len(self.held)))
+        while len(self.held) - self.at < n and not self.over:
+            more = self.file.read(max(1 << 20, n - len(self.held) + self.at))
             self.over = not more
-            self.held += more
-        return self.held[:n]
+            self.held = self.held[self.at :] + more
+            self.at = 0
+        return self.held[self.at : self.at + n]
 
     def take(self, n: int) -> bytes:
         out = self.need(n)
-        self.held = self.held[len(out) :]
+        self.at += len(out)
         return out
 
+    def back(self, n: int) -> None:
+        """Goes back by n bytes of those taken last."""
+        self.at -= n
+
     def skip(self, n: int) -> None:
-        here = min(n, len(self.held))
-        self.held = self.held[here:]
+        here = min(n, len(self.held) - self.at)
+        self.at += here
         if n > here:
             self.file.seek(n - here, 1)
 
 
 class _Member:
-    """Inflates one gzip member, a part at a time."""
+    """Inflates one gzip member, a part at a time, and has one record or several."""
 
     def __init__(self, source: _Bytes):
         self.source, self.inflater, self.out = source, zlib.decompressobj(31), b""
         head = source.need(24)
-        self.length = struct.unpack("<I", head[16:20])[0] if len(head) == 24 and head[3] == 4 and head[12:14] == b"sl" else None
-        self.used = 0
+        known = len(head) == 24 and head[3] == 4 and head[12:14] == b"sl"
+        self.length, self.whole = struct.unpack("<II", head[16:24]) if known else (0, 0)
+        self.used, self.done = 0, False
 
     def _more(self) -> bool:
         if self.inflater.eof:
@@ -123,14 +135,23 @@ class _Member:
         data = self.inflater.unconsumed_tail or self.source.take(1 << 14)
         if not data:
             raise EOFError("a gzip member ends early")
-        before = len(data)
         self.out += self.inflater.decompress(data, 1 << 16)
+        left = len(self.inflater.unconsumed_tail)
         if self.inflater.eof:
-            self.source.held = self.inflater.unused_data + self.source.held
-            before -= len(self.inflater.unused_data)
-        self.used += before - len(self.inflater.unconsumed_tail)
+            left = len(self.inflater.unused_data)
+            self.source.back(left)
+        self.used += len(data) - left
         return True
 
+    def begins(self) -> bool:
+        """Whether another record follows; goes to its start."""
+        while True:
+            self.out = self.out.lstrip(b"\r\n")
+            if self.out:
+                return True
+            if not self._more():
+                return False
+
     def upto(self, mark: bytes) -> bytes:
         while (at := self.out.find(mark)) < 0 and self._more():
             pass
@@ -144,31 +165,34 @@ class _Member:
         while size < n:
             self.out = b""
             if not self._more():
-                break
+                raise EOFError("a record ends early")
             parts.append(self.out)
             size += len(self.out)
         whole = b"".join(parts)
         self.out = whole[n:]
         return whole[:n]
 
-    def end(self) -> None:
-        """Goes to the next member, without inflating if the length is known."""
-        if self.inflater.eof:
-            return
-        if self.length:
-            ahead = self.inflater.unconsumed_tail
-            self.source.held = ahead + self.source.held
+    def leave(self, head: int, n: int) -> None:
+        """Goes past a block of n bytes after head bytes of headers, without inflating if it is known to be the member's last."""
+        if self.length and self.whole <= head + n + 4 and not self.inflater.eof:
+            self.source.back(len(self.inflater.unconsumed_tail))
             self.source.skip(self.length - self.used)
+            self.inflater, self.out = zlib.decompressobj(31), b""
+            self.done = True
             return
-        while self._more():
+        while len(self.out) < n:
+            n -= len(self.out)
             self.out = b""
+            if not self._more():
+                raise EOFError("a record ends early")
+        self.out = self.out[n:]
 
 
 class _Plain:
     """A record of a file that isn't compressed."""
 
     def __init__(self, source: _Bytes):
-        self.source, self.left = source, 0
+        self.source = source
 
     def upto(self, mark: bytes) -> bytes:
         n = 1 << 12
@@ -180,15 +204,14 @@ class _Plain:
         self.source.take(len(mark))
         return found
 
-    def expect(self, n: int) -> None:
-        self.left = n + 4
-
     def exactly(self, n: int) -> bytes:
-        self.left -= n
-        return self.source.take(n)
+        found = self.source.take(n)
+        if len(found) < n:
+            raise EOFError("a record ends early")
+        return found
 
-    def end(self) -> None:
-        self.source.skip(self.left)
+    def leave(self, head: int, n: int) -> None:
+        self.source.skip(n)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -199,30 +222,42 @@ def _headers(head: bytes) -> dict[str, str]:
             found[last] += " " + line.strip()
         elif ":" in line:
             last, _, value = line.partition(":")
-            found[last] = value.strip()
+            found[last] = f"{found[last]}, {value.strip()}" if last in found else value.strip()
     return found
 
 
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        line = body.index(b"\r\n", at)
+        n = int(body[at:line].split(b";")[0], 16)
+        if not n:
+            return b"".join(parts)
+        if n < 0 or line + 2 + n > len(body):
+            raise ValueError("a chunk ends early")
+        parts.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+
+
 def _http(block: bytes) -> tuple[int | None, bytes]:
-    """Status and body of an HTTP response."""
+    """Status and body of an HTTP response; null and the bytes as they are if it can't be decoded."""
     head, mark, body = block.partition(b"\r\n\r\n")
-    if not head.startswith(b"HTTP/"):
+    if not head.startswith(b"HTTP/") or not mark:
         return None, block
     first = head.split(b"\r\n", 1)[0].split()
     fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    if fields.get(b"transfer-encoding") == b"chunked":
-        parts, rest = [], body
-        while rest:
-            size, _, rest = rest.partition(b"\r\n")
-            n = int(size.split(b";")[0] or b"0", 16)
-            if not n:
-                break
-            parts.append(rest[:n])
-            rest = rest[n + 2 :]
-        body = b"".join(parts)
-    if fields.get(b"content-encoding") in (b"gzip", b"x-gzip", b"deflate"):
-        body = zlib.decompress(body, 47)
-    return int(first[1]) if len(first) > 1 and first[1].isdigit() else None, body
+    coding = fields.get(b"content-encoding")
+    plain = body
+    try:
+        if fields.get(b"transfer-encoding") == b"chunked":
+            plain = _unchunked(plain)
+        if coding in (b"gzip", b"x-gzip") and plain:
+            plain = gzip.decompress(plain)
+        elif coding == b"deflate" and plain:
+            plain = zlib.decompress(plain, 15 if plain[0] & 15 == 8 else -15)
+    except (ValueError, EOFError, OSError, zlib.error):
+        return None, body
+    return int(first[1]) if len(first) > 1 and first[1].isdigit() else None, plain
 
 
 def records(file, passes, payloads: bool = True) -> Iterator[dict]:
@@ -235,18 +270,28 @@ def records(file, passes, payloads: bool = True) -> Iterator[dict]:
         if not start:
             return
         one = _Member(source) if start == b"\x1f\x8b" else _Plain(source)
-        headers = _headers(one.upto(b"\r\n\r\n"))
-        size = int(headers.get("Content-Length") or 0)
         if isinstance(one, _Plain):
-            one.expect(size)
-        row = {c: headers.get(h) for c, h in HEADERS.items()} | {"headers": headers, "http_status": None, "payload": None}
-        if passes(row):
-            if payloads and row["record_type"] != "revisit":
-                row["http_status"], row["payload"] = _http(one.exactly(size)) if row["record_type"] == "response" else (None, one.exactly(size))
-            one.end()
-            yield row
-        else:
-            one.end()
+            yield from _record(one, passes, payloads)
+            continue
+        while not one.done and one.begins():
+            yield from _record(one, passes, payloads)
+
+
+def _record(one: _Member | _Plain, passes, payloads: bool) -> Iterator[dict]:
+    """The next record, if passes() holds for it."""
+    head = one.upto(b"\r\n\r\n")
+    headers = _headers(head)
+    lower = {k.lower(): v for k, v in headers.items()}
+    size = int(lower.get("content-length") or 0)
+    row = {c: lower.get(h.lower()) for c, h in HEADERS.items()} | {"headers": headers, "http_status": None, "payload": None}
+    wanted = passes(row)
+    if wanted and payloads and row["record_type"] != "revisit":
+        block = one.exactly(size)
+        row["http_status"], row["payload"] = _http(block) if row["record_type"] == "response" else (None, block)
+    else:
+        one.leave(len(head) + 4, size)
+    if wanted:
+        yield row
 
 
 @dataclass
@@ -275,6 +320,13 @@ def _test(f: Filter):
     return None
 
 
+def _named(path: str, rows: Iterator[dict]) -> Iterator[dict]:
+    try:
+        yield from rows
+    except (ValueError, EOFError, zlib.error) as error:
+        raise ValueError(f"{path}: {error}") from error
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -316,7 +368,7 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.paths:
             with store.open_input_file(path) as file:
-                for row in records(file, lambda r: all(t(r) for t in tests), self.payloads):
+                for row in _named(path, records(file, lambda r: all(t(r) for t in tests), self.payloads)):
                     row["headers"] = list(row["headers"].items())
                     rows.append(row)
                     size += len(row["payload"] or b"")
@@ -415,10 +467,12 @@ def archive(pages: DataFrame, path: str) -> None:
     row = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
     ).withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    firsts = (
-        row.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    )
-    placed = row.join(lookup(cut(firsts.select("digest", "first"))), "digest", "left")
+    small = cut(row.where((F.col("bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    firsts = lookup(cut(small.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")))
+    # Whole rows meet the verdicts by page, as a payload that is everywhere would be one key.
+    verdicts = lookup(cut(small.join(firsts, "digest").where("page_id > first").distinct()))
+    named = row.where("page_id IS NOT NULL").join(verdicts, ["page_id", "digest"], "left")
+    placed = named.unionByName(row.where("page_id IS NULL").withColumn("first", F.lit(None).cast("long")))
     again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     fields = F.map_from_arrays(
         F.array(F.lit(PAGE), F.lit(FIRST_PAGE), F.lit(PAYLOAD_BYTES)),
