@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, cut, let, lookup, ready, words
+from tidemark.llm.common import arrow_rows, ascii_lower, cut, let, lookup, ready, words
 from tidemark.llm.components import components
 
 BUCKETS = 128
@@ -44,6 +44,8 @@ MANTISSA_BITS = 10
 BAND = 4
 ROUNDS = 3
 PERCENT = 80
+#: Sets in an Arrow batch.
+BATCH_ROWS = 2000
 #: Estimates this far below the threshold are not confirmed: six standard errors at 128 buckets.
 MARGIN = 6 * (0.8 * 0.2 / BUCKETS) ** 0.5
 
@@ -180,7 +182,8 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
 
     A set's node is key1. by_id says whether rows that share an id are linked.
     """
-    table = cut(sketched(docs, size))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        table = cut(sketched(docs, size))
     rows = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(
         rows.groupBy("key1", "key2", "n_shingles")

@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, ready
+from tidemark.llm.common import arrow_rows, cut, ready
 from tidemark.llm.word_bpe import word_bpe
 
 MAX_LEN = 4096
@@ -37,6 +37,8 @@ END = 1
 BINS = 512
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 50_000
+#: Documents in an Arrow batch.
+BATCH_ROWS = 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "length long, first long, count long, per int, sequence long, offset long"
@@ -235,8 +237,9 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> Plan:
 
 def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
-    table = cut(pieces(docs, path, max_len))
     spark = docs.sparkSession
+    with arrow_rows(spark, BATCH_ROWS):
+        table = cut(pieces(docs, path, max_len))
     # At most max_len rows.
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
     runs = spark.createDataFrame(plan(counts, max_len).runs, RUNS)

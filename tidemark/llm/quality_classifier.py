@@ -37,7 +37,7 @@ GATE = 12
 EPOCHS = 40
 SEED = 17
 #: Bytes of the texts that are looked at together, whole passages of them.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Byte classes: each character of a string is one class; then letters, digits, other marks, other bytes.
 CLASSES = ["\n", " ", "!", "?", ".", ",", "|", "#", "*", "$", "%", "&", "<", ">", "@", ":", "/", "-", "=", "\"'"]
 WIDTH = len(CLASSES) + 5 + PAIRS + 2
@@ -79,10 +79,12 @@ def _features(texts: list[bytes]) -> np.ndarray:
     total = int(counts.sum())
     kinds = len(CLASSES) + 5
     classes = np.bincount(owner * kinds + kind[data], minlength=total * kinds).reshape(total, kinds)
-    # Pairs within a passage only, so that a passage's row depends on nothing beside it.
-    inner = np.flatnonzero(owner[:-1] == owner[1:])
-    both = pairs[(data[inner].astype(np.int64) << 8) | data[inner + 1]]
-    hashed = np.bincount(owner[inner] * PAIRS + both, minlength=total * PAIRS).reshape(total, PAIRS)
+    both = pairs[(data[:-1].astype(np.int64) << 8) | data[1:]]
+    hashed = np.bincount(owner[:-1] * PAIRS + both, minlength=total * PAIRS)
+    # Without the pairs over two passages, so that a passage's row depends on nothing beside it.
+    over = np.flatnonzero(owner[:-1] != owner[1:])
+    np.subtract.at(hashed, owner[over] * PAIRS + both[over], 1)
+    hashed = hashed.reshape(total, PAIRS)
     length = classes.sum(1, keepdims=True)
     packed = np.array([len(zlib.compress(t[at : at + PASSAGE], 1)) for t in texts for at in range(0, max(1, len(t)), PASSAGE)])
     ratio = packed[:, None] / (length + 8)

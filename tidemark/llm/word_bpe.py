@@ -27,7 +27,7 @@ from itertools import islice
 from tokenizers import Tokenizer
 
 #: Most pieces and chunks whose ids a Python worker keeps between groups of texts, their most characters, and the characters of a group.
-KEPT = 250_000
+KEPT = 200_000
 LONG = 32
 TOGETHER = 500_000
 #: The steps of the vocabulary file that the shorter way redoes.
