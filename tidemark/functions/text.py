@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,3 +189,50 @@ def release_type(question: Column) -> Column:
             hit = hit | q.contains(w)
         out = F.when(hit, name).otherwise(out)
     return out
+
+
+def evidence_modes(document: str | None) -> list[tuple[str, str | None]]:
+    """Every evidence_id in a JSON text, at any depth, with the data_mode of the nearest object around it that has one."""
+    found: list[tuple[str, str | None]] = []
+    try:
+        waiting: list[tuple[object, str | None]] = [(json.loads(document or "null"), None)]
+    except ValueError:
+        return found
+    while waiting:
+        value, mode = waiting.pop()
+        if isinstance(value, dict):
+            own = value.get("data_mode")
+            mode = own if isinstance(own, str) else mode
+            if isinstance(value.get("evidence_id"), str):
+                found.append((value["evidence_id"], mode))
+            waiting += [(v, mode) for v in value.values()]
+        elif isinstance(value, list):
+            waiting += [(v, mode) for v in value]
+    return found
+
+
+def evidence_in(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """A row per evidence_id of a column of JSON texts: key, evidence_id and data_mode."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *e) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in evidence_modes(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((batch.schema.types[0], pa.string(), pa.string()))], names=[key, "evidence_id", "data_mode"])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, column).mapInArrow(walk, f"{key} {kind}, evidence_id string, data_mode string")
+
+
+def aliases_in(messages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """doc_id and alias of each message (doc_id, text) that has an alias (in lower case) in any case, bounded by other than letters, digits and _.
+
+    Messages and aliases meet by the alias's first word, so that no message is compared with the whole
+    dictionary, and only ids are joined; the pairs that share it are then looked at in full.
+    """
+    low = messages.select("doc_id", F.lower("text").alias("low"))
+    word = F.lit("[a-z0-9_]+")
+    said = low.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", word, F.lit(0)))).alias("first"))
+    named = aliases.select("alias", F.regexp_extract("alias", "[a-z0-9_]+", 0).alias("first"))
+    pairs = said.join(named, "first").select("doc_id", "alias")
+    bounds = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), "alias", F.lit(r"\E(?![a-z0-9_])"))
+    return pairs.join(low, "doc_id").where(F.rlike(F.col("low"), bounds)).select("doc_id", "alias").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,16 @@ def upsert(present: DataFrame, new: DataFrame, keys: list[str], version: str) ->
 def overlap_dedup(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """Rows of overlapping pages once by keys, with whether their payloads differ."""
     return rows.groupBy(*keys).agg(F.min(F.struct(*payload)).alias("_p"), (F.min(F.struct(*payload)) != F.max(F.struct(*payload))).alias("conflict")).select(*keys, "_p.*", "conflict")
+
+
+def of_period(facts: DataFrame, period_type: str) -> DataFrame:
+    """The facts (form, start_date, end_date) of a type: all, quarterly, annual or instant."""
+    if period_type not in ("all", "quarterly", "annual", "instant"):
+        raise ValueError(f"unknown period type {period_type}")
+    return facts if period_type == "all" else facts.where(period_shape(F.col("form"), F.col("start_date"), F.col("end_date")) == period_type)
+
+
+def newest_facts(facts: DataFrame, keys: list[str], limit: int = 4) -> DataFrame:
+    """The limit facts of each key with the latest end, of those the latest start."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("end_date"), F.desc_nulls_last("start_date"))
+    return facts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -215,3 +215,34 @@ def strict_metric(metrics: DataFrame) -> DataFrame:
     verified = F.coalesce("pit_verified", F.lit(False))
     exact = verified & (F.col("actual_pit_status") == "verified")
     return metrics.withColumn("surprise", F.when(exact, F.col("surprise"))).withColumn("consensus", F.when(verified, F.col("consensus"))).withColumn("forecast_as_of", F.when(verified, F.col("forecast_as_of")))
+
+
+def release_quality(releases: DataFrame, metrics: DataFrame, as_of: Column, strict: bool) -> DataFrame:
+    """Per release: status and issues, of its times first, then of its metrics in order."""
+    rated = metrics.withColumn("m", metric_as_of(as_of, strict)).withColumn("c", consensus_usable(strict))
+    refused = F.col("m.decision") == "reject"
+    notes = F.array_compact(F.array(
+        F.when(F.col("m.decision") != "usable", F.concat_ws(":", "series", "m.reason")),
+        F.when(~refused & F.col("consensus").isNotNull() & (F.col("c.decision") != "usable"), F.concat_ws(":", "series", "c.reason")),
+    ))
+    found = rated.groupBy("release_id").agg(F.count("*").alias("n"), F.count_if(~refused).alias("usable"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("series", notes.alias("w")))), lambda x: x["w"])).alias("ws"))
+    rows = releases.withColumn("r", release_as_of(as_of, strict)).join(found, "release_id", "left")
+    late, none = F.col("r.decision") == "reject", F.coalesce("n", F.lit(0)) == 0
+    own = F.array_compact(F.array(F.when(F.col("r.decision") != "usable", F.col("r.reason"))))
+    issues = F.when(late, own).when(none, F.concat(own, F.array(F.lit("macro_metrics_missing")))).when(F.col("usable") == 0, F.concat(own, "ws", F.array(F.lit("no_usable_macro_metrics")))).otherwise(F.concat(own, "ws"))
+    status = F.when(late | none | (F.col("usable") == 0), "rejected").when(F.size(issues) > 0, "degraded").otherwise("usable")
+    return rows.select("release_id", status.alias("status"), F.array_join(issues, "|").alias("issues"))
+
+
+def event_time(as_of: Column) -> Column:
+    """struct(event_at, source, reason, warnings) of a release: its own time, else the vendor's with a warning; a schedule is no time."""
+    verdict = release_as_of(as_of, False)
+    own, vendor = F.col("released_at"), F.col("vendor_release_at")
+    refused = verdict["decision"] == "reject"
+    at = F.coalesce(own, vendor)
+    warnings = F.array_distinct(F.array_compact(F.array(F.when(own.isNull(), "event_time_uses_vendor_timestamp"), F.when(verdict["decision"] == "usable_with_warning", verdict["reason"]))))
+    return F.struct(
+        F.when(at.isNotNull() & ~refused, at).alias("event_at"), F.when(own.isNotNull(), "release").when(vendor.isNotNull(), "vendor").alias("source"),
+        F.when(at.isNull(), "actual_release_time_missing").when(refused, verdict["reason"]).alias("reason"),
+        F.when(at.isNotNull() & ~refused, F.array_join(warnings, "|")).otherwise("").alias("warnings"),
+    )

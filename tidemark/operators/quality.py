@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REQUIRED = {"ma5": 5, "return_5d": 6, "atr14": 15, "ma20": 20, "price_structure_20d": 20, "return_20d": 21, "volume_20d": 21, "ma50": 50}
 
 
-def first_of(*ladder: tuple[Column, str]) -> Column:
+def first_of(*ladder: tuple[Column, Column | str]) -> Column:
     """The text of the first condition that holds, else null."""
     out = F.lit(None).cast("string")
     for condition, name in reversed(ladder):
@@ -82,3 +82,34 @@ def overall(results: DataFrame, keys: list[str]) -> DataFrame:
     s = F.col("status")
     status = F.when(F.count("status") == 0, "not_assessed").when(F.bool_and(s == "rejected"), "rejected").when(F.bool_and(s == "usable") & (F.sum(F.length(F.coalesce("warnings", F.lit("")))) == 0), "usable").otherwise("degraded")
     return results.groupBy(*keys).agg(status.alias("overall"))
+
+
+def minute_quality(bars: DataFrame, requests: DataFrame, sessions: list[str]) -> DataFrame:
+    """Per request (request_id, wanted, from_at, to_at, as_of) over its minute bars in input order: status and issues.
+
+    bars has request_id, ordinal, symbol, start_at, end_at, is_complete, updated_at, adjustment, data_mode
+    and session. The first fault of the first bar that has one rejects the request. A request's bars
+    are sorted together; they are the minutes of one window.
+    """
+    order = Window.partitionBy("request_id").orderBy("ordinal")
+    asked = bars.join(requests, "request_id").withColumns({"before": F.lag("start_at").over(order), "before_end": F.lag("end_at").over(order)})
+    start, end = F.col("start_at"), F.col("end_at")
+    fault = first_of(
+        (F.upper(F.trim("symbol")) != F.upper(F.trim("wanted")), "intraday_symbol_mismatch"), (end != start + F.expr("INTERVAL 1 MINUTE"), "invalid_minute_interval"),
+        (F.date_trunc("minute", start) != start.cast("timestamp"), "minute_not_aligned"), (~F.col("is_complete"), "incomplete_intraday_bar"),
+        ((start < F.col("from_at")) | (end > F.col("to_at")), "intraday_outside_window"), (end > F.col("as_of"), "intraday_bar_from_future"), (F.col("updated_at") > F.col("as_of"), "intraday_update_after_as_of"),
+        (start == F.col("before"), "duplicate_intraday_bar"), (start < F.col("before"), "intraday_not_sorted"), (start < F.col("before_end"), "overlapping_intraday_bars"),
+    )
+    marked = asked.withColumn("fault", fault)
+    facts = marked.groupBy("request_id").agg(
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("fault"), F.count_distinct("adjustment").alias("adjustments"), F.count_distinct("data_mode").alias("modes"),
+        *[F.count_if(F.col("session") == s).alias(f"in_{s}") for s in sessions], F.count_if(F.col("session") == "unknown").alias("unknown"), F.count_if(F.col("updated_at").isNull()).alias("untimed"),
+    )
+    rows = requests.select("request_id").join(facts, "request_id", "left").na.fill(0)
+    empty = sum(((F.col(f"in_{s}") == 0).cast("int") for s in sessions), F.lit(0))
+    reject = first_of((F.col("fault").isNotNull(), F.col("fault")), (F.col("adjustments") > 1, "mixed_intraday_adjustment"), (F.col("modes") > 1, "mixed_intraday_data_mode"))
+    issues = F.array_compact(F.array(
+        F.when(empty > 0, "required_sessions_not_observed"), F.when(F.col("unknown") > 0, "unknown_trade_session"), F.when(F.col("untimed") > 0, "intraday_update_time_unknown"),
+    ))
+    status = F.when(reject.isNotNull() | (empty == len(sessions)), "rejected").when(F.size(issues) > 0, "degraded").otherwise("usable")
+    return rows.select("request_id", status.alias("status"), F.when(reject.isNotNull(), reject).otherwise(F.array_join(issues, "|")).alias("issues"))

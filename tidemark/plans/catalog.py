@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import macro, market, reactions, records, vendors, workflow  # noqa: F401
+from tidemark.plans import macro, market, reactions, records, vendors, workflow, visible, parts  # noqa: F401, I001 - visible takes up what the others registered
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 

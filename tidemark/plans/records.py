@@ -54,7 +54,7 @@ def c15_quote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BQ = """b AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day) AS ordinal, day, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
 q AS (SELECT symbol, ordinal, CASE WHEN symbol = 'N03' AND ordinal = 5 THEN day - 400 ELSE day END AS day, CASE WHEN symbol = 'N05' AND ordinal = 7 THEN 'raw' ELSE 'forward_adjusted' END AS adjustment,
-  NOT (ordinal = n OR (symbol = 'N07' AND ordinal = n - 1)) AS is_complete FROM b WHERE symbol != 'N09' OR ordinal <= 30)"""
+  NOT (ordinal = n OR (symbol = 'N07' AND ordinal = n - 1)) AS is_complete FROM b)"""
 
 
 @query(sql("bars", f"""{_BQ}, l AS (SELECT *, lag(day) OVER (PARTITION BY symbol ORDER BY ordinal) AS before, ordinal = max(ordinal) OVER (PARTITION BY symbol) AS last FROM q),
@@ -67,7 +67,7 @@ coalesce(bad, concat_ws('|', CASE WHEN c < 60 THEN 'bar_window_insufficient' END
 def c16_bar_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with planted faults in some symbols; the newest bar is open."""
     by = Window.partitionBy("symbol")
-    b = views.bars(spark, sf_dir).select("symbol", "day", F.row_number().over(by.orderBy("day")).alias("ordinal"), F.count("*").over(by).alias("n")).where("symbol != 'N09' OR ordinal <= 30")
+    b = views.bars(spark, sf_dir).select("symbol", "day", F.row_number().over(by.orderBy("day")).alias("ordinal"), F.count("*").over(by).alias("n"))
     planted = F.when((F.col("symbol") == "N03") & (F.col("ordinal") == 5), F.date_sub("day", 400)).otherwise(F.col("day"))
     at = planted.cast("timestamp_ntz")
     rows = b.select(
@@ -81,14 +81,14 @@ def c16_bar_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SESSION = "CASE WHEN hour(start_at) < 9 THEN 'pre' WHEN hour(start_at) < 16 THEN 'regular' WHEN hour(start_at) < 20 THEN 'post' ELSE 'unknown' END"
 
 
-@query(sql("minute_bars", f"""s AS (SELECT symbol, {_SESSION} AS session FROM minute_bars WHERE start_at < TIMESTAMP '2024-01-01 18:00:00'),
+@query(sql("minute_bars", f"""s AS (SELECT symbol, {_SESSION} AS session FROM minute_bars),
 c AS (SELECT symbol, count(*) FILTER (session = 'pre')::BIGINT AS pre, count(*) FILTER (session = 'regular')::BIGINT AS regular, count(*) FILTER (session = 'post')::BIGINT AS post, count(*) FILTER (session = 'unknown')::BIGINT AS unknown FROM s GROUP BY symbol)
 SELECT symbol, CASE WHEN pre + regular + post = 0 THEN 'none_observed' WHEN pre = 0 OR regular = 0 OR post = 0 THEN 'partially_observed' ELSE 'all_observed' END AS status, pre, regular, post, unknown,
 concat_ws('|', CASE WHEN pre = 0 OR regular = 0 OR post = 0 THEN 'required_sessions_not_observed' END, CASE WHEN unknown > 0 THEN 'unknown_trade_session_present' END) AS warnings FROM c"""))
 def a02_session_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.hour("start_at")
     session = F.when(hour < 9, "pre").when(hour < 16, "regular").when(hour < 20, "post").otherwise("unknown")
-    bars = views.minute_bars(spark, sf_dir).where(F.col("start_at") < F.to_timestamp_ntz(F.lit("2024-01-01 18:00:00"))).select("symbol", session.alias("session"))
+    bars = views.minute_bars(spark, sf_dir).select("symbol", session.alias("session"))
     return quality.session_coverage(bars, ["pre", "regular", "post"])
 
 
@@ -144,28 +144,28 @@ def k03_latest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.latest_manifest(made, F.to_date(F.lit("1999-06-15")), inclusive=False).select("company", "config", _text("as_of"), "manifest")
 
 
-_TOP = """q AS (SELECT vec_id AS query_id, embedding AS query, label FROM embeddings WHERE vec_id < 10),
+_TOP = """q AS (SELECT vec_id AS query_id, embedding AS query, label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_distance(query::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q JOIN embeddings e ON e.label = q.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s)"""
 
 
 @query(f"WITH {_TOP} SELECT query_id, vec_id, round(distance, 5) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
 def k01_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten questions, the first ten vectors, against all vectors of their label."""
+    """Every vector whose id is divisible by 20 against all vectors of its label."""
     vectors = read(spark, sf_dir, "embeddings")
-    questions = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    questions = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
     return retrieval.top_k(questions, vectors, 5, "label").withColumn("distance", F.round("distance", 5))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query, label FROM embeddings WHERE vec_id < 10),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query, label FROM embeddings WHERE vec_id % 20 = 0),
 r AS (SELECT query_id, q.label, e.label AS found, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_distance(query::DOUBLE[], embedding::DOUBLE[]), vec_id) AS rank FROM q CROSS JOIN embeddings e)
 SELECT query_id, count(*) FILTER (found = label)::BIGINT AS hits, round(count(*) FILTER (found = label) / 10.0::DOUBLE, 4) AS precision_at_10 FROM r WHERE rank <= 10 GROUP BY query_id""")
 def c40_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    questions = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    questions = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = retrieval.top_k(questions, vectors.select("vec_id", "embedding"), 10)
     label = vectors.select("vec_id", "label")
-    rows = found.join(label, "vec_id").join(F.broadcast(label.where("vec_id < 10").toDF("query_id", "wanted")), "query_id")
+    rows = found.join(label, "vec_id").join(F.broadcast(label.where("vec_id % 20 = 0").toDF("query_id", "wanted")), "query_id")
     return rows.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("wanted")).alias("hits"), F.round(F.count_if(F.col("label") == F.col("wanted")) / 10, 4).alias("precision_at_10"))
 
 
@@ -184,7 +184,21 @@ def f14_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where(t.contains("copyright") | t.contains("license")).select("doc_id")
 
 
-@query()
+def _last(mark: str, n: int) -> str:
+    return f"CASE WHEN contains(part, {mark}) THEN low + length(part) - strpos(reverse(part), {mark}) + 1 - {n} END"
+
+
+#: Chunks of 1000 characters, cut in their second half, that begin 150 before the last one's end.
+_CHUNKS = f"""g(doc_id, text, k, s, e) AS (
+  SELECT doc_id, text, 0, 0, 0 FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, k + 1, from_, CASE WHEN stop = length(text) THEN stop ELSE coalesce({_last("chr(10) || chr(10)", 2)}, {_last("chr(10)", 1)}, {_last("' '", 1)}, stop) END
+  FROM (SELECT *, least(from_ + 500, stop) AS low, substr(text, least(from_ + 500, stop)::BIGINT + 1, (stop - least(from_ + 500, stop))::BIGINT) AS part
+    FROM (SELECT *, least(from_ + 1000, length(text)) AS stop FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE e - 150 END AS from_ FROM g WHERE k = 0 OR e < length(text))))),
+ch AS (SELECT doc_id, (k - 1)::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char FROM g WHERE k > 0)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM ch")
 def w22_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunks(read(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "start_char", "end_char")
 
@@ -194,7 +208,11 @@ def x03_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.blocks(read(spark, sf_dir, "pages"))
 
 
-@query()
+_LINES = r"l AS (SELECT doc_id, i AS block_index, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_LINES}, b AS (SELECT doc_id, block_index - 1 AS block_index, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+SELECT b.doc_id, block_index::INT AS block_index, chunk_index FROM b JOIN ch USING (doc_id) WHERE start < end_char AND start + n > start_char""")
 def j17_block_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines of a document, as its blocks, each of its chunks holds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -202,9 +220,6 @@ def j17_block_chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.overlaps(text.block_offsets(lines, "doc_id", "block_index", gap=1), text.chunks(docs), "doc_id")
 
 
-_LINES = r"l AS (SELECT doc_id, i AS block_index, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
-
-
 @query(f"WITH {_LINES} SELECT doc_id, block_index::BIGINT AS block_index, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM l")
 def w23_block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a document as its blocks."""
