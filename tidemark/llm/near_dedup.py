@@ -214,7 +214,7 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
         if turn < ROUNDS:
             found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            found = _rest(cut(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles"), "node")))
+            found = _rest(cut(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
         pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             if turn < ROUNDS:
@@ -230,20 +230,41 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     return table, known
 
 
+def _words(sketch: Column) -> list[Column]:
+    """A sketch as longs of four registers each."""
+
+    def half(at: int) -> Column:
+        return F.conv(F.hex(F.substring(sketch, F.lit(at + 1), F.lit(4))), 16, 10).cast("long")
+
+    return [F.shiftleft(half(at), 32).bitwiseOR(half(at + 4)) for at in range(0, 2 * BUCKETS, 8)]
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """How many of the four registers in two longs differ: each register's bits are gathered in its lowest one."""
+    x = a.bitwiseXOR(b)
+    for n in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+
+
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs a, b of members (band, node, root, n_shingles) of a bucket whose components differ and whose sizes allow a link.
+    """Pairs a, b of members (band, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
 
     Not both are of the bucket's largest component. Sizes within the threshold differ by at most
-    one class of a logarithmic scale, so only those of neighbouring classes meet.
+    one class of a logarithmic scale, so only those of neighbouring classes meet, and a pair whose
+    registers agree too rarely is never emitted: the join itself compares sketches, word by word.
     """
-    sized = members.withColumn("scale", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT + 1e-4))))
+    n = 2 * BUCKETS // 8
+    scale = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT + 1e-4)))
+    sized = members.select("band", "node", "root", "n_shingles", scale.alias("scale"), F.array(*_words(F.col("sketch"))).alias("w"))
     most = members.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    left = sized.join(most, "band").where("root != most").select("band", "scale", F.col("node").alias("a0"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), "most")
-    right = sized.select("band", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])).alias("scale"), F.col("node").alias("b0"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+    left = sized.join(most, "band").where("root != most").select("band", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])).alias("scale"), F.col("node").alias("a0"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), "most", *[F.coalesce(F.get("w", F.lit(k)), F.lit(0)).alias(f"a{k + 1}") for k in range(n)])
+    right = sized.select("band", "scale", F.col("node").alias("b0"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), *[F.coalesce(F.get("w", F.lit(k)), F.lit(0)).alias(f"b{k + 1}") for k in range(n)])
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    unlike = sum((_unlike(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(2, n + 1)), _unlike(F.col("a1"), F.col("b1")))
     return (
         left.join(right, ["band", "scale"])
-        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a0") < F.col("b0"))) & near)
+        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a0") < F.col("b0"))) & near & (unlike <= int(BUCKETS * (1 - PERCENT / 100 + MARGIN))))
         .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
     )
 
