@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps with the columns
 that they came with; the last returns where their tokens go. run() writes what a stage returns to
 the shared folder and reads it back for the next one.
+
+Defined results: rows with null or empty texts fail the rules. Rows that repeat id and text become one
+in the dedup stage, where a row with a null id stays; a null source is mixed as a source of its own.
+Very long texts go whole through every stage. Columns besides doc_id, text, lang and source are carried
+along under any name. Empty tables give an empty result.
 """
 
 from __future__ import annotations
