@@ -160,3 +160,20 @@ def test_sessions_keep_their_settings(spark):
     frame = spark.createDataFrame([(1, bytearray(chroma.tones(np.zeros(64))))], "rec_id long, media binary")
     chroma.search(frame, F.col("media"), F.col("rec_id") == 1).collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i, text(80), "en", "ab"[i % 2], 400, "clash") for i in range(60)]
+    rows += [rows[3], (500, rows[4][1], "en", "a", 400, "clash"), (501, None, "en", "a", 0, None), (502, "", None, None, 0, None), (None, text(90), None, None, 450, None), (503, text(30000), "en", "b", 180000, "clash")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, stratum string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(0, 60, 2)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    ruled = corpus_pipeline.rules(spark, docs, str(tmp_path))
+    assert ruled.columns == docs.columns and ruled.count() == len(rows) - 2
+    once = corpus_pipeline.near_duplicates(spark, ruled, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] or -1 for r in once) == sorted([*range(1, 60), -1, -1, 503])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed and not {501, 502, 500} & {r["doc_id"] for r in packed}
