@@ -46,6 +46,8 @@ ROUNDS = 3
 PERCENT = 80
 #: Sets in an Arrow batch.
 BATCH_ROWS = 2000
+#: Left and right members that meet in one task of the last round.
+BLOCK, PIECE = 256, 65536
 #: Estimates this far below the threshold are not confirmed: six standard errors at 128 buckets.
 MARGIN = 6 * (0.8 * 0.2 / BUCKETS) ** 0.5
 
@@ -192,10 +194,10 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     )
     width = 2 * BAND
     bands = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1))).alias("i"), "sketch").select(
-        "node", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
+        "node", "i", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
     )
     shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = cut(bands.join(shared, "band").select("band", "node"))
+    members = cut(bands.join(shared, "band").select("band", "i", "node"))
     active = lookup(cut(members.select("node").distinct()))
     chosen = cut(classes.join(active, "node", "left_semi").select("node", "n_shingles", "sketch", "row"))
     ids = lookup(chosen.select("node", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")))
@@ -230,43 +232,80 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     return table, known
 
 
-def _words(sketch: Column) -> list[Column]:
-    """A sketch as longs of four registers each."""
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell's left and right members that may be similar, from rows sorted by cell with the left ones first.
 
-    def half(at: int) -> Column:
-        return F.conv(F.hex(F.substring(sketch, F.lit(at + 1), F.lit(4))), 16, 10).cast("long")
-
-    return [F.shiftleft(half(at), 32).bitwiseOR(half(at + 4)) for at in range(0, 2 * BUCKETS, 8)]
-
-
-def _unlike(a: Column, b: Column) -> Column:
-    """How many of the four registers in two longs differ: each register's bits are gathered in its lowest one."""
-    x = a.bitwiseXOR(b)
-    for n in (8, 4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    Holds the left members of one cell, at most about BLOCK, and a batch of right ones.
+    """
+    cell, left = None, []
+    luck = np.asarray(chance())
+    for batch in batches:
+        col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        cells = np.stack([np.asarray(col[name]) for name in ("band", "scale", "block", "piece")], axis=1)
+        start = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]) if len(cells) else []
+        main, side = (np.asarray(col[name].cast(pa.int8())) for name in ("main", "side"))
+        node, root, size, at = (np.asarray(col[name]) for name in ("node", "root", "n_shingles", "i"))
+        sketch = np.frombuffer(b"".join(col["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+        found = []
+        for begin, end in zip(start, [*start[1:], len(cells)]):
+            if (key := tuple(cells[begin])) != cell:
+                cell, left = key, []
+            middle = begin + int((side[begin:end] == 0).sum())
+            if middle > begin:
+                left.append([x[begin:middle] for x in (node, root, size, sketch)])
+            if middle == end or not left:
+                continue
+            a, ra, na, ka = (np.concatenate(x) for x in zip(*left))
+            left = [[a, ra, na, ka]]
+            for low in range(middle, end, 512):
+                part = slice(low, min(end, low + 512))
+                small, large = np.minimum(na[:, None], size[part]), np.maximum(na[:, None], size[part])
+                meet = (ra[:, None] != root[part]) & (100 * small >= PERCENT * large) & ((main[part] == 1) | (a[:, None] < node[part]))
+                x, y = np.nonzero(meet)
+                for k in range(0, len(x), 8192):
+                    u, v = x[k : k + 8192], y[k : k + 8192] + low
+                    same = ka[u] == sketch[v]
+                    by_chance = luck[np.minimum(len(luck), np.floor(np.log2(np.maximum(na[u], size[v]))).astype(int) + 1) - 1]
+                    near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= PERCENT / 100 - MARGIN
+                    first = same[near].reshape(-1, BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1) == at[v[near]]
+                    found.append((a[u[near][first]], node[v[near][first]]))
+        if found:
+            u, v = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs a, b of members (band, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
+    """Pairs a, b of members (band, i, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
 
     Not both are of the bucket's largest component. Sizes within the threshold differ by at most
-    one class of a logarithmic scale, so only those of neighbouring classes meet, and a pair whose
-    registers agree too rarely is never emitted: the join itself compares sketches, word by word.
+    one class of a logarithmic scale, so only those of neighbouring classes meet: the members
+    outside the largest component are the left side of up to three cells, all members the right
+    side of one. A cell is dealt into blocks of its left and pieces of its right side, so that no task
+    takes a whole bucket, and sketches are compared there: a pair whose estimate is too low is
+    never a row. A pair that meets in several buckets comes from the first band that agrees.
     """
-    n = 2 * BUCKETS // 8
     scale = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT + 1e-4)))
-    sized = members.select("band", "node", "root", "n_shingles", scale.alias("scale"), F.array(*_words(F.col("sketch"))).alias("w"))
+    sized = members.withColumn("scale", scale)
     most = members.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    left = sized.join(most, "band").where("root != most").select("band", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])).alias("scale"), F.col("node").alias("a0"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), "most", *[F.coalesce(F.get("w", F.lit(k)), F.lit(0)).alias(f"a{k + 1}") for k in range(n)])
-    right = sized.select("band", "scale", F.col("node").alias("b0"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), *[F.coalesce(F.get("w", F.lit(k)), F.lit(0)).alias(f"b{k + 1}") for k in range(n)])
-    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    unlike = sum((_unlike(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(2, n + 1)), _unlike(F.col("a1"), F.col("b1")))
-    return (
-        left.join(right, ["band", "scale"])
-        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a0") < F.col("b0"))) & near & (unlike <= int(BUCKETS * (1 - PERCENT / 100 + MARGIN))))
-        .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
+    sized = cut(sized.join(most, "band").withColumn("main", F.col("root") == F.col("most")).drop("most"))
+    left = sized.where("NOT main").withColumn("scale", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])))
+    cells = (
+        left.groupBy("band", "scale").agg(F.count("*").alias("lefts"))
+        .join(sized.groupBy("band", "scale").agg(F.count("*").alias("rights")), ["band", "scale"])
+        .select("band", "scale", F.ceil(F.col("lefts") / BLOCK).alias("blocks"), F.ceil(F.col("rights") / PIECE).alias("pieces"))
     )
+    cells = cut(cells)
+
+    def dealt(side: DataFrame, own: str, every: str, rank: int) -> DataFrame:
+        rows = side.join(cells, ["band", "scale"]).withColumn(own, F.pmod(F.xxhash64("node", F.lit(11)), F.col(f"{own}s")))
+        rows = rows.withColumn(every, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{every}s") - 1)))
+        return rows.withColumn("side", F.lit(rank)).select(
+            "band", "scale", "block", "piece", "side", "i", "node", "root", "n_shingles", "main", "sketch"
+        )
+
+    both = dealt(left, "block", "piece", 0).unionByName(dealt(sized, "piece", "block", 1))
+    cell = ["band", "scale", "block", "piece"]
+    return both.repartition(*cell).sortWithinPartitions(*cell, "side").mapInArrow(_likely, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5) -> DataFrame:
