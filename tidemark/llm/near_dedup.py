@@ -48,6 +48,7 @@ PERCENT = 80
 BATCH_ROWS = 2000
 #: Left and right members that meet in one task of the last round.
 BLOCK, PIECE = 256, 65536
+CELL = ["band", "scale", "block", "piece"]
 #: Estimates this far below the threshold are not confirmed: six standard errors at 128 buckets.
 MARGIN = 6 * (0.8 * 0.2 / BUCKETS) ** 0.5
 
@@ -179,6 +180,15 @@ def _one_document(rows: DataFrame) -> DataFrame:
     return rows.join(lookup(least), "doc_id").where("key1 != u").select("u", F.col("key1").alias("v")).distinct()
 
 
+def _open(members: DataFrame, tree: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The members with their components' roots, and the bands of several components with the leader of this turn."""
+    roots = tree.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_hash = F.xxhash64("node", F.lit(turn))
+    lead = [F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", by_hash).alias("lead"), F.min_by("root", by_hash).alias("lead_root")]
+    return placed, placed.groupBy("band").agg(*lead).where("r0 < r1")
+
+
 def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and per set (key1, key2, n_shingles) the first row, as struct of doc_id and mark, of its component.
 
@@ -208,23 +218,20 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     none = chosen.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     tree = components(_one_document(rows)).toDF("u", "v") if by_id else cut(none)
     tested = cut(none).toDF("a", "b")
-    for turn in range(ROUNDS + 1):
-        roots = tree.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_hash = F.xxhash64("node", F.lit(turn))
-        open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", by_hash).alias("lead"), F.min_by("root", by_hash).alias("lead_root")).where("r0 < r1")
-        if turn < ROUNDS:
-            found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        else:
-            found = _rest(cut(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
+    for turn in range(ROUNDS):
+        placed, open_ = _open(members, tree, turn)
+        found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if turn < ROUNDS:
-                continue
-            break
-        edges = _confirmed(pairs, chosen, sets)
+        if pairs.limit(1).count():
+            tree = components(tree.unionByName(_confirmed(pairs, chosen, sets))).toDF("u", "v")
+            tested = tested.unionByName(pairs)
+    placed, open_ = _open(members, tree, ROUNDS)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        near = cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
+        near = near.withColumns({"a": F.least("l", "r"), "b": F.greatest("l", "r")}).join(tested, ["a", "b"], "left_anti")
+        edges = cut(_within_cells(near, sets))
+    if edges.limit(1).count():
         tree = components(tree.unionByName(edges)).toDF("u", "v")
-        tested = tested.unionByName(pairs)
     joined = tree.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     placed = classes.select("key1", "key2", "n_shingles", "row", "node").join(joined, "node", "left")
     first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("row").alias("first"))
@@ -241,7 +248,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     luck = np.asarray(chance())
     for batch in batches:
         col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        cells = np.stack([np.asarray(col[name]) for name in ("band", "scale", "block", "piece")], axis=1)
+        cells = np.stack([np.asarray(col[name]) for name in CELL], axis=1)
         start = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]) if len(cells) else []
         main, side = (np.asarray(col[name].cast(pa.int8())) for name in ("main", "side"))
         node, root, size, at = (np.asarray(col[name]) for name in ("node", "root", "n_shingles", "i"))
@@ -268,14 +275,51 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     by_chance = luck[np.minimum(len(luck), np.floor(np.log2(np.maximum(na[u], size[v]))).astype(int) + 1) - 1]
                     near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= PERCENT / 100 - MARGIN
                     first = same[near].reshape(-1, BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1) == at[v[near]]
-                    found.append((a[u[near][first]], node[v[near][first]]))
+                    u, v = u[near][first], v[near][first]
+                    found.append(np.column_stack([cells[v], a[u], node[v]]))
         if found:
-            u, v = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T], names=[*CELL, "l", "r"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges u, v between a cell's left sets and its right ones, which name those to compare and come after them."""
+    cell, left = None, {}
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(k)) for k in range(len(CELL))], axis=1)
+        node, names, sets = (batch.column(len(CELL) + k) for k in range(3))
+        found = []
+        for row in range(batch.num_rows):
+            if (key := tuple(keys[row])) != cell:
+                cell, left = key, {}
+            mine, own = node[row].as_py(), np.asarray(sets[row].values)
+            if not names[row].is_valid:
+                left[mine] = own
+                continue
+            others = names[row].as_py()
+            sizes = np.array([len(left[other]) for other in others])
+            every = np.concatenate([left[other] for other in others])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = 100 * both >= PERCENT * (sizes + len(own) - both)
+            found += [(other, mine) for other, yes in zip(others, linked) if yes]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
+
+
+def _within_cells(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges u, v of those pairs l, r of near whose full sets are similar enough.
+
+    A set goes to each cell that needs it once, not with each of its pairs: at most about BLOCK left
+    sets are held, and each right set comes by with the names of those to compare it with.
+    """
+    lefts = near.select(*CELL, F.col("l").alias("node")).distinct().withColumn("names", F.lit(None).cast("array<bigint>"))
+    rights = near.groupBy(*CELL, F.col("r").alias("node")).agg(F.collect_set("l").alias("names"))
+    rows = lefts.unionByName(rights).join(sets, "node").select(*CELL, "node", "names", "set")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Pairs a, b of members (band, i, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
+    """Cells and pairs l, r of members (band, i, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
 
     Not both are of the bucket's largest component. Sizes within the threshold differ by at most
     one class of a logarithmic scale, so only those of neighbouring classes meet: the members
@@ -300,12 +344,11 @@ def _rest(members: DataFrame) -> DataFrame:
         rows = side.join(cells, ["band", "scale"]).withColumn(own, F.pmod(F.xxhash64("node", F.lit(11)), F.col(f"{own}s")))
         rows = rows.withColumn(every, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{every}s") - 1)))
         return rows.withColumn("side", F.lit(rank)).select(
-            "band", "scale", "block", "piece", "side", "i", "node", "root", "n_shingles", "main", "sketch"
+            *CELL, "side", "i", "node", "root", "n_shingles", "main", "sketch"
         )
 
     both = dealt(left, "block", "piece", 0).unionByName(dealt(sized, "piece", "block", 1))
-    cell = ["band", "scale", "block", "piece"]
-    return both.repartition(*cell).sortWithinPartitions(*cell, "side").mapInArrow(_likely, "a long, b long")
+    return both.repartition(*CELL).sortWithinPartitions(*CELL, "side").mapInArrow(_likely, ", ".join(f"{c} long" for c in [*CELL, "l", "r"]))
 
 
 def groups(docs: DataFrame, size: int = 5) -> DataFrame:
