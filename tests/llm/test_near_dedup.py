@@ -116,3 +116,23 @@ def test_rows_that_share_an_id(spark):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"], r["mark"]) for r in kept.collect()) == sorted([(3, x, "a"), (5, y, "c"), (9, "lone text", "e"), (0, x, "f")])
+
+
+def test_last_round_alone_links_all_over_many_blocks(spark, monkeypatch):
+    """Documents that share a passage fill buckets with unlike members; small blocks and pieces split their cells."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "PIECE", 8)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}-{i}" for i in range(rng.choice([15, 20, 30, 40, 80]))]
+        for _ in range(rng.choice([1, 1, 3])):
+            words = common + own
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result(spark, rows, 2)}
+    assert found == brute(rows, 2)
+    assert len({c for _, c in found.values()}) > 1
