@@ -14,7 +14,7 @@ Groups of copies are linked without all their pairs. In each of ROUNDS rounds ev
 has one leader, and members of other components are compared with it; components then grow by
 what was confirmed. At last, in each bucket that still holds several components, the members
 outside its largest component are compared with all members of other components, so that no link
-between components goes untested.
+between components goes untested: in cells that are dealt over tasks, where full sets are confirmed too.
 
 Nodes of the graph are sets, not ids. groups() links the sets of rows that share an id, as one
 document; keep_one() doesn't, so that a text goes only if a like one stays.
