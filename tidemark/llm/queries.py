@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chats, chroma, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, sql, token_counts, warc
+from tidemark.llm import chats, chroma, mixing, near_dedup, packing, quality_classifier, quality_rules, repeats, sharding, spelling, sql, token_counts, warc, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,10 +57,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long can't hold is null."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_words(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pack_sequences, op2_chroma_fingerprints, op3_near_duplicates, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_collapse, op8_shards, op9_mix_sources, op10_quality_rules]
+    found += [op11_whitened_embeddings, op12_repeated_passages, op13_spelling_variants]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.OP4, "op7_chat_collapse": sql.OP7, "op9_mix_sources": sql.op9(), "op10_quality_rules": sql.op10()}
+    return {"op4_warc": sql.OP4, "op7_chat_collapse": sql.OP7, "op9_mix_sources": sql.op9(), "op10_quality_rules": sql.op10(), "op12_repeated_passages": sql.OP12, "op13_spelling_variants": sql.op13()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules
+from tidemark.llm import mixing, quality_rules, spelling
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -113,3 +113,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
 FROM m
 """
+
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT r, doc_id, i, ws[i:i + 12] AS seq FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+f AS (SELECT seq, min(doc_id) AS first FROM w GROUP BY seq HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, i + k AS i FROM w JOIN f USING (seq), (SELECT unnest(range(13)) AS k) WHERE first < doc_id),
+l AS (SELECT r, list(i) AS gone FROM g GROUP BY r),
+e AS (SELECT r, i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d SEMI JOIN l USING (r))),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN l USING (r) LEFT JOIN k USING (r)
+"""
+
+
+def op13() -> str:
+    """The checksum goes byte by byte, with its table made from the polynomial; words that are near have equal strings with a letter left out."""
+    step = "(SELECT CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END)"
+    table = "WITH RECURSIVE c0 AS (SELECT i, i::BIGINT AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, " + step.format("c") + ", k + 1 FROM c0 WHERE k < 8)"
+    letters = spelling.LETTERS
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+{table},
+crc AS (SELECT list(c ORDER BY i) AS t FROM c0 WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(run, '{upper}', '{lower}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{letters}]+')) AS run FROM documents) GROUP BY ALL),
+hex AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS x FROM runs),
+h AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT),
+    lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::BIGINT]), 4294967295::BIGINT), 4294967295) AS h
+  FROM hex, crc),
+spelt AS (
+  SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.short = v.word
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.short = v.word),
+best AS (
+  SELECT pairs.word, count(*) AS n_near, first(near ORDER BY v.n DESC, near) AS near, max(v.n) AS near_n FROM pairs JOIN v ON v.word = near GROUP BY pairs.word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near END AS form,
+    CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS here, form AS next FROM forms
+  UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.next)
+SELECT word, n, n_near, form, form_n, here AS root FROM forms JOIN (SELECT word, here FROM walk WHERE next IS NULL) USING (word)
+"""
