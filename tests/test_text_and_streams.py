@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import mentions, text
 from tidemark.sources import views
 from tidemark.streaming import event_log
 
@@ -38,12 +41,47 @@ def test_normalized_text(spark):
 def test_tickers(spark):
     row = spark.createDataFrame([("buy $aapl, BRK.B or MSFT; not abc or TOOLONGS, MSFT again",)], "t string").select(text.tickers(F.col("t")).alias("t")).first()
     assert row["t"] == ["AAPL", "BRK.B", "MSFT"]
-    assert text.ticker_spans("x $ab-c y") == [("AB-C", 2, 7)]
+    assert mentions.ticker_spans("x $ab-c y") == [("AB-C", 2, 7)]
+
 
+def test_merged_mentions_keep_the_longest():
+    start, stop, rank = (np.array(x) for x in ([0, 2, 10, 11, 9], [3, 9, 12, 13, 10], [0, 1, 1, 0, 1]))
+    assert mentions.kept(start, stop, rank).tolist() == [1, 4, 3]
 
-def test_merge_mentions_keeps_the_longest(spark):
-    rows = spark.createDataFrame([([(0, 3, 0, "a"), (2, 9, 1, "b"), (10, 12, 1, "c"), (11, 13, 0, "d")],)], "m array<struct<start:int,stop:int,rank:int,text:string>>")
-    assert [m["text"] for m in rows.select(text.merge_mentions(F.col("m")).alias("m")).first()["m"]] == ["b", "d"]
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9), st.integers(0, 1)), max_size=30))
+def test_merged_mentions_are_those_of_a_plain_loop(given_):
+    rows = list(dict.fromkeys((a, a + n, r) for a, n, r in given_))
+    chosen = []
+    for m in sorted(rows, key=lambda m: (m[0] - m[1], m[2], m[0])):
+        if not any(m[0] < o[1] and o[0] < m[1] for o in chosen):
+            chosen.append(m)
+    columns = [np.array(c, dtype=np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
+    assert [rows[i] for i in mentions.kept(*columns)] == sorted(chosen)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abAB1_ 英伟达苹İſ+.", max_size=60), st.lists(st.text(alphabet="abA1 英伟达苹+.", min_size=1, max_size=4), max_size=8, unique=True))
+def test_aliases_are_found_as_by_a_pattern_each(message, entries):
+    entries = list({mentions.folded(e): e for e in entries}.values())
+    want = []
+    for entry in entries:
+        pattern = re.escape(mentions.folded(entry))
+        if any(c.isascii() and c.isalpha() for c in entry):
+            pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
+        want += [(*m.span(), entry) for m in re.finditer(pattern, mentions.folded(message))]
+    assert sorted(mentions.Scanner(entries).spans(message)) == sorted(want)
+    plain = [(*m.span(), e) for e in entries for m in re.finditer(re.escape(e), message)]
+    assert sorted(mentions.Scanner(entries, plain=True).spans(message)) == sorted(plain)
+
+
+def test_aliases_without_latin_letters_are_found(spark):
+    messages = spark.createDataFrame([(1, "买英伟达和NVIDIA Corp_2"), (2, "用C++11或c++"), (3, "pineapple apple"), (4, None), (5, "")], "doc_id long, text string")
+    names = spark.createDataFrame([("英伟达",), ("nvidia corp",), ("c++",), ("apple",), ("",), (None,)], "alias string")
+    found = {(r["doc_id"], r["start"], r["stop"], r["name"], r["said"]) for r in mentions.spans(messages, names, with_tickers=False).collect()}
+    assert found == {(1, 1, 4, "英伟达", "英伟达"), (1, 5, 16, "nvidia corp", "NVIDIA Corp"), (2, 7, 10, "c++", "c++"), (3, 10, 15, "apple", "apple")}
+    assert {tuple(r) for r in text.aliases_in(messages, names).collect()} == {(1, "英伟达"), (1, "nvidia corp"), (2, "c++"), (3, "apple")}
 
 
 def test_overlapping_blocks_and_chunks(spark):
@@ -75,7 +113,7 @@ def test_stream_of_bars_equals_the_batch(spark, tmp_path):
 
 def test_stream_of_ids_equals_the_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    log = views.event_log(spark, DATA).select("thread_id", "turn", "type")
+    log = views.event_log(spark, DATA).select("thread_id", "turn", "type", "data")
     log.write.parquet(str(tmp_path / "log"))
     stream = event_log.numbered_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")))
     found = {tuple(r) for r in _drained(stream, "stream_ids", tmp_path, spark).select("thread_id", "turn", "event_id").collect()}
@@ -89,7 +127,7 @@ def test_a_large_dictionary_is_scanned_in_blocks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"a w{i % 7} b w{i % 11} c") for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     entries = [(k, f" w{k} ") for k in range(13)] + [(3, " w5 "), (4, " w4 "), (20, ""), (21, None)]
     spark.createDataFrame(entries, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    monkeypatch.setattr(records, "ENTRIES", 4, raising=False)
+    monkeypatch.setattr(mentions, "BLOCK_CHARS", 12)
     want = {}
     for item, entry in entries:
         n = sum(entry in f"a w{i % 7} b w{i % 11} c" for i in range(40)) if entry else 0
@@ -98,6 +136,6 @@ def test_a_large_dictionary_is_scanned_in_blocks(spark, tmp_path, monkeypatch):
     assert {r["item_id"]: r["documents"] for r in records.j21_alias_scan(spark, str(tmp_path)).collect()} == want
     spark.createDataFrame([(k, f"entry {k}") for k in range(10_001)] + [(0, "w1 b")], "item_id long, text string").write.parquet(str(tmp_path / "more" / "benchmark.parquet"))
     spark.createDataFrame([(1, "entry 10000 w1 b")], "doc_id long, text string").write.parquet(str(tmp_path / "more" / "documents.parquet"))
-    monkeypatch.setattr(records, "ENTRIES", 10_000, raising=False)
+    monkeypatch.setattr(mentions, "BLOCK_CHARS", 50_000)
     found = {r["item_id"]: r["documents"] for r in records.j21_alias_scan(spark, str(tmp_path / "more")).collect()}
     assert found == {0: 1, 1: 1, 10: 1, 100: 1, 1000: 1, 10000: 1}

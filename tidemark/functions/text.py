@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TICKER = r"(?<![A-Za-z0-9_])(?:\$([A-Za-z]{1,5}(?:[.-][A-Za-z])?)|([A-Z]{1,5}(?:[.-][A-Z])?))(?![A-Za-z0-9_])"
+from tidemark.functions import mentions
 
 
 def normalized(text: Column) -> Column:
@@ -154,31 +154,10 @@ def overlaps(blocks_: DataFrame, chunks_: DataFrame, key: str, width: int = 4096
 
 def tickers(text: Column) -> Column:
     """Distinct ticker-like words, $ optional with lower case, in order of first appearance."""
-    marked = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(\$[A-Za-z]{1,5}(?:[.-][A-Za-z])?|[A-Z]{1,5}(?:[.-][A-Z])?)(?![A-Za-z0-9_])"), 1)
+    marked = F.regexp_extract_all(text, F.lit(f"({mentions.TICKER})"), 1)
     return F.array_distinct(F.transform(marked, lambda t: F.upper(F.ltrim(t, F.lit("$")))))
 
 
-def ticker_spans(text: str) -> list[tuple[str, int, int]]:
-    return [((m[1] or m[2]).upper(), *m.span()) for m in re.finditer(TICKER, text)]
-
-
-def merge_mentions(mentions: Column) -> Column:
-    """Of overlapping mentions keeps the longest first, then the lower rank (0 explicit, 1 alias), then the earlier.
-
-    mentions is an array of struct(start, stop, rank, text), the few of one message; the rest come in order of start.
-    """
-
-    def key(m: Column) -> Column:
-        return F.struct((m["start"] - m["stop"]).alias("length"), m["rank"].alias("rank"), m["start"].alias("start"), m.alias("m"))
-
-    ranked = F.transform(F.sort_array(F.transform(mentions, key)), lambda k: k["m"])
-
-    def add(out: Column, m: Column) -> Column:
-        return F.when(F.exists(out, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"])), out).otherwise(F.concat(out, F.array(m)))
-
-    return F.sort_array(F.aggregate(ranked, F.slice(mentions, 1, 0), add))
-
-
 def release_type(question: Column) -> Column:
     q = F.lower(question)
     out = F.lit(None).cast("string")
@@ -224,15 +203,5 @@ def evidence_in(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def aliases_in(messages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """doc_id and alias of each message (doc_id, text) that has an alias (in lower case) in any case, bounded by other than letters, digits and _.
-
-    Messages and aliases meet by the alias's first word, so that no message is compared with the whole
-    dictionary, and only ids are joined; the pairs that share it are then looked at in full.
-    """
-    low = messages.select("doc_id", F.lower("text").alias("low"))
-    word = F.lit("[a-z0-9_]+")
-    said = low.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", word, F.lit(0)))).alias("first"))
-    named = aliases.select("alias", F.regexp_extract("alias", "[a-z0-9_]+", 0).alias("first"))
-    pairs = said.join(named, "first").select("doc_id", "alias")
-    bounds = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), "alias", F.lit(r"\E(?![a-z0-9_])"))
-    return pairs.join(low, "doc_id").where(F.rlike(F.col("low"), bounds)).select("doc_id", "alias").distinct()
+    """doc_id and alias of each message (doc_id, text) that has an alias of the column alias, as mentions.Scanner finds them."""
+    return mentions.entries_in(messages, aliases.select(F.col("alias").alias("entry")), plain=False).select("doc_id", F.col("entry").alias("alias")).distinct()

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import mentions
+
 #: Words that compare or join several securities.
 JOINING_WORDS = ["比较", "对比", "相比", "和", "与", "跟", "以及", "还有", "还是", "哪个", "哪只", "哪一个"]
 #: Tickers that are ordinary words when written without a dollar sign.
 ORDINARY_TICKERS = ["AI"]
 #: Numerals before the word for times.
 NUMERALS = {"两": 2, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
+#: Words for what is past.
 _PAST = "(?:过去|之前|最近|前|历史)"
 DEFAULT_TIMES = 5
 
@@ -53,6 +56,19 @@ def resolve(messages: DataFrame, mentions: DataFrame, registry: DataFrame) -> Da
     return out.select("message_id", "resolved", "n_mentions", "n_ambiguous", "n_rejected", unsure.alias("needs_meaning"))
 
 
+def from_messages(messages: DataFrame, dictionary: DataFrame, registry: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """resolve() for messages (doc_id, text) themselves: both scanners, the longest of overlapping mentions, candidates checked in the registry, else in the fallback.
+
+    dictionary: alias (unique), tickers (array). registry and fallback: ticker (unique), symbol.
+    """
+    found = mentions.without_overlaps(mentions.spans(messages, dictionary.select("alias")))
+    named = found.join(dictionary.select(F.lit("alias").alias("source"), F.col("alias").alias("name"), "tickers"), ["source", "name"], "left")
+    candidates = F.when(F.col("source") == "explicit", F.array("name")).otherwise(F.col("tickers"))
+    known = registry if fallback is None else registry.unionByName(fallback.join(registry.select("ticker"), "ticker", "left_anti"))
+    given = named.select(F.col("doc_id").alias("message_id"), "start", "source", F.col("said").alias("text"), candidates.alias("candidates"))
+    return resolve(messages.select(F.col("doc_id").alias("message_id"), F.col("text").alias("message")), given, known)
+
+
 def plan_faults() -> Column:
     """The rules that a plan row breaks, in order."""
     reaction = F.col("needs_macro_reaction") | F.col("needs_macro_reaction_history")

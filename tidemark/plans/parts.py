@@ -301,21 +301,6 @@ def r10_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("event_id", "symbol", F.inline(windows))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'BBBB' WHEN p_partkey % 3 = 1 THEN 'AAA|CC' ELSE 'AAA|BBBB' END AS kept FROM part""")
-def j18_mention_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two mentions that overlap, the longer stays; a third that touches neither is kept beside."""
-    k = F.col("p_partkey") % 3
-
-    def span(start: Column | int, stop: Column | int, rank: int, name: str) -> Column:
-        return F.struct((start if isinstance(start, Column) else F.lit(start)).alias("start"), (stop if isinstance(stop, Column) else F.lit(stop)).alias("stop"), F.lit(rank).alias("rank"), F.lit(name).alias("text"))
-
-    first = span(0, 3, 0, "AAA")
-    second = span(F.when(k == 0, 2).otherwise(10), F.when(k == 0, 6).otherwise(14), 1, "BBBB")
-    third = span(11, 13, 1, "CC")
-    given = F.when(k == 0, F.array(first, second)).when(k == 1, F.array(first, third)).otherwise(F.array(first, second, third))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(text.merge_mentions(given), lambda m: m["text"]), "|").alias("kept"))
-
-
 @query(sql("facts", """f AS (SELECT l_orderkey || '-' || l_linenumber AS fact_id, max(value) AS value FROM facts GROUP BY ALL),
 e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'rag:' || o_orderkey ELSE 'fact:' || o_orderkey || '-1' END AS evidence_id FROM orders)
 SELECT o_orderkey, CASE WHEN evidence_id NOT LIKE 'fact:%' THEN 'other_kind' WHEN value IS NULL THEN 'not_found' ELSE 'found' END AS status, value FROM e LEFT JOIN f ON evidence_id = 'fact:' || fact_id"""))
@@ -387,19 +372,8 @@ def s33_composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "lang").join(keys, ["doc_id", "lang"], "left_semi")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'BRK.B|AAPL' WHEN 1 THEN 'NVDA' WHEN 2 THEN '' WHEN 3 THEN 'T|GM' ELSE 'IBM' END AS tickers FROM part""")
-def x16_ticker_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages whose tickers stand with and without a dollar, with a class, twice, within words, or too long to be one."""
-    k = F.col("p_partkey") % 5
-    message = (
-        F.when(k == 0, "buy $brk.b, then AAPL and again AAPL").when(k == 1, "$nvda or xNVDAx? nvda is no ticker").when(k == 2, "STOCKS rose, apple_A fell, and usd2T too")
-        .when(k == 3, "(T) and GM; gm's not").otherwise("IBM\tIBM-now $ibm")
-    )
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.tickers(message), "|").alias("tickers"))
-
-
 @query("""WITH a AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+ +[A-Za-z]+')) AS alias FROM benchmark), u AS (SELECT DISTINCT alias FROM a WHERE length(alias) > 0)
-SELECT alias, count(*)::BIGINT AS documents FROM u JOIN documents ON regexp_matches(lower(text), '(^|[^a-z0-9_])' || alias || '($|[^a-z0-9_])') GROUP BY alias""")
+SELECT alias, count(*)::BIGINT AS documents FROM u JOIN documents ON regexp_matches(lower(text), '(^|[^a-z0-9])' || alias || '($|[^a-z0-9])') GROUP BY alias""")
 def j21_alias_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that name an alias, the first two words of a passage, in any case and not within a word."""
     aliases = read(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]+ +[A-Za-z]+", 0)).alias("alias")).where("length(alias) > 0").distinct()

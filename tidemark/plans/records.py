@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import mentions, text
 from tidemark.operators import facts, quality, retrieval
 from tidemark.plans.registry import query
 from tidemark.sources import views
@@ -13,8 +13,6 @@ from tidemark.sources.views import read, sql
 from tidemark.streaming import event_log
 
 NOW = "2024-01-20 00:00:00"
-#: Entries of a dictionary that are broadcast together.
-ENTRIES = 10_000
 
 
 def now() -> Column:
@@ -165,10 +163,23 @@ def c40_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = retrieval.top_k(questions, vectors.select("vec_id", "embedding"), 10)
     label = vectors.select("vec_id", "label")
-    rows = found.join(label, "vec_id").join(F.broadcast(label.where("vec_id % 20 = 0").toDF("query_id", "wanted")), "query_id")
+    rows = found.join(label, "vec_id").join(label.where("vec_id % 20 = 0").toDF("query_id", "wanted"), "query_id")
     return rows.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("wanted")).alias("hits"), F.round(F.count_if(F.col("label") == F.col("wanted")) / 10, 4).alias("precision_at_10"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding, source AS company_id, lang FROM embeddings JOIN documents ON doc_id = vec_id),
+q AS (SELECT vec_id AS query_id, embedding AS query, company_id FROM s WHERE vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, q.company_id, lang, list_cosine_distance(query::DOUBLE[], embedding::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_distance(query::DOUBLE[], embedding::DOUBLE[]), vec_id) AS rank
+  FROM q JOIN s ON q.company_id IS NOT DISTINCT FROM s.company_id)
+SELECT query_id, rank::INT AS rank, vec_id, company_id, lang, round(distance, 5) AS distance FROM r WHERE rank <= 2""")
+def k02_company_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of documents with their vectors, each source a company; every 20th vector asks about its own company, or about none."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("company_id"), "lang")
+    store = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
+    questions = store.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "company_id", F.col("embedding").alias("query"))
+    return retrieval.company_retriever(questions, store, 2).withColumn("distance", F.round("distance", 5))
+
+
 @query("""WITH e AS (SELECT source AS run_id, doc_id % 50 AS evidence_id, CASE WHEN doc_id % 9 = 0 THEN 'live' WHEN doc_id % 2 = 0 THEN 'historical' ELSE 'live' END AS mode FROM documents),
 i AS (SELECT run_id, evidence_id, min(mode) AS low, max(mode) AS high FROM e GROUP BY ALL)
 SELECT run_id, CASE WHEN min(low) = max(high) THEN min(low) WHEN min(low) IS NOT NULL THEN 'mixed' END AS mode, count(*) FILTER (low != high)::BIGINT AS conflicts FROM i GROUP BY run_id""")
@@ -227,26 +238,14 @@ def w23_block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.block_offsets(lines, "doc_id", "block_index").select("doc_id", "block_index", "start_char")
 
 
-@query(r"SELECT s_suppkey, list_aggregate(list_distinct(regexp_extract_all(s_name, '[0-9]+')), 'string_agg', '|') AS digits, 'SUP' AS ticker FROM supplier")
-def x16_ticker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as messages that name a ticker twice, once with a dollar sign."""
-    message = F.concat(F.lit("buy $sup and SUP "), F.regexp_replace("s_name", "[^0-9]", ""))
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.regexp_extract("s_name", "[0-9]+", 0).alias("digits"), F.array_join(text.tickers(message), "|").alias("ticker"))
-
-
 @query("""WITH m AS (SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) WHERE length(b.text) > 0)
 SELECT item_id, count(*)::BIGINT AS documents FROM m GROUP BY item_id""")
 def j21_alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a dictionary's entries, the passages of benchmark, of which about ENTRIES at a time are broadcast."""
+    """Documents that contain a dictionary's entries, the passages of benchmark."""
     entries = read(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("entry"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    blocks = max(1, -(-entries.count() // ENTRIES))
-    found = None
-    for k in range(blocks):
-        block = entries.where(F.pmod(F.xxhash64("item_id", "entry"), F.lit(blocks)) == k)
-        hits = docs.join(F.broadcast(block), F.col("text").contains(F.col("entry"))).groupBy("item_id").agg(F.count("*").alias("documents"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("item_id").agg(F.sum("documents").alias("documents"))
+    found = mentions.entries_in(read(spark, sf_dir, "documents").select("doc_id", "text"), entries.select("entry"), plain=True)
+    counts = found.groupBy("entry").agg(F.count("*").alias("documents"))
+    return entries.join(counts, "entry").groupBy("item_id").agg(F.sum("documents").alias("documents"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
