@@ -41,7 +41,7 @@ from tidemark.llm.common import arrow_rows, cut, ready, shared_folder
 SIZE = 13
 CELLS_PER_WORD = 4
 #: Text of a slab: it is closed by the document that reaches one of these.
-SLAB_BYTES, SLAB_ROWS = 8 << 20, 1 << 16
+SLAB_BYTES, SLAB_ROWS = 5 << 20, 1 << 16
 #: Blocks of cells or keys, at least, and the most cells or keys of a block.
 BLOCKS, BLOCK_CELLS, BLOCK_KEYS = 64, 1 << 25, 1 << 20
 ROW_BITS = 20
@@ -129,13 +129,16 @@ class Slab:
         self.one = window_keys(hashes, self.size, 0x9E3779B97F4A7C15)[self.start]
         self.two = window_keys(hashes, self.size, 0xC2B2AE3D27D4EB4F)[self.start]
 
-    def cells(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The cells of the windows, row by row, the distinct ones in order, and whether several documents have them."""
-        all_ = np.concatenate([self.one % np.uint64(width), np.uint64(width) + self.two % np.uint64(width)])
-        both = np.unique((all_ << np.uint64(ROW_BITS)) | np.concatenate([self.own, self.own]).astype(np.uint64))
-        cells = both >> np.uint64(ROW_BITS)
-        at = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
-        return all_, cells[at], np.diff(np.r_[at, len(cells)]) > 1
+    def places(self, width: int) -> np.ndarray:
+        """The cells of the windows in the first row of the sketch, then those in the second."""
+        return np.concatenate([self.one % np.uint64(width), np.uint64(width) + self.two % np.uint64(width)])
+
+    def cells(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct cells of the windows in order, and whether several documents have them."""
+        both = np.sort((self.places(width) << np.uint64(ROW_BITS)) | np.concatenate([self.own, self.own]).astype(np.uint64))
+        cells = both[_new(both)] >> np.uint64(ROW_BITS)
+        at = np.flatnonzero(_new(cells))
+        return cells[at], np.diff(np.r_[at, len(cells)]) > 1
 
     def keys(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows marked repeated, in documents with an id: their places, which key each has, and the distinct keys with their least ids."""
@@ -149,6 +152,11 @@ class Slab:
         return at[order], np.cumsum(new) - 1, one[new], two[new], ids[new]
 
 
+def _new(sorted_: np.ndarray) -> np.ndarray:
+    """Where another value begins."""
+    return np.r_[True, sorted_[1:] != sorted_[:-1]] if len(sorted_) else np.zeros(0, dtype=bool)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -190,7 +198,7 @@ def _removed(slabs: DataFrame, size: int) -> DataFrame:
         for row in _rows(batches):
             slab = Slab(row, size)
             slab.windows()
-            _, cells, several = slab.cells(width)
+            cells, several = slab.cells(width)
             cuts = _block_cuts(cells, blocks, span)
             out = []
             for block in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
@@ -214,13 +222,17 @@ def _removed(slabs: DataFrame, size: int) -> DataFrame:
         for row in _rows(batches):
             slab = Slab(row, size)
             slab.windows()
-            every, cells, _ = slab.cells(width)
+            every = slab.places(width)
+            order = np.argsort(every)
+            new = _new(every[order])
+            cells = every[order][new]
             cuts = _block_cuts(cells, blocks, span)
             twice = np.zeros(len(cells), dtype=bool)
             for a in row["answers"]:
                 part = slice(cuts[a["block"]], cuts[a["block"] + 1])
                 twice[part] = np.unpackbits(np.frombuffer(a["answer"], np.uint8), count=part.stop - part.start)
-            found = twice[np.searchsorted(cells, every)]
+            found = np.empty(len(every), dtype=bool)
+            found[order] = twice[np.cumsum(new) - 1]
             repeated = found[: len(slab.one)] & found[len(slab.one) :]
             _, _, one, two, ids = slab.keys(repeated)
             cuts = _key_cuts(one, key_blocks)
