@@ -10,7 +10,7 @@ from tidemark.operators import facts, quality, retrieval
 from tidemark.plans.registry import query
 from tidemark.sources import views
 from tidemark.sources.views import read, sql
-from tidemark.streaming import event_log
+from tidemark.streaming import event_log, replay
 
 NOW = "2024-01-20 00:00:00"
 
@@ -310,3 +310,24 @@ def s30_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.to_date(F.lit("1998-01-01")).alias("covered"))
     new = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.to_date("o_orderdate")).alias("covered"))
     return facts.upsert(present, new, ["id"], "covered").select("id", _text("covered"))
+
+
+def arriving_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks in triggers of ten minutes, a second after their time; some two triggers late, some before their time, some twice."""
+    t = views.ticks(spark, sf_dir)
+    k = F.col("event_id")
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000)
+    first = t.withColumn("trigger", slot + F.when(k % 50 == 0, 2).otherwise(0)).withColumn("received_at", F.when(k % 41 == 0, F.expr("ts - INTERVAL 1 HOUR")).otherwise(F.expr("ts + INTERVAL 1 SECOND")))
+    again = first.where("event_id % 37 = 0").withColumn("trigger", F.col("trigger") + 1).withColumn("received_at", F.expr("received_at + INTERVAL 1 SECOND"))
+    return first.unionByName(again).select("symbol", "event_id", "ts", "received_at", "trigger")
+
+
+@query(sql("ticks", f"""f AS (SELECT symbol, event_id, epoch_us(ts) AS us, epoch_us(ts) // 600000000 + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END AS trig, epoch_us(ts) + CASE WHEN event_id % 41 = 0 THEN -3600000000 ELSE 1000000 END AS rec FROM ticks),
+a AS (SELECT *, us > rec + {replay.AHEAD_S * 1_000_000} AS future FROM (SELECT * FROM f UNION ALL SELECT symbol, event_id, us, trig + 1, rec + 1000000 FROM f WHERE event_id % 37 = 0)),
+n AS (SELECT symbol, trig, max(us) FILTER (NOT future) AS newest FROM a GROUP BY ALL), m AS (SELECT symbol, trig, max(newest) OVER (PARTITION BY symbol ORDER BY trig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM n),
+j AS (SELECT a.*, NOT future AND coalesce(us < newest - {replay.LATE_S * 1_000_000}, false) AS late FROM a JOIN m USING (symbol, trig)),
+g AS (SELECT *, row_number() OVER (PARTITION BY symbol, event_id, us // 60000000, future, late ORDER BY trig, rec, us) AS k FROM j)
+SELECT symbol, event_id, trig AS "trigger", CASE WHEN future THEN 'future' WHEN late THEN 'late' WHEN k > 1 THEN 'repeated' ELSE 'on_time' END AS status FROM g"""))
+def r11_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick once, with what came of it."""
+    return replay.arrivals_of(arriving_ticks(spark, sf_dir), F.col("trigger")).select("symbol", "event_id", "trigger", "status")
