@@ -1,6 +1,8 @@
 """The classifier, the fingerprints and the pipeline."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -73,6 +75,59 @@ def test_labels_of_absent_documents_use_up_no_sample(spark):
     assert quality_classifier.fit(docs, labels, sample=40).prior is None
 
 
+def test_one_long_text_does_not_empty_the_sample(spark):
+    docs = spark.createDataFrame([(i, "abc def " * 20 if i % 2 else "Z!Z! " * 20) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(-60, 60)], "doc_id long, quality int, toxic int")
+    for long_id in range(-60, 0):  # whatever its place in the order of hashes
+        if long_id % 12 == 0:
+            some = docs.unionByName(spark.createDataFrame([(long_id, "x" * 1_600_000)], docs.schema))
+            model = quality_classifier.fit(some, labels, passages=1000)
+            assert model.prior is None and model.score([b"abc def " * 20])[0] > 0.5 > model.score([b"Z!Z! " * 20])[0]
+
+
+def plain_score(model, text):
+    """A document's score from its bytes and the model's numbers, passage by passage, number by number."""
+    kind, pairs = quality_classifier._tables()
+    rows = []
+    for at in range(0, max(1, len(text)), quality_classifier.PASSAGE):
+        part = text[at : at + quality_classifier.PASSAGE]
+        counts = [0.0] * (len(quality_classifier.CLASSES) + 5 + quality_classifier.PAIRS)
+        for i, byte in enumerate(part):
+            counts[kind[byte]] += 1
+            if i:
+                counts[len(quality_classifier.CLASSES) + 5 + pairs[part[i - 1] * 256 + byte]] += 1
+        row = [math.sqrt(c / max(1, len(part))) for c in counts]
+        rows.append([*row, len(zlib.compress(part, 1)) / (len(part) + 8), math.log1p(len(part)) / 7])
+    p = model.p
+    encoded, weights = [], []
+    for row in rows:
+        x = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(quality_classifier.HIDDEN)]
+        gate = 0.0
+        for k in range(quality_classifier.GATE):
+            t = math.tanh(sum(h[j] * p["V"][j, k] for j in range(len(h))))
+            gate += p["w"][k] * t / (1 + math.exp(-sum(h[j] * p["U"][j, k] for j in range(len(h)))))
+        encoded.append(h)
+        weights.append(math.exp(gate))
+    mixed = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(quality_classifier.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(m * c for m, c in zip(mixed, p["c"])) - p["d"][0]))
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    assert model.prior is None
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.orderBy("doc_id").limit(40).collect()} | {-1: b"", -2: bytes(range(256)) * 30}
+    extra = spark.createDataFrame([(-1, None), (-2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs.select("doc_id", "text").unionByName(extra), labels).collect()}
+    for doc_id, text in texts.items():
+        want = plain_score(model, text)
+        assert abs(model.score([text])[0] - want) < 1e-4
+        if doc_id != -2:
+            assert abs(found[doc_id] - want) < 1e-4
+
+
 def test_recordings_are_aligned(spark):
     rng = np.random.default_rng(7)
     tunes = [rng.uniform(-1.5, 1.5, 64) for _ in range(12)]

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, ready
@@ -188,9 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     chosen = cut(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")))  # at most sample rows
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most sample rows
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
-    fitting = chosen.select("doc_id", size.alias("size")).withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= passages).select("doc_id")
+    fitting, taken = [], 0
+    for row in chosen.select("doc_id", size.alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most sample rows
+        if taken + row["size"] <= passages:  # a text that is too long for the rest is passed over, not what comes after it
+            fitting.append((row["doc_id"],))
+            taken += row["size"]
+    fitting = docs.sparkSession.createDataFrame(fitting, "doc_id long")
     rows = chosen.join(F.broadcast(fitting), "doc_id").select("doc_id", "quality", described("text").alias("bag")).collect()  # at most sample documents and passages rows of features
     rows.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in rows]
