@@ -20,7 +20,8 @@ Nodes of the graph are sets, not ids. groups() links the sets of rows that share
 document; keep_one() doesn't, so that a text goes only if a like one stays.
 
 Defined results: null and empty texts and texts without words have an empty set, n_shingles 0, and
-are linked with nothing. Fewer words than a shingle make one shingle of the whole sequence. Rows
+are linked with nothing. Very long texts are taken whole; a set is a row of its shingles, of which a task
+of the last round holds HELD_SHINGLES and one set at most. Fewer words than a shingle make one shingle of the whole sequence. Rows
 with a null id are linked with nothing and kept. Columns besides doc_id and text are not read. An
 empty table gives an empty result.
 """
@@ -46,9 +47,11 @@ ROUNDS = 3
 PERCENT = 80
 #: Sets in an Arrow batch.
 BATCH_ROWS = 2000
-#: Left and right members that meet in one task of the last round.
-BLOCK, PIECE = 256, 65536
+#: Left and right members whose sketches meet in one task of the last round, and shingles of the left sets that are held at once when full sets meet.
+BLOCK, PIECE = 8192, 65536
+HELD_SHINGLES = 2 << 20
 CELL = ["band", "scale", "block", "piece"]
+PART = [*CELL, "part"]
 #: Estimates this far below the threshold are not confirmed: six standard errors at 128 buckets.
 MARGIN = 6 * (0.8 * 0.2 / BUCKETS) ** 0.5
 
@@ -229,7 +232,7 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         near = cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
         near = near.withColumns({"a": F.least("l", "r"), "b": F.greatest("l", "r")}).join(tested, ["a", "b"], "left_anti")
-        edges = cut(_within_cells(near, sets))
+        edges = cut(_within_cells(near, chosen, sets))
     if edges.limit(1).count():
         tree = components(tree.unionByName(edges)).toDF("u", "v")
     joined = tree.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -264,8 +267,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             a, ra, na, ka = (np.concatenate(x) for x in zip(*left))
             left = [[a, ra, na, ka]]
-            for low in range(middle, end, 512):
-                part = slice(low, min(end, low + 512))
+            for low in range(middle, end, 128):
+                part = slice(low, min(end, low + 128))
                 small, large = np.minimum(na[:, None], size[part]), np.maximum(na[:, None], size[part])
                 meet = (ra[:, None] != root[part]) & (100 * small >= PERCENT * large) & ((main[part] == 1) | (a[:, None] < node[part]))
                 x, y = np.nonzero(meet)
@@ -282,40 +285,41 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges u, v between a cell's left sets and its right ones, which name those to compare and come after them."""
-    cell, left = None, {}
+    """Edges u, v between the left sets of a part of a cell and the right ones, which name those to compare and come after them."""
+    part, left = None, {}
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(k)) for k in range(len(CELL))], axis=1)
-        node, names, sets = (batch.column(len(CELL) + k) for k in range(3))
+        keys = np.stack([np.asarray(batch.column(k)) for k in range(len(PART))], axis=1)
+        node, names, sets = (batch.column(len(PART) + k) for k in range(3))
         found = []
         for row in range(batch.num_rows):
-            if (key := tuple(keys[row])) != cell:
-                cell, left = key, {}
+            if (key := tuple(keys[row])) != part:
+                part, left = key, {}
             mine, own = node[row].as_py(), np.asarray(sets[row].values)
             if not names[row].is_valid:
                 left[mine] = own
                 continue
-            others = names[row].as_py()
-            sizes = np.array([len(left[other]) for other in others])
-            every = np.concatenate([left[other] for other in others])
-            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-            linked = 100 * both >= PERCENT * (sizes + len(own) - both)
-            found += [(other, mine) for other, yes in zip(others, linked) if yes]
+            for other in names[row].as_py():
+                both = int((own[np.minimum(np.searchsorted(own, left[other]), len(own) - 1)] == left[other]).sum())
+                if 100 * both >= PERCENT * (len(left[other]) + len(own) - both):
+                    found.append((other, mine))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
 
 
-def _within_cells(near: DataFrame, sets: DataFrame) -> DataFrame:
+def _within_cells(near: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges u, v of those pairs l, r of near whose full sets are similar enough.
 
-    A set goes to each cell that needs it once, not with each of its pairs: at most about BLOCK left
-    sets are held, and each right set comes by with the names of those to compare it with.
+    A cell's left sets are dealt into parts of about HELD_SHINGLES together. A set goes to each part that
+    needs it once, not with each of its pairs: a part's left sets are held, and each right set
+    comes by with the names of those to compare it with.
     """
-    lefts = near.select(*CELL, F.col("l").alias("node")).distinct().withColumn("names", F.lit(None).cast("array<bigint>"))
-    rights = near.groupBy(*CELL, F.col("r").alias("node")).agg(F.collect_set("l").alias("names"))
-    rows = lefts.unionByName(rights).join(sets, "node").select(*CELL, "node", "names", "set")
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
+    sizes = classes.select(F.col("node").alias("l"), "n_shingles")
+    loads = near.select(*CELL, "l").distinct().join(sizes, "l").groupBy(*CELL).agg(F.ceil(F.sum("n_shingles") / HELD_SHINGLES).alias("parts"))
+    dealt = near.join(loads, CELL).withColumn("part", F.pmod(F.xxhash64("l", F.lit(13)), F.col("parts")))
+    lefts = dealt.select(*PART, F.col("l").alias("node")).distinct().withColumn("names", F.lit(None).cast("array<bigint>"))
+    rights = dealt.groupBy(*PART, F.col("r").alias("node")).agg(F.collect_set("l").alias("names"))
+    rows = lefts.unionByName(rights).join(sets, "node").select(*PART, "node", "names", "set")
+    return rows.repartition(*PART).sortWithinPartitions(*PART, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
 
 
 def _rest(members: DataFrame) -> DataFrame:
