@@ -28,11 +28,6 @@ def test_chunks_cover_the_text(content, size, data):
         assert all(b[0] == a[1] - overlap and b[0] > a[0] for a, b in zip(found, found[1:]))
 
 
-def test_html_blocks_skip_what_is_not_shown():
-    html = "<title>T</title><script>var x='<p>no</p>'</script><p>a <b>b</b></p><table><tr><td>1</td><td>2</td></tr><tr><td><table><tr><td>in</td></tr></table></td></tr></table><noscript>no</noscript>end"
-    assert text.html_blocks(html) == [("text", "T"), ("text", "a b"), ("table", "1 | 2\nin"), ("text", "end")]
-
-
 def test_normalized_text(spark):
     row = spark.createDataFrame([("  a b  c​ \n\n\n \nd\t e \n",)], "t string").select(text.normalized(F.col("t")).alias("t")).first()
     assert row["t"] == "a b c\n\nd e"

@@ -1,11 +1,10 @@
-"""Text functions: cleaning, chunk bounds, HTML blocks and spans. Those in Python are small and row-local."""
+"""Text functions: cleaning, chunk bounds and evidence. Those in Python are small and row-local."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
@@ -51,87 +50,6 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_index int, start_char int, end_char int, content string")
 
 
-class _Blocks(HTMLParser):
-    """Text of block elements; tables as rows of cells; what isn't shown is skipped."""
-
-    SKIP = {"script", "style", "noscript", "template", "ix:header", "ix:hidden"}
-    BLOCK = {"p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "body", "header", "footer", "nav", "main", "title", "br", "blockquote", "pre"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str]] = []
-        self.skip, self.table = 0, 0
-        self.text: list[str] = []
-        self.rows: list[list[str]] = []
-
-    def _flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
-            self.out.append(("text", text))
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.skip += 1
-        elif tag == "table":
-            if not self.table:
-                self._flush()
-                self.rows = []
-            self.table += 1
-        elif self.table and tag == "tr":
-            self.rows.append([])
-        elif self.table and tag in ("td", "th"):
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append("")
-        elif not self.table and tag in self.BLOCK:
-            self._flush()
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "table" and self.table:
-            self.table -= 1
-            if not self.table:
-                lines = [" | ".join(" ".join(c.split()) for c in r if c.strip()) for r in self.rows]
-                text = "\n".join(x for x in lines if x)
-                if text:
-                    self.out.append(("table", text))
-        elif not self.table and tag in self.BLOCK:
-            self._flush()
-
-    def handle_data(self, data: str) -> None:
-        if self.skip:
-            return
-        if self.table:
-            if self.rows and self.rows[-1]:
-                self.rows[-1][-1] += data
-        else:
-            self.text.append(data)
-
-    def close(self) -> None:
-        super().close()
-        self._flush()
-
-
-def html_blocks(html: str) -> list[tuple[str, str]]:
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    return parser.out
-
-
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block_index, kind and text of the blocks of html."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, i, k, t) for p, h in zip(batch["page_id"], batch["html"], strict=True) if h for i, (k, t) in enumerate(html_blocks(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "block_index", "kind", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(parse, "page_id long, block_index int, kind string, text string")
-
-
 def block_offsets(parts: DataFrame, key: str, order: str, gap: int = 2) -> DataFrame:
     """Adds start_char and end_char of each block in its document, blocks joined by gap characters."""
     from pyspark.sql import Window

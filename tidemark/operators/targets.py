@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import mentions
+from tidemark.functions.text import release_type
 
 #: Words that compare or join several securities.
 JOINING_WORDS = ["比较", "对比", "相比", "和", "与", "跟", "以及", "还有", "还是", "哪个", "哪只", "哪一个"]
@@ -69,6 +70,57 @@ def from_messages(messages: DataFrame, dictionary: DataFrame, registry: DataFram
     return resolve(messages.select(F.col("doc_id").alias("message_id"), F.col("text").alias("message")), given, known)
 
 
+#: Words of a question, and what it needs if it has one of them. A question with a word of
+#: meaning needs a reading that keywords don't give.
+WORDS = {
+    "meaning": ["为什么", "原因", "解释", "管理层", "风险", "数据中心", "毛利率", "营收", "收入", "净利润", "eps", "revenue", "net income"],
+    "company_profile": ["公司是做什么", "主营业务", "公司简介", "company profile"],
+    "quote": ["现在多少钱", "当前多少钱", "当前股价", "现价", "报价", "current price", "quote"],
+    "technical": ["rsi", "ma20", "ma50", "ma200", "atr", "均线", "支撑位", "阻力位", "支撑", "阻力", "技术指标"],
+    "full_technical": ["技术分析", "技术层面", "结合技术面", "从技术面"],
+    "decision": ["当前走势", "技术面怎么看", "技术面如何", "偏多", "偏空", "趋势怎么样", "动能怎么样", "失效条件", "market view"],
+    "reaction": ["发布后", "公布后", "披露后", "财报后", "之后怎么走", "后的走势", "后的表现", "市场反应", "涨了多少", "跌了多少"],
+    "history": ["之前几次", "过去几次", "最近几次", "历史几次", "前几次", "之前的", "过去的", "历史上", "historical", "previous releases", "previous earnings"],
+    "current_event": ["这次", "本次", "最近一次", "最新一次"],
+    "earnings": ["财报", "业绩", "earnings"],
+}
+#: Patterns that ask for a reaction and for history as the words above do.
+PATTERNS = {"reaction": r"后[^\n]*(?:怎么走|走势|表现|市场反应)", "history": rf"{_PAST}\s*(?:[0-9]+|[{''.join(NUMERALS)}])\s*次"}
+
+
+def _says(question: Column, what: str) -> Column:
+    found = F.lit(False)
+    for word in WORDS[what]:
+        found = found | question.contains(word)
+    return found | question.rlike(PATTERNS[what]) if what in PATTERNS else found
+
+
+def plans(questions: DataFrame) -> DataFrame:
+    """question_id, planned, and the fourteen fields of the plan that the words of a question give.
+
+    questions: question_id, question. All intents of a question are taken together. planned is false, and
+    every field null, where the question has a word of meaning or none that tells what it wants; null questions aren't planned.
+    """
+    q = F.lower(F.trim(F.coalesce("question", F.lit(""))))
+    said = questions.select("question_id", q.alias("q"), *[_says(q, w).alias(f"_{w}") for w in WORDS], release_type(q).alias("_type"), times_asked(q).alias("_times"))
+    c = {w: F.col(f"_{w}") for w in WORDS}
+    macro = F.col("_type").isNotNull()
+    now = c["current_event"] | ~c["history"]
+    fields = {
+        "needs_company_profile": c["company_profile"], "needs_quote": c["quote"], "needs_technical": c["technical"] | c["full_technical"], "needs_decision": c["decision"] | c["full_technical"],
+        "knowledge_question": F.lit(None).cast("string"), "financial_requests": F.array().cast("array<string>"),
+        "needs_macro": macro, "macro_release_type": F.col("_type"), "needs_macro_reaction": macro & c["reaction"] & now, "needs_macro_reaction_history": macro & c["reaction"] & c["history"],
+        "macro_reaction_history_limit": F.when(macro & c["reaction"] & c["history"], F.col("_times")),
+        "needs_earnings_reaction": c["earnings"] & c["reaction"] & now, "needs_earnings_reaction_history": c["earnings"] & c["reaction"] & c["history"],
+        "earnings_reaction_history_limit": F.when(c["earnings"] & c["reaction"] & c["history"], F.col("_times")),
+    }
+    wants = F.lit(False)
+    for name in ("needs_company_profile", "needs_quote", "needs_technical", "needs_decision", "needs_macro", "needs_earnings_reaction", "needs_earnings_reaction_history"):
+        wants = wants | fields[name]
+    rows = said.withColumn("planned", ~c["meaning"] & wants)
+    return rows.select("question_id", "planned", *[F.when(F.col("planned"), value).alias(name) for name, value in fields.items()])
+
+
 def plan_faults() -> Column:
     """The rules that a plan row breaks, in order."""
     reaction = F.col("needs_macro_reaction") | F.col("needs_macro_reaction_history")

@@ -191,13 +191,6 @@ def x15_cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", _r(retrieval.cosine_distance(F.col("embedding"), F.col("other")), 5).alias("distance"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cpi' WHEN 1 THEN 'weekly_claims' WHEN 2 THEN 'pce' END AS kind FROM part")
-def x19_release_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    asked = F.when(k == 0, "what did CPI say about ").when(k == 1, "Weekly Claims of ").when(k == 2, "Pce, ").otherwise("price of ")
-    return read(spark, sf_dir, "part").select("p_partkey", text.release_type(F.concat(asked, F.lit("steel"))).alias("kind"))
-
-
 @query("SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS first_two, (o_orderstatus = o_orderpriority)::INT + 1 AS added FROM orders")
 def x21_array_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists flattened, appended to if absent, and cut."""

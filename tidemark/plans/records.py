@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import mentions, text
+from tidemark.functions import html_tree, mentions, text
 from tidemark.operators import facts, quality, retrieval
 from tidemark.plans.registry import query
 from tidemark.sources import views
@@ -216,7 +216,8 @@ def w22_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def x03_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.blocks(read(spark, sf_dir, "pages"))
+    """Blocks with their source paths."""
+    return html_tree.block_rows(read(spark, sf_dir, "pages"))
 
 
 _LINES = r"l AS (SELECT doc_id, i AS block_index, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"

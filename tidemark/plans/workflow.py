@@ -159,13 +159,6 @@ def x17_multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", targets.joins_targets(F.col("text")).alias("joins"))
 
 
-@query("SELECT c_custkey AS id, (CASE c_custkey % 4 WHEN 0 THEN c_custkey WHEN 1 THEN 3 WHEN 2 THEN 10 ELSE 5 END)::INTEGER AS times FROM customer")
-def x18_history_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    question = F.when(k % 4 == 0, F.concat(F.lit("CPI 过去 "), k.cast("string"), F.lit(" 次"))).when(k % 4 == 1, "最近三次").when(k % 4 == 2, "历史 十 次").otherwise("三次")
-    return read(spark, sf_dir, "customer").select(k.alias("id"), targets.times_asked(question).alias("times"))
-
-
 @query("""WITH p AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS macro, c_custkey % 3 = 0 AS reaction, c_custkey % 5 = 0 AS history, c_custkey % 7 = 0 AS earnings, c_custkey % 11 != 0 AS typed, c_custkey % 13 < 6 AS ml, c_custkey % 17 < 8 AS el FROM customer)
 SELECT id, concat_ws('|', CASE WHEN NOT macro AND typed THEN 'release_type_without_macro' END, CASE WHEN (reaction OR history) AND NOT macro THEN 'reaction_without_macro' END, CASE WHEN (reaction OR history) AND NOT typed THEN 'reaction_without_release_type' END,
 CASE WHEN history AND NOT ml THEN 'macro_history_limit_missing' END, CASE WHEN NOT history AND ml THEN 'macro_history_limit_unexpected' END, CASE WHEN earnings AND NOT el THEN 'earnings_history_limit_missing' END, CASE WHEN NOT earnings AND el THEN 'earnings_history_limit_unexpected' END) AS faults FROM p""")
