@@ -8,7 +8,7 @@ empty bucket borrows from the first full one in an order of its own, which keeps
 two registers agree at the Jaccard similarity. Bands of four registers propose candidates: at a
 similarity of 0.8, all 32 bands differ with a chance under 1e-7. A candidate's similarity is
 estimated from the agreeing registers, less those that agree by chance, and a pair far below the
-threshold (six standard errors) goes; the rest is confirmed on the full sets.
+threshold (five standard errors) goes; the rest is confirmed on the full sets.
 
 Groups of copies are linked without all their pairs. In each of ROUNDS rounds every band's bucket
 has one leader, and members of other components are compared with it; components then grow by
@@ -52,8 +52,8 @@ BLOCK, PIECE = 8192, 65536
 HELD_SHINGLES = 2 << 20
 CELL = ["band", "scale", "block", "piece"]
 PART = [*CELL, "part"]
-#: Estimates this far below the threshold are not confirmed: six standard errors at 128 buckets.
-MARGIN = 6 * (0.8 * 0.2 / BUCKETS) ** 0.5
+#: Estimates this far below the threshold are not confirmed: five standard errors at 128 buckets, a chance of 3e-7 at the threshold.
+MARGIN = 5 * (0.8 * 0.2 / BUCKETS) ** 0.5
 
 
 def shingles(text: Column, size: int) -> Column:
@@ -231,7 +231,6 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     placed, open_ = _open(members, tree, ROUNDS)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         near = cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
-        near = near.withColumns({"a": F.least("l", "r"), "b": F.greatest("l", "r")}).join(tested, ["a", "b"], "left_anti")
         edges = cut(_within_cells(near, chosen, sets))
     if edges.limit(1).count():
         tree = components(tree.unionByName(edges)).toDF("u", "v")
@@ -243,7 +242,7 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell's left and right members that may be similar, from rows sorted by cell with the left ones first.
+    """A cell's right members with the left ones that may be similar to each, as names, from rows sorted by cell with the left ones first.
 
     Holds the left members of one cell, at most about BLOCK, and a batch of right ones.
     """
@@ -279,9 +278,14 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= PERCENT / 100 - MARGIN
                     first = same[near].reshape(-1, BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1) == at[v[near]]
                     u, v = u[near][first], v[near][first]
-                    found.append(np.column_stack([cells[v], a[u], node[v]]))
+                    found.append((v, a[u]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T], names=[*CELL, "l", "r"])
+            right, names = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(right, kind="stable")
+            right, names = right[order], names[order]
+            new = np.flatnonzero(np.r_[True, right[1:] != right[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(right)], pa.int32()), pa.array(names))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells[right[new]].T), pa.array(node[right[new]]), lists], names=[*CELL, "node", "names"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,23 +311,28 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within_cells(near: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges u, v of those pairs l, r of near whose full sets are similar enough.
+    """Edges u, v of the right members of near and those of their names whose full sets are similar enough.
 
     A cell's left sets are dealt into parts of about HELD_SHINGLES together. A set goes to each part that
     needs it once, not with each of its pairs: a part's left sets are held, and each right set
     comes by with the names of those to compare it with.
     """
-    sizes = classes.select(F.col("node").alias("l"), "n_shingles")
-    loads = near.select(*CELL, "l").distinct().join(sizes, "l").groupBy(*CELL).agg(F.ceil(F.sum("n_shingles") / HELD_SHINGLES).alias("parts"))
-    dealt = near.join(loads, CELL).withColumn("part", F.pmod(F.xxhash64("l", F.lit(13)), F.col("parts")))
-    lefts = dealt.select(*PART, F.col("l").alias("node")).distinct().withColumn("names", F.lit(None).cast("array<bigint>"))
-    rights = dealt.groupBy(*PART, F.col("r").alias("node")).agg(F.collect_set("l").alias("names"))
-    rows = lefts.unionByName(rights).join(sets, "node").select(*PART, "node", "names", "set")
+    sizes = classes.select("node", "n_shingles")
+    lefts = cut(near.select(*CELL, F.explode("names").alias("node")).distinct().join(sizes, "node"))
+    loads = lefts.groupBy(*CELL).agg(F.ceil(F.sum("n_shingles") / HELD_SHINGLES).alias("parts"))
+
+    def part_of(node: Column) -> Column:
+        return F.pmod(F.xxhash64(node, F.lit(13)), F.col("parts"))
+
+    held = lefts.join(loads, CELL).select(*CELL, part_of(F.col("node")).alias("part"), "node", F.lit(None).cast("array<bigint>").alias("names"))
+    spread = near.join(loads, CELL).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    spread = spread.withColumn("names", F.when(F.col("parts") == 1, F.col("names")).otherwise(F.filter("names", lambda n: part_of(n) == F.col("part")))).where(F.size("names") > 0)
+    rows = held.unionByName(spread.select(*PART, "node", "names")).join(sets, "node").select(*PART, "node", "names", "set")
     return rows.repartition(*PART).sortWithinPartitions(*PART, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Cells and pairs l, r of members (band, i, node, root, n_shingles, sketch) of a bucket whose components differ and that may be similar.
+    """Cells, nodes and names of the members (band, i, node, root, n_shingles, sketch) of a bucket that may be similar to others, which names lists, of other components.
 
     Not both are of the bucket's largest component. Sizes within the threshold differ by at most
     one class of a logarithmic scale, so only those of neighbouring classes meet: the members
@@ -352,7 +361,7 @@ def _rest(members: DataFrame) -> DataFrame:
         )
 
     both = dealt(left, "block", "piece", 0).unionByName(dealt(sized, "piece", "block", 1))
-    return both.repartition(*CELL).sortWithinPartitions(*CELL, "side").mapInArrow(_likely, ", ".join(f"{c} long" for c in [*CELL, "l", "r"]))
+    return both.repartition(*CELL).sortWithinPartitions(*CELL, "side").mapInArrow(_likely, ", ".join([*(f"{c} long" for c in [*CELL, "node"]), "names array<bigint>"]))
 
 
 def groups(docs: DataFrame, size: int = 5) -> DataFrame:
