@@ -173,6 +173,37 @@ def test_noisy_and_held_copies_are_all_found(spark):
     assert len(want) > 15 and any(b[4] > 0.1 * 32 * b[3] for b in want.values())
 
 
+def test_votes_find_what_all_offsets_find(spark):
+    """Recall and precision of the search by votes against all offsets of all pairs: shifted, cut and noisy copies of a share of the recordings."""
+    rng = np.random.default_rng(5)
+    tunes = [rng.uniform(-1.5, 1.5, 64) for _ in range(120)]
+    media = [chroma.tones(t) for t in tunes]
+    for k in range(0, 120, 3):
+        cut, noise = int(rng.integers(0, 16)), (0.0, 0.03, 0.06, 0.1)[k // 3 % 4]
+        media.append(chroma.tones(tunes[k][cut:], noise=noise, seed=k))
+    frame = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(media)], "rec_id long, media binary")
+    prints = spark.createDataFrame(chroma.fingerprints(frame, F.col("media")).collect())
+    every = {(r["query_id"], r["match_id"]) for r in chroma.align(prints, F.col("rec_id") >= 120)[1].collect()}
+    found = {(r["query_id"], r["match_id"]): r for r in chroma.align_by_votes(prints, F.col("rec_id") >= 120)[1].collect()}
+    assert set(found) <= every and len(every) > 30
+    assert len(found) >= 0.9 * len(every)
+    planted = {(120 + k // 3, k) for k in range(0, 120, 3)}
+    assert len(planted & set(found)) >= 0.9 * len(planted & every)
+    assert len(planted & every) > 25 and len(set(found) & planted) >= 0.9 * len(found)
+
+
+def test_doubts_are_the_bits_nearest_to_turning():
+    rng = np.random.default_rng(8)
+    frames = chroma.chroma(chroma.decode(chroma.tones(rng.uniform(-1.5, 1.5, 64))))
+    codes, apart, turned = chroma._compared(frames)
+    masks = chroma.doubts(frames)
+    assert (np.bitwise_count(turned) == 1).all() and (np.bitwise_count(masks) == chroma.DOUBTS).all()
+    noisy = chroma._compared(frames + rng.normal(0, 1e-3, frames.shape))[0]
+    changed = codes ^ noisy
+    assert changed.any() and np.bitwise_count(changed & masks).sum() > 0.7 * np.bitwise_count(changed).sum()
+    assert len(chroma.doubts(np.zeros((3, 12)))) == 0
+
+
 def test_noise_changes_few_bits():
     rng = np.random.default_rng(9)
     samples = chroma.decode(chroma.tones(rng.uniform(-1.5, 1.5, 64)))

@@ -5,12 +5,17 @@ overlapping frames whose spectra are summed to twelve pitch classes; frames are
 and scaled to length one. Over the integral image of frames and pitch classes, sixteen filters
 compare areas, each giving two bits of Gray code, which together make one 32-bit integer a frame.
 
-Two recordings are aligned at an offset if few bits differ over the whole overlap. All offsets of
-all pairs are compared, blocks of recordings at a time, by products of matrices of bits, so that
-no alignment is missed; of a pair's alignments, the one with most like frames is given, of those the
-one of the least offset, forwards first. Overlaps of LEAST_OVERLAP frames and MOST_ERRORS are bounds that
-chance hardly reaches: adjacent integers share most of their frames, so that short overlaps of
-unrelated recordings agree by luck (README).
+Two recordings are aligned at an offset if few bits differ over the whole overlap. search() finds
+alignments by a histogram of offsets: all sounding frames of all recordings are looked up by the
+integers of a query's sounding frames, and by those integers with one of their DOUBTS least certain
+bits turned, which are the bits of the filters nearest to an edge. Each frame met is a vote for a
+pair and an offset, and an offset with LEAST_VOTES has its bit errors counted over the overlap. The work grows with the
+frames that share an integer, not with all pairs. align() compares all offsets of all pairs instead, blocks of
+recordings at a time, by products of matrices of bits, and is what recall is measured against (README).
+
+Of a pair's alignments, the one with most like frames is given, of those the one of the least offset, forwards
+first. LEAST_OVERLAP and MOST_ERRORS are bounds that chance hardly reaches: adjacent integers share most of their
+frames, so that short overlaps of unrelated recordings agree by luck.
 
 Recordings with equal fingerprints are one class, of which the smallest id stands for all. Silent
 frames, that have no pitch to speak of, are no like frames but count in the overlap, so that silence
@@ -31,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +54,8 @@ MOST_ERRORS = 0.15
 LEAST_OVERLAP = 24
 #: Frames that sound in both and differ by no more than that share are needed at least this often at one offset.
 LEAST_VOTES = 2
+#: Bits of a query's integer that are turned, one at a time.
+DOUBTS = 6
 #: Frames of recordings that are compared together, most of their tasks, and most blocks that are broadcast.
 BLOCK = 1 << 15
 MOST_PARTS = 10_000
@@ -101,11 +109,9 @@ def _filters() -> list[tuple[int, int, int, int]]:
     return [(k % 6, (5 * k) % 9, 3 + k % 4 if (5 * k) % 9 + 3 + k % 4 <= 12 else 3, (4, 8, 12, 16)[k % 4]) for k in range(16)]
 
 
-def fingerprint(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 32-bit integer for every run of SPAN frames, and whether any of the run sounds."""
-    n = len(frames) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=bool)
+def _compared(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of SPAN frames the 32-bit integer, how far each filter is from its nearest edge, and the bit that would turn beyond it."""
+    n = max(0, len(frames) - SPAN + 1)
     total = np.zeros((len(frames) + 1, 13))
     total[1:, 1:] = frames.cumsum(0).cumsum(1)
     at = np.arange(n)
@@ -113,8 +119,9 @@ def fingerprint(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def area(x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
         return total[at + x1, y1] - total[at + x0, y1] - total[at + x1, y0] + total[at + x0, y0]
 
-    out = np.zeros(n, dtype=np.uint32)
-    for kind, y, h, w in _filters():
+    out, gray = np.zeros(n, dtype=np.uint32), np.array([0, 1, 3, 2], dtype=np.uint32)
+    apart, turned = np.zeros((n, 16)), np.zeros((n, 16), dtype=np.uint32)
+    for k, (kind, y, h, w) in enumerate(_filters()):
         half, third_h, third_w, mid = w // 2, max(1, h // 3), w // 3, h // 2
         whole = area(0, y, w, y + h)
         if kind == 0:
@@ -137,24 +144,44 @@ def fingerprint(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = np.log1p(one) - np.log1p(two)
         edges = np.array([0.25, 0.5, 1.0]) * np.log1p(w) if kind == 0 else np.array([-0.15, 0.0, 0.15])
         level = np.searchsorted(edges, value)
-        out = (out << np.uint32(2)) | np.array([0, 1, 3, 2], dtype=np.uint32)[level]
-    sounds = np.convolve((frames.any(1)).astype(int), np.ones(SPAN, dtype=int), "valid") == SPAN
-    return out, sounds
+        out = (out << np.uint32(2)) | gray[level]
+        far = np.abs(value[:, None] - edges)
+        nearest = far.argmin(axis=1)
+        beyond = np.where(nearest >= level, nearest + 1, nearest)
+        apart[:, k] = far.min(axis=1) / (edges[-1] - edges[0])
+        turned[:, k] = (gray[level] ^ gray[np.clip(beyond, 0, 3)]) << np.uint32(2 * (15 - k))
+    return out, apart, turned
+
+
+def fingerprint(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit integer for every run of SPAN frames, and whether all of the run sounds."""
+    codes = _compared(frames)[0]
+    if not len(codes):
+        return codes, np.zeros(0, dtype=bool)
+    return codes, np.convolve((frames.any(1)).astype(int), np.ones(SPAN, dtype=int), "valid") == SPAN
 
 
-def tones(values: np.ndarray, seconds: float = 0.125) -> bytes:
-    """A WAV of one tone per value, whose pitch is the value on a scale of half steps."""
+def doubts(frames: np.ndarray) -> np.ndarray:
+    """For every run of SPAN frames the DOUBTS least certain bits, as a mask."""
+    codes, apart, turned = _compared(frames)
+    least = np.argsort(apart, axis=1, kind="stable")[:, :DOUBTS]
+    return np.bitwise_or.reduce(np.take_along_axis(turned, least, axis=1), axis=1) if len(codes) else codes
+
+
+def tones(values: np.ndarray, seconds: float = 0.125, noise: float = 0.0, seed: int = 0) -> bytes:
+    """A WAV of one tone per value, whose pitch is the value on a scale of half steps, with noise of this deviation."""
     if not len(values):
         return b""
     steps = np.rint(np.clip(np.nan_to_num(np.asarray(values, dtype=np.float64)), -4, 4) * 12)
     length = int(RATE * seconds)
     wave_table = np.sin(2 * np.pi * (440 * 2.0 ** (steps[:, None] / 12)) * np.arange(length) / RATE)
+    sound = wave_table.ravel() + (np.random.default_rng(seed).normal(0, noise, wave_table.size) if noise else 0)
     out = io.BytesIO()
     with wave.open(out, "wb") as file:
         file.setnchannels(1)
         file.setsampwidth(2)
         file.setframerate(RATE)
-        file.writeframes((wave_table.ravel() * 12000).astype("<i2").tobytes())
+        file.writeframes((sound * 12000).astype("<i2").tobytes())
     return out.getvalue()
 
 
@@ -163,38 +190,97 @@ def render_tones(values: pd.Series) -> pd.Series:
     return pd.Series([tones(v if v is not None else []) for v in values])
 
 
-@F.pandas_udf(T.StructType([T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("sounds", T.ArrayType(T.BooleanType()))]))
+@F.pandas_udf(T.BinaryType())
+def render_copy(values: pd.Series, seed: pd.Series) -> pd.Series:
+    """A copy that begins a second later, with noise."""
+    return pd.Series([tones(np.asarray(v if v is not None else [])[8:], noise=0.05, seed=abs(int(k))) for v, k in zip(values, seed)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("sounds", T.ArrayType(T.BooleanType())), T.StructField("doubts", T.ArrayType(T.LongType()))]))
 def print_media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [fingerprint(chroma(decode(None if m is None else bytes(m)))) for m in batch]
-        yield pd.DataFrame({"codes": [c.astype(np.int64) for c, _ in found], "sounds": [s for _, s in found]})
+        frames = [chroma(decode(None if m is None else bytes(m))) for m in batch]
+        found = [fingerprint(f) for f in frames]
+        yield pd.DataFrame({"codes": [c.astype(np.int64) for c, _ in found], "sounds": [s for _, s in found], "doubts": [doubts(f).astype(np.int64) for f in frames]})
 
 
 def fingerprints(recordings: DataFrame, media: Column) -> DataFrame:
-    """rec_id, codes and sounds of every recording; media is a column of WAV bytes. Run it with few arrow_rows()."""
+    """rec_id, codes, sounds and doubts of every recording; media is a column of WAV bytes. Run it with few arrow_rows()."""
     ready(recordings.sparkSession)
-    return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), print_media(media).alias("p")).select("rec_id", "p.codes", "p.sounds")
+    return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), print_media(media).alias("p")).select("rec_id", "p.*")
+
+
+def _classes(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
+    """Classes (rec_id, class_id) of all recordings, and a row per class of sounds: class_id, what its recordings share, and asks, whether one is a query."""
+    with arrow_rows(prints.sparkSession, BATCH_ROWS):
+        prints = cut(prints.withColumn("key", F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256)).withColumn("is_query", F.coalesce(query, F.lit(False))))
+    full = prints.where((F.size("codes") > 0) & F.col("rec_id").isNotNull())
+    classes = cut(full.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("asks")))
+    member = prints.select("rec_id", "key").join(classes.select("key", "class_id"), "key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
+    first = full.drop("is_query").join(classes, "key").where("rec_id = class_id").dropDuplicates(["key"])
+    return member, cut(first.drop("rec_id", "key"))
 
 
 def align(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
-    """Classes (rec_id, class_id) of all recordings, and alignments of classes that hold a query.
+    """Classes (rec_id, class_id) of all recordings, and all alignments of classes that hold a query, by comparing all offsets of all pairs.
 
     Alignments have query_id and match_id, the smallest ids of two classes, offset (of the match
     against the query, in frames), votes (like frames), overlap and bit_errors.
     """
-    with arrow_rows(prints.sparkSession, BATCH_ROWS):
-        prints = cut(prints.withColumn("key", F.sha2(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))), 256)).withColumn("is_query", F.coalesce(query, F.lit(False))))
-    full = prints.where((F.size("codes") > 0) & F.col("rec_id").isNotNull())
-    classes = cut(full.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("is_query")))
-    member = prints.select("rec_id", "key").join(classes.select("key", "class_id"), "key", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"))
-    shown = cut(full.join(classes.select("key", "class_id"), "key").where("rec_id = class_id").dropDuplicates(["key"]).select("class_id", "codes", "sounds", "key"))
-    shown = shown.join(classes.select("key", F.col("is_query").alias("asks")), "key")
+    member, shown = _classes(prints, query)
     left = blocks(shown.where("asks")).select(*[F.col(c).alias(f"q_{c}") for c in BLOCK_COLUMNS])
     right = blocks(shown).select(*[F.col(c).alias(f"m_{c}") for c in BLOCK_COLUMNS])
     right = right.repartition(max(1, min(MOST_PARTS, right.count())))
     return member, right.crossJoin(lookup(left, BROADCAST_BLOCKS)).mapInPandas(aligned, ALIGNED)
 
 
+def votes(shown: DataFrame) -> DataFrame:
+    """query_id, match_id, offset and votes: sounding frames of two classes that lie that far apart and share an integer, the query's perhaps with one doubtful bit turned."""
+    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(32)])
+    frame = F.explode(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("codes") - 1).alias("at"), "codes", "sounds", "doubts"), lambda f: f["sounds"])).alias("f")
+    have = shown.select(F.col("class_id").alias("match_id"), frame).select("match_id", F.col("f.codes").alias("code"), F.col("f.at").alias("there"))
+    turned = F.transform(F.filter(masks, lambda m: F.col("f.doubts").bitwiseAND(m) != 0), lambda m: F.col("f.codes").bitwiseXOR(m))
+    want = shown.where("asks").select(F.col("class_id").alias("query_id"), frame).select("query_id", F.col("f.at").alias("here"), F.explode(F.concat(F.array("f.codes"), turned)).alias("code"))
+    met = want.join(have, "code").where("query_id != match_id").groupBy("query_id", "match_id", (F.col("there") - F.col("here")).alias("offset"))
+    return met.agg(F.count("*").alias("votes"))
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best alignment of each pair among its offsets, from rows query_id, match_id, offsets, and codes and sounds of both."""
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            query_id, match_id, offsets = (batch.column(c)[k].as_py() for c in range(3))
+            q, q_sounds, m, m_sounds = (np.asarray(batch.column(c)[k].values.to_numpy(zero_copy_only=False)) for c in range(3, 7))
+            best = None
+            for offset in offsets:
+                start, stop = max(0, -offset), min(len(q), len(m) - offset)
+                n = stop - start
+                if n < LEAST_OVERLAP:
+                    continue
+                here, there = slice(start, stop), slice(start + offset, stop + offset)
+                errors = np.bitwise_count(q[here] ^ m[there])
+                total = int(errors.sum())
+                like = int(((errors <= MOST_ERRORS * 32) & q_sounds[here] & m_sounds[there]).sum())
+                if like >= LEAST_VOTES and total <= MOST_ERRORS * 32 * n:
+                    best = max(best or (-1,), (like, -abs(offset), offset, n, total))
+            if best is not None:
+                rows.append((query_id, match_id, best[2], best[0], best[3], best[4]))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        columns = list(zip(*rows)) if rows else [[] for _ in types]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "match_id", "offset", "votes", "overlap", "bit_errors"])
+
+
+def align_by_votes(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
+    """What align() gives, but of pairs and offsets with LEAST_VOTES only; prints has doubts."""
+    member, shown = _classes(prints, query)
+    offsets = votes(shown).where(F.col("votes") >= LEAST_VOTES).groupBy("query_id", "match_id").agg(F.collect_list("offset").alias("offsets"))
+    small = F.transform("codes", lambda c: F.when(c >= 1 << 31, c - (1 << 32)).otherwise(c).cast("int"))
+    side = shown.select("class_id", small.alias("codes"), "sounds")
+    pairs = offsets.join(side.toDF("query_id", "q_codes", "q_sounds"), "query_id").join(side.toDF("match_id", "m_codes", "m_sounds"), "match_id")
+    return member, pairs.select("query_id", "match_id", "offsets", "q_codes", "q_sounds", "m_codes", "m_sounds").mapInArrow(verified, ALIGNED)
+
+
 def blocks(shown: DataFrame) -> DataFrame:
     """Recordings of like lengths, about BLOCK frames together, as ids, sizes, and codes and sounds end to end."""
     like = F.ceil(F.log2(F.size("codes"))).cast("int")
@@ -248,7 +334,7 @@ def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def search(recordings: DataFrame, media: Column, query: Column) -> DataFrame:
     """kind 'class': rec_id and its class (match_id); kind 'match': a class with a query and a class aligned to it."""
-    member, found = align(fingerprints(recordings, media), query)
+    member, found = align_by_votes(fingerprints(recordings, media), query)
     none = F.lit(None)
     rows = member.select(F.lit("class").alias("kind"), "rec_id", F.col("class_id").alias("match_id"), *[none.cast(t).alias(n) for n, t in (("offset", "int"), ("votes", "long"), ("overlap", "int"), ("bit_errors", "int"))])
     return rows.unionByName(found.select(F.lit("match").alias("kind"), F.col("query_id").alias("rec_id"), "match_id", "offset", "votes", "overlap", "bit_errors"))

@@ -20,9 +20,14 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio: each vector of embeddings is rendered as a recording, a tone per number."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), "embedding")
-    return chroma.search(vectors, chroma.render_tones(F.col("embedding")), F.col("rec_id") % 20 == 0)
+    """The tables hold no audio: each vector of embeddings is rendered as a recording, a tone per number.
+
+    Every vector whose id is divisible by 20 is a query and has a noisy copy that begins a second later, whose id is the negative.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("rec_id"), "embedding")
+    copies = vectors.where("rec_id % 20 = 0 AND rec_id > 0").select((-F.col("rec_id")).alias("rec_id"), chroma.render_copy("embedding", "rec_id").alias("media"))
+    recordings = vectors.select("rec_id", chroma.render_tones("embedding").alias("media")).unionByName(copies)
+    return chroma.search(recordings, F.col("media"), F.col("rec_id") % 20 == 0)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
