@@ -66,6 +66,18 @@ def level_metrics(series: DataFrame) -> DataFrame:
     return last.select("series", "period", F.inline(rows)).where("actual IS NOT NULL")
 
 
+def inflation_metrics(reading: DataFrame) -> DataFrame:
+    """A row per measure, mom and yoy, of inflation_reading()."""
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("actual"), F.col(f"previous_{m}").alias("previous")) for m in ("mom", "yoy")])
+    return reading.select("series", "period", F.inline(rows))
+
+
+def newest_level(series: DataFrame) -> DataFrame:
+    """The newest level of each series, with that of the exact month before, null where absent."""
+    last = newest(shifted(series, ["series"], [1]), ["series"], "period")
+    return last.select("series", "period", F.col("value").alias("actual"), F.col("value_m1").alias("previous"))
+
+
 def weekly_reading(weeks: DataFrame) -> DataFrame:
     """Each week with the value exactly seven days earlier and the change."""
     past = weeks.select("series", F.date_add("week", 7).alias("week"), F.col("claims").alias("previous"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.macro import eastern_date
+from tidemark.operators.macro import eastern_date, match_consensus, surprise
 
 
 def _single(values: str) -> Column:
@@ -99,3 +99,37 @@ def snapshot(chosen: DataFrame, parts: DataFrame) -> DataFrame:
 
 def missing_types(required: DataFrame, available: DataFrame) -> DataFrame:
     return required.join(available.select("release_type").distinct(), "release_type", "left_anti")
+
+
+#: Release types whose metrics must all be of one period.
+ONE_PERIOD = ["employment_situation"]
+
+
+def official_releases(dates: DataFrame, metrics: DataFrame, forecasts: DataFrame, day: Column) -> DataFrame:
+    """A row per release type with a date up to day: its newest release out of official readings, or the warning why there is none.
+
+    dates: release_type, release_date. metrics: release_type, indicator, measure, period, actual, previous, the newest readings of each
+    type. forecasts: indicator, measure, period, forecast_id, consensus, forecast_as_of, scheduled_at. A release of day itself has
+    no verified time and isn't built, and employment metrics of several periods end theirs. Without metrics there is no release.
+    The time is scheduled where all forecasts of its metrics for that date agree on one. Values are the current version: the
+    binding of period and date is assumed, and their status is unverified.
+    """
+    latest = dates.where(F.col("release_date") <= day).groupBy("release_type").agg(F.max("release_date").alias("release_date"))
+    named = metrics.withColumn("series", F.concat_ws(":", "indicator", "measure")).join(latest, "release_type")
+    named = named.withColumns({"released_at": F.lit(None).cast("timestamp_ntz"), "actual_pit_status": F.lit("unverified")})
+    given = forecasts.select(F.concat_ws(":", "indicator", "measure").alias("series"), "period", "forecast_id", "consensus", "forecast_as_of", "scheduled_at")
+    keyed = named.select("release_type", "series", "period", "release_date").join(given.select("series", "period", "scheduled_at"), ["series", "period"])
+    times = keyed.where(eastern_date(F.col("scheduled_at")) == F.col("release_date")).groupBy("release_type").agg(F.min("scheduled_at").alias("low"), F.max("scheduled_at").alias("high"))
+    parts = surprise(match_consensus(named, given))
+    shown = F.struct("indicator", "measure", "period", "actual", "previous", "consensus", "surprise", "surprise_is_estimated")
+    lists = parts.groupBy("release_type").agg(F.sort_array(F.collect_list(shown)).alias("metrics"), F.count_distinct("period").alias("periods"))
+    rows = latest.join(lists, "release_type", "left").join(times, "release_type", "left")
+    warning = F.when(F.col("release_date") == day, F.concat("release_type", F.lit("_release_time_unverified"))).when(
+        F.col("release_type").isin(ONE_PERIOD) & (F.col("periods") > 1), F.lit("employment_period_mismatch")
+    )
+    built = warning.isNull() & F.col("metrics").isNotNull()
+    time = F.when(built & (F.col("low") == F.col("high")), F.col("low"))
+    return rows.select(
+        "release_type", F.when(built, F.concat_ws(":", "release_type", F.col("release_date").cast("string"))).alias("release_id"), F.when(built, F.col("release_date")).alias("release_date"), time.alias("scheduled_release_at"),
+        F.when(time.isNotNull(), "trading_economics").alias("schedule_source"), F.when(built, F.col("metrics")).alias("metrics"), F.when(built, "latest_assumed").alias("period_binding"), warning.alias("warning"),
+    )

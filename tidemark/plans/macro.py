@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import macro
+from tidemark.operators import releases as releases_
 from tidemark.plans.registry import query
 from tidemark.sources import views
 from tidemark.sources.views import sql
@@ -246,3 +247,103 @@ def f09_strict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f16_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = metrics(spark, sf_dir).select("release_date").where(F.col("release_date") <= F.to_date(F.lit(AS_OF[:10]))).distinct()
     return dates.orderBy(F.desc("release_date")).limit(12).select(_day("release_date"))
+
+
+#: The official release types and what stands for their indicators: a series of monthly means or counts, or of weekly counts.
+WEEKLY = {"initial_claims": "1-URGENT", "initial_claims_4w_avg": "2-HIGH", "continuing_claims": "3-MEDIUM"}
+OFFICIAL_DAY = "1999-01-12"
+
+
+def official_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest readings of five release types: cpi and ppi of a seasonal pair each, pce of one series, employment of three, claims of weeks."""
+    f, o = _series(spark, sf_dir, "F"), _series(spark, sf_dir, "O")
+    persons = views.monthly_series(spark, sf_dir).where("variant = 'F'").select("series", "period", F.col("persons").cast("double").alias("value"))
+
+    def of(rows: DataFrame, release_type: str, indicator: str | None, measure: str | None = None) -> DataFrame:
+        name = F.col("series") if indicator is None else F.lit(indicator)
+        return rows.select(F.lit(release_type).alias("release_type"), name.alias("indicator"), F.col("measure") if measure is None else F.lit(measure).alias("measure"), "period", "actual", "previous")
+
+    def only(rows: DataFrame, series: str) -> DataFrame:
+        return rows.where(F.col("series") == series)
+
+    weeks = macro.newest(macro.weekly_reading(views.weekly_counts(spark, sf_dir).where(F.col("series").isin(*WEEKLY.values()))), ["series"], "week")
+    name = F.create_map(*[F.lit(x) for k, v in WEEKLY.items() for x in (v, k)])[F.col("series")]
+    claims = weeks.select(F.lit("weekly_claims").alias("release_type"), name.alias("indicator"), F.lit("level").alias("measure"), F.col("week").alias("period"), F.col("claims").cast("double").alias("actual"), F.col("previous").cast("double").alias("previous"))
+    parts = [
+        of(macro.inflation_metrics(macro.inflation_reading(only(f, "A"), only(o, "A"))), "cpi", "cpi"), of(macro.inflation_metrics(macro.inflation_reading(only(f, "N"), only(o, "N"))), "ppi", "ppi"),
+        of(macro.inflation_metrics(macro.inflation_reading(only(f, "R"), only(f, "R"))), "pce", "pce"), of(macro.level_change(only(persons, "A"), 1.0), "employment_situation", "nonfarm_payrolls", "change"),
+        of(macro.newest_level(only(f, "N")), "employment_situation", "unemployment_rate", "level"), of(macro.level_metrics(only(f, "R")), "employment_situation", "average_hourly_earnings"), claims,
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_OFFICIAL = f"""inf AS (SELECT a.series, a.period, (a.value / {_back('a', 'F', 1)} - 1) * 100 AS mom, ({_back('a', 'F', 1)} / {_back('a', 'F', 2)} - 1) * 100 AS pmom,
+  ({_back('a', 'O', 0)} / {_back('a', 'O', 12)} - 1) * 100 AS yoy, ({_back('a', 'O', 1)} / {_back('a', 'O', 13)} - 1) * 100 AS pyoy, (a.value / {_back('a', 'F', 12)} - 1) * 100 AS yoyf, ({_back('a', 'F', 1)} / {_back('a', 'F', 13)} - 1) * 100 AS pyoyf,
+  a.value, {_back('a', 'F', 1)} AS m1, a.persons::DOUBLE AS persons, (SELECT persons::DOUBLE FROM monthly_series b WHERE b.series = a.series AND b.variant = 'F' AND b.period = (a.period - INTERVAL 1 MONTH)::DATE) AS p1,
+  (SELECT persons::DOUBLE FROM monthly_series b WHERE b.series = a.series AND b.variant = 'F' AND b.period = (a.period - INTERVAL 2 MONTH)::DATE) AS p2 FROM monthly_series a WHERE a.variant = 'F'),
+pair AS (SELECT * FROM inf WHERE mom IS NOT NULL AND yoy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series ORDER BY period DESC) = 1), one AS (SELECT * FROM inf WHERE mom IS NOT NULL AND yoyf IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series ORDER BY period DESC) = 1),
+last AS (SELECT * FROM inf QUALIFY row_number() OVER (PARTITION BY series ORDER BY period DESC) = 1),
+wk AS (SELECT a.series, a.week, a.claims::DOUBLE AS claims, b.claims::DOUBLE AS previous FROM weekly_counts a LEFT JOIN weekly_counts b ON a.series = b.series AND b.week = a.week - 7 WHERE a.series < '4' QUALIFY row_number() OVER (PARTITION BY a.series ORDER BY a.week DESC) = 1),
+om AS (
+  SELECT CASE series WHEN 'A' THEN 'cpi' ELSE 'ppi' END AS rt, CASE series WHEN 'A' THEN 'cpi' ELSE 'ppi' END AS indicator, 'mom' AS measure, period, mom AS actual, pmom AS previous FROM pair WHERE series IN ('A', 'N')
+  UNION ALL SELECT CASE series WHEN 'A' THEN 'cpi' ELSE 'ppi' END, CASE series WHEN 'A' THEN 'cpi' ELSE 'ppi' END, 'yoy', period, yoy, pyoy FROM pair WHERE series IN ('A', 'N')
+  UNION ALL SELECT 'pce', 'pce', 'mom', period, mom, pmom FROM one WHERE series = 'R' UNION ALL SELECT 'pce', 'pce', 'yoy', period, yoyf, pyoyf FROM one WHERE series = 'R'
+  UNION ALL SELECT 'employment_situation', 'nonfarm_payrolls', 'change', period, persons - p1, p1 - p2 FROM last WHERE series = 'A' AND p1 IS NOT NULL
+  UNION ALL SELECT 'employment_situation', 'unemployment_rate', 'level', period, value, m1 FROM last WHERE series = 'N'
+  UNION ALL SELECT * FROM (SELECT 'employment_situation', 'average_hourly_earnings', unnest(['level', 'mom', 'yoy']), period, unnest([value, mom, yoyf]) AS v, unnest([m1, pmom, pyoyf]) FROM last WHERE series = 'R') WHERE v IS NOT NULL
+  UNION ALL SELECT 'weekly_claims', CASE series WHEN '1-URGENT' THEN 'initial_claims' WHEN '2-HIGH' THEN 'initial_claims_4w_avg' ELSE 'continuing_claims' END, 'level', week, claims, previous FROM wk)"""
+
+
+@query(sql("monthly_series weekly_counts", f"{_OFFICIAL} SELECT rt AS release_type, indicator, measure, period::VARCHAR AS period, round(actual, 6) AS actual, round(previous, 6) AS previous FROM om"))
+def c09_official_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of inflation (C03), levels (C05), earnings, payrolls and claims in one form of record."""
+    return official_metrics(spark, sf_dir).select("release_type", "indicator", "measure", _day("period"), _r6("actual"), _r6("previous"))
+
+
+@query(sql("monthly_series", f"{_OFFICIAL.split('wk AS')[0].rstrip().rstrip(',')} SELECT series, period::VARCHAR AS period, measure, round(actual, 6) AS actual, round(previous, 6) AS previous FROM (SELECT series, period, unnest(['mom', 'yoy']) AS measure, unnest([mom, yoy]) AS actual, unnest([pmom, pyoy]) AS previous FROM pair)"))
+def c03_inflation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = macro.inflation_metrics(macro.inflation_reading(_series(spark, sf_dir, "F"), _series(spark, sf_dir, "O")))
+    return found.select("series", _day("period"), "measure", _r6("actual"), _r6("previous"))
+
+
+@query(sql("monthly_series", f"{_OFFICIAL.split('wk AS')[0].rstrip().rstrip(',')} SELECT series, period::VARCHAR AS period, round(value, 6) AS actual, round(m1, 6) AS previous FROM last"))
+def c05_newest_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return macro.newest_level(_series(spark, sf_dir, "F")).select("series", _day("period"), _r6("actual"), _r6("previous"))
+
+
+def official_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release dates: on a day of the next month for each type and period, and five days after a week."""
+    months = views.monthly_series(spark, sf_dir).select("period").distinct()
+    days = F.array(*[F.struct(F.lit(t).alias("release_type"), F.lit(d).alias("lag")) for t, d in (("cpi", 11), ("ppi", 13), ("pce", 27), ("employment_situation", 4))])
+    monthly = months.select("period", F.inline(days)).select("release_type", F.expr("date_add(add_months(period, 1), lag)").alias("release_date"))
+    return monthly.unionByName(views.weekly_counts(spark, sf_dir).select(F.lit("weekly_claims").alias("release_type"), F.date_add("week", 5).alias("release_date")).distinct())
+
+
+def official_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of the metrics for the day of their release: two of most, one of some, with one time or two."""
+    at = official_dates(spark, sf_dir).where(F.col("release_date") <= F.to_date(F.lit(OFFICIAL_DAY))).groupBy("release_type").agg(F.max("release_date").alias("release_date"))
+    n = F.length("indicator")
+    base = official_metrics(spark, sf_dir).join(at, "release_type").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where((F.col("k") == 0) | (n % 2 == 0))
+    hour = F.when((F.col("release_type") == "ppi") & (F.col("k") == 0) & (F.col("measure") == "yoy"), F.expr("INTERVAL 15 HOURS")).otherwise(F.expr("INTERVAL 13 HOURS"))
+    known = F.when((F.col("k") == 1) & (n % 4 == 0), F.to_timestamp_ntz(F.lit("1998-12-01 00:00:00")))
+    return base.select("indicator", "measure", "period", F.concat_ws(":", "indicator", "measure", "k").alias("forecast_id"), (F.round("actual", 1) - 0.1 * F.col("k")).alias("consensus"), known.alias("forecast_as_of"), (F.col("release_date").cast("timestamp_ntz") + hour).alias("scheduled_at"))
+
+
+@query(sql("monthly_series weekly_counts", f"""{_OFFICIAL},
+dt AS (SELECT unnest(['cpi', 'ppi', 'pce', 'employment_situation']) AS rt, (period + INTERVAL 1 MONTH)::DATE + unnest([11, 13, 27, 4]) AS rd FROM (SELECT DISTINCT period FROM monthly_series) UNION ALL SELECT 'weekly_claims', week + 5 FROM weekly_counts),
+la AS (SELECT rt, max(rd) AS rd FROM dt WHERE rd <= DATE '{OFFICIAL_DAY}' GROUP BY rt),
+fc AS (SELECT om.rt, indicator, measure, period, k, round(actual::DECIMAL(28, 10), 1)::DOUBLE - 0.1 * k AS f, k = 1 AND length(indicator) % 4 = 0 AS timed, rd + CASE WHEN om.rt = 'ppi' AND k = 0 AND measure = 'yoy' THEN INTERVAL 15 HOUR ELSE INTERVAL 13 HOUR END AS sched FROM om JOIN la USING (rt), (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR length(indicator) % 2 = 0),
+co AS (SELECT rt, indicator, measure, period, CASE WHEN count(*) FILTER (NOT timed) = 1 THEN max(f) FILTER (NOT timed) END AS consensus FROM fc GROUP BY ALL),
+ti AS (SELECT rt, min(sched) AS low, max(sched) AS high FROM fc GROUP BY rt),
+li AS (SELECT rt, count(DISTINCT period) AS periods, string_agg(indicator || ':' || measure || ':' || period || ':' || CASE WHEN consensus IS NULL THEN 'none' ELSE 'assumed' END, '|' ORDER BY indicator, measure) AS metrics, count(*)::BIGINT AS n FROM om LEFT JOIN co USING (rt, indicator, measure, period) GROUP BY rt),
+r AS (SELECT *, CASE WHEN rd = DATE '{OFFICIAL_DAY}' THEN rt || '_release_time_unverified' WHEN rt = 'employment_situation' AND periods > 1 THEN 'employment_period_mismatch' END AS warning FROM la LEFT JOIN li USING (rt) LEFT JOIN ti USING (rt))
+SELECT rt AS release_type, CASE WHEN warning IS NULL AND n > 0 THEN rt || ':' || rd END AS release_id, CASE WHEN warning IS NULL AND n > 0 AND low = high THEN strftime(low, '%Y-%m-%d %H:%M:%S') END AS scheduled_release_at,
+  CASE WHEN warning IS NULL AND n > 0 AND low = high THEN 'trading_economics' END AS schedule_source, CASE WHEN warning IS NULL AND n > 0 THEN metrics END AS metrics, warning FROM r"""))
+def c10_official_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest release of each official type; that of the very day isn't built."""
+    found = releases_.official_releases(official_dates(spark, sf_dir), official_metrics(spark, sf_dir), official_forecasts(spark, sf_dir), F.to_date(F.lit(OFFICIAL_DAY)))
+    line = F.transform("metrics", lambda m: F.concat_ws(":", m["indicator"], m["measure"], m["period"].cast("string"), F.when(m["consensus"].isNull(), "none").when(m["surprise_is_estimated"], "verified").otherwise("assumed")))
+    return found.select("release_type", "release_id", F.date_format("scheduled_release_at", "yyyy-MM-dd HH:mm:ss").alias("scheduled_release_at"), "schedule_source", F.array_join(line, "|").alias("metrics"), "warning")
