@@ -83,7 +83,12 @@ def alignment(pairs: DataFrame, marked: DataFrame, as_of: Column) -> DataFrame:
 
 def window_returns(events: DataFrame, symbols: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
     """A row per event, symbol and window: status, reason, price and return_pct, null after a reference price of zero."""
-    wide = events.select("event_id", "event_at").join(F.broadcast(symbols), how="cross")
+    return pair_returns(events.select("event_id", "event_at").join(F.broadcast(symbols), how="cross"), bars, as_of)
+
+
+def pair_returns(wide: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
+    """window_returns() of given pairs (event_id, event_at, symbol)."""
+    events = wide.select("event_id", "event_at").distinct()
     windows = F.array(*[F.struct(F.lit(w).alias("window"), (F.col("event_at") + F.expr(f"INTERVAL {m} MINUTES")).alias("target_at")) for w, m in WINDOWS.items()])
     targets = wide.select("event_id", "event_at", "symbol", F.inline(windows))
     seen = observation_bars(targets, bars, as_of)
@@ -139,3 +144,29 @@ def recent_events(events: DataFrame, before: Column, limit: int, key: str | None
     if key is None:
         return past.orderBy(*order).limit(limit)
     return past.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def pair_reactions(pairs: DataFrame, bars: DataFrame, daily: DataFrame, calendar: DataFrame, as_of: Column) -> DataFrame:
+    """One record of each pair (event_id, event_at, symbol): how its bars align, its windows as an array of structs, and its close.
+
+    A pair that has no bars is a record too, with what is missing named; event_id is of one time.
+    """
+    key = ["event_id", "symbol"]
+    events = pairs.select("event_id", "event_at").distinct()
+    aligned = alignment(pairs, classified(events, bars), as_of).withColumnRenamed("status", "alignment")
+    windows = pair_returns(pairs, bars, as_of).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("window", "status", "reason", "price", "return_pct"))).alias("windows"))
+    refs = reference_bars(events, bars).select(*key, "reference_price")
+    closes = pairs.select(*key).join(next_close(events, calendar).select("event_id", "close_at"), "event_id").join(refs, key, "left").withColumn("reference_adjustment", F.lit("raw"))
+    close = close_returns(closes, daily, as_of).select(*key, F.col("status").alias("close_status"), F.col("reason").alias("close_reason"), F.col("return_pct").alias("close_return"))
+    return aligned.join(windows, key).join(close, key, "left")
+
+
+def earnings_reactions(filings: DataFrame, symbols: DataFrame, bars: DataFrame, daily: DataFrame, calendar: DataFrame, as_of: Column) -> DataFrame:
+    """pair_reactions() of earnings filings (filing_id, company, accepted_at, rank) with their company's symbol (company, symbol), and what the event is.
+
+    The event's time is that of acceptance, whose source and warning come along; a company without a symbol has no record.
+    """
+    known = filings.join(symbols, "company").select(F.col("filing_id").alias("event_id"), F.col("accepted_at").alias("event_at"), "symbol", "company", "rank")
+    found = pair_reactions(known.select("event_id", "event_at", "symbol"), bars, daily, calendar, as_of)
+    about = known.select(F.col("event_id"), "symbol", "company", "rank", F.lit("earnings").alias("event_type"), F.lit("sec_accepted_at").alias("event_time_source"))
+    return about.join(found, ["event_id", "symbol"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames, html_tree
 from tidemark.operators import evidence, targets
-from tidemark.plans import records
-from tidemark.plans.registry import query
+from tidemark.plans import records, visible
+from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.views import read, sql
 from tidemark.streaming import event_log
 
@@ -171,3 +171,29 @@ def s21_filing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.substring(h, 1, 4), F.lit("-"), F.substring(h, 5, 6))
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("filing_id"), F.lpad(F.col("page_id").cast("string"), 10, "0").alias("cik"), number.alias("accession_number"), primary.alias("primary_document"), html.alias("html"))
     return html_tree.filing_files(pages)
+
+
+_SIGNUPS = "ev AS (SELECT event_id, ts AS event_at, user_id FROM events WHERE event_type = 'signup')"
+_EARNINGS = f"""{visible._FILINGS}, s5 AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY accepted_at DESC, filing_id DESC) AS n FROM er WHERE form = '8-K' AND accepted_at <= TIMESTAMP '{visible.NOW}'),
+r5 AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY accepted_at DESC, filing_id DESC) AS rank FROM s5 WHERE n <= 100 AND hit AND accepted_at < TIMESTAMP '{visible.NOW}' - INTERVAL 1 HOUR),
+ea AS (SELECT filing_id, accepted_at, company, rank::INT AS rank, CASE WHEN length(company) % 2 = 0 THEN 'click' ELSE 'view' END AS symbol FROM r5 WHERE rank <= 5)"""
+
+
+def _of_earnings(name: str) -> str:
+    """The SQL of a query about events, for filings as the events."""
+    return ORACLES[name].replace(_SIGNUPS, f"{_EARNINGS}, ev AS (SELECT filing_id AS event_id, accepted_at AS event_at, 0 AS user_id FROM ea)")
+
+
+@query(f"""WITH {_EARNINGS} SELECT ea.filing_id AS event_id, ea.symbol, ea.company, ea.rank, a.status AS alignment, a.issues, w.windows, c.status AS close_status, c.return_pct AS close_return FROM ea JOIN ({_of_earnings('w24_alignment')}) a ON a.event_id = filing_id AND a.symbol = ea.symbol
+JOIN (SELECT event_id, symbol, string_agg("window" || ':' || status, '|' ORDER BY "window") AS windows FROM ({_of_earnings('w25_window_returns')}) GROUP BY ALL) w ON w.event_id = filing_id AND w.symbol = ea.symbol LEFT JOIN ({_of_earnings('w26_close_return')}) c ON c.event_id = filing_id AND c.symbol = ea.symbol""")
+def c31_earnings_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five earnings filings of each company and what its symbol did after them."""
+    from tidemark.operators import pit, reaction
+    from tidemark.plans import reactions
+
+    at = visible.at(visible.NOW)
+    found = pit.earnings_releases(visible.filings(spark, sf_dir), at, 5, before=at - F.expr("INTERVAL 1 HOUR"))
+    symbols = found.select("company").distinct().withColumn("symbol", F.when(F.length("company") % 2 == 0, "click").otherwise("view"))
+    rows = reaction.earnings_reactions(found, symbols, reactions.bars(spark, sf_dir), reactions.daily(spark, sf_dir), reactions.calendar(spark, sf_dir), reactions.as_of())
+    windows = F.array_join(F.transform("windows", lambda w: F.concat_ws(":", w["window"], w["status"])), "|")
+    return rows.select("event_id", "symbol", "company", "rank", "alignment", "issues", windows.alias("windows"), "close_status", F.round("close_return", 6).alias("close_return"))
