@@ -93,6 +93,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df in no more partitions than its rows fill with about each; it may have fewer already."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def packed(df: DataFrame, each: int) -> DataFrame:
+    """fewer() of a table that cut() has made, whose rows are counted."""
+    return fewer(df, df.count(), each)
+
+
 def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has few rows. Call it on tables that cut() has made."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, ascii_lower, cut, let, lookup, ready, words
+from tidemark.llm.common import arrow_rows, ascii_lower, cut, let, lookup, packed, ready, words
 from tidemark.llm.components import components
 
 BUCKETS = 128
@@ -45,8 +45,9 @@ MANTISSA_BITS = 10
 BAND = 4
 ROUNDS = 3
 PERCENT = 80
-#: Sets in an Arrow batch.
+#: Sets in an Arrow batch; rows of bands, of sketches and of sets in a task, so that small tables are few tasks.
 BATCH_ROWS = 2000
+BAND_ROWS, SKETCH_ROWS, SET_ROWS = 500_000, 50_000, 10_000
 #: Left and right members whose sketches meet in one task of the last round, and shingles of the left sets that are held at once when full sets meet.
 BLOCK, PIECE = 8192, 65536
 HELD_SHINGLES = 2 << 20
@@ -200,37 +201,35 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         table = cut(sketched(docs, size))
     rows = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(
-        rows.groupBy("key1", "key2", "n_shingles")
-        .agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.col("key1"))
-    )
+    grouped = rows.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("sketch").alias("sketch"))
+    classes = packed(cut(grouped.withColumn("node", F.col("key1"))), SKETCH_ROWS)
     width = 2 * BAND
     bands = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1))).alias("i"), "sketch").select(
         "node", "i", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
     )
     shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = cut(bands.join(shared, "band").select("band", "i", "node"))
+    members = packed(cut(bands.join(shared, "band").select("band", "i", "node")), BAND_ROWS)
     active = lookup(cut(members.select("node").distinct()))
-    chosen = cut(classes.join(active, "node", "left_semi").select("node", "n_shingles", "sketch", "row"))
+    chosen = packed(cut(classes.join(active, "node", "left_semi").select("node", "n_shingles", "sketch", "row")), SKETCH_ROWS)
     ids = lookup(chosen.select("node", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     sets = cut(texts.join(ids, ["doc_id", "mark"]).select("node", shingles(F.col("text"), size).alias("set")))
     if sets.count() > chosen.count():  # rows that repeat id and text
         sets = cut(sets.dropDuplicates(["node"]))
+    sets = packed(sets, SET_ROWS)
     none = chosen.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     tree = components(_one_document(rows)).toDF("u", "v") if by_id else cut(none)
     tested = cut(none).toDF("a", "b")
     for turn in range(ROUNDS):
         placed, open_ = _open(members, tree, turn)
         found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        pairs = cut(found.distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = packed(cut(found.distinct().join(tested, ["a", "b"], "left_anti")), BAND_ROWS)
         if pairs.limit(1).count():
             tree = components(tree.unionByName(_confirmed(pairs, chosen, sets))).toDF("u", "v")
             tested = tested.unionByName(pairs)
     placed, open_ = _open(members, tree, ROUNDS)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        near = cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node")))
+        near = packed(cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node"))), SKETCH_ROWS)
         edges = cut(_within_cells(near, chosen, sets))
     if edges.limit(1).count():
         tree = components(tree.unionByName(edges)).toDF("u", "v")
@@ -344,7 +343,7 @@ def _rest(members: DataFrame) -> DataFrame:
     scale = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / PERCENT + 1e-4)))
     sized = members.withColumn("scale", scale)
     most = members.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    sized = cut(sized.join(most, "band").withColumn("main", F.col("root") == F.col("most")).drop("most"))
+    sized = packed(cut(sized.join(most, "band").withColumn("main", F.col("root") == F.col("most")).drop("most")), SKETCH_ROWS)
     left = sized.where("NOT main").withColumn("scale", F.explode(F.array(*[F.col("scale") + k for k in (-1, 0, 1)])))
     cells = (
         left.groupBy("band", "scale").agg(F.count("*").alias("lefts"))
