@@ -42,11 +42,16 @@ def quote_quality(quotes: DataFrame, as_of: Column, max_age_s: int = 60) -> Data
     return quotes.withColumn("status", status).withColumn("issues", F.when(reject.isNotNull(), reject).otherwise(F.array_join(issues, "|")))
 
 
-def bar_quality(bars: DataFrame, as_of: Column, needed: int = 60) -> DataFrame:
+def bar_quality(bars: DataFrame, as_of: Column, needed: int = 60, requests: DataFrame | None = None, timeframe: str = "1d", allow_open: bool = True) -> DataFrame:
     """Per symbol over bars in their input order (ordinal): status, issues and the indicators out of reach.
 
-    bars has symbol, ordinal, start_at, end_at, is_complete, adjustment; all of it is one pass of aggregates after lags.
+    bars has symbol, ordinal, start_at, end_at, is_complete, adjustment; all of it is one pass of aggregates after lags. With requests
+    (symbol, what was asked for) there is a row for each of them, also without bars, and bars may have found, the symbol that
+    a bar names itself, and timeframe, which must be those asked for. allow_open says whether an open bar is allowed.
     """
+    for column, value in (("found", F.col("symbol")), ("timeframe", F.lit(timeframe))):
+        if column not in bars.columns:
+            bars = bars.withColumn(column, value)
     order = Window.partitionBy("symbol").orderBy("ordinal")
     seen = bars.withColumn("before", F.lag("start_at").over(order)).withColumn("_last", F.lead("ordinal").over(order).isNull())
     twice = bars.groupBy("symbol", "start_at", "end_at").count().where("count > 1").select("symbol").distinct().withColumn("twice", F.lit(True))
@@ -54,11 +59,15 @@ def bar_quality(bars: DataFrame, as_of: Column, needed: int = 60) -> DataFrame:
         F.count_distinct("adjustment").alias("adjustments"), F.bool_or(F.col("start_at") < F.col("before")).alias("unsorted"),
         F.bool_or(F.col("start_at") > as_of).alias("future"), F.bool_or(F.col("is_complete") & (F.col("end_at") > as_of)).alias("completed_future"),
         F.count_if(~F.col("is_complete")).alias("open_bars"), F.bool_or(F.col("_last") & F.col("is_complete")).alias("last_complete"), F.count_if("is_complete").alias("completed"),
+        F.bool_or(F.upper(F.trim("found")) != F.upper(F.trim("symbol"))).alias("foreign"), F.bool_or(F.col("timeframe") != timeframe).alias("other_frame"),
     ).join(twice, "symbol", "left")
+    if requests is not None:
+        facts = requests.select("symbol").distinct().join(facts, "symbol", "left")
     reject = first_of(
+        (F.col("completed").isNull(), "bars_missing"), (F.coalesce("foreign", F.lit(False)), "bar_symbol_mismatch"), (F.col("other_frame"), "bar_timeframe_mismatch"),
         (F.col("adjustments") != 1, "mixed_bar_adjustment"), (F.coalesce("unsorted", F.lit(False)), "bars_not_sorted"), (F.col("twice").isNotNull(), "duplicate_bar"),
         (F.col("future"), "bar_from_future"), (F.col("completed_future"), "completed_bar_from_future"), (F.col("open_bars") > 1, "multiple_incomplete_bars"),
-        ((F.col("open_bars") > 0) & F.col("last_complete"), "incomplete_bar_not_last"), (F.col("completed") == 0, "completed_bars_missing"),
+        ((F.col("open_bars") > 0) & F.col("last_complete"), "incomplete_bar_not_last"), ((F.col("open_bars") > 0) & F.lit(not allow_open), "incomplete_bar_not_allowed"), (F.col("completed") == 0, "completed_bars_missing"),
     )
     out_of_reach = F.array_compact(F.array(*[F.when(F.col("completed") < n, name) for name, n in REQUIRED.items()]))
     issues = F.array_compact(F.array(F.when(F.col("completed") < needed, "bar_window_insufficient"), F.when(F.size(out_of_reach) > 0, "technical_windows_unavailable")))
@@ -113,3 +122,17 @@ def minute_quality(bars: DataFrame, requests: DataFrame, sessions: list[str]) ->
     ))
     status = F.when(reject.isNotNull() | (empty == len(sessions)), "rejected").when(F.size(issues) > 0, "degraded").otherwise("usable")
     return rows.select("request_id", status.alias("status"), F.when(reject.isNotNull(), reject).otherwise(F.array_join(issues, "|")).alias("issues"))
+
+
+def guarded_analysis(quotes: DataFrame, bars_quality: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """What may be shown of each symbol: its quote unless that is rejected, its technical snapshot unless its bars are, and both statuses.
+
+    quotes: symbol, price, and status of quote_quality(). bars_quality: symbol and status of bar_quality(). snapshots: symbol and any
+    values, of which every one is null where it is withheld. The reference price is the quote's where it may be shown, else the snapshot's
+    price. A symbol without a quote has the status rejected for it.
+    """
+    values = [c for c in snapshots.columns if c != "symbol"]
+    rows = bars_quality.select("symbol", F.col("status").alias("bars_status")).join(quotes.select("symbol", "price", F.col("status").alias("quote_status")), "symbol", "left").join(snapshots, "symbol", "left")
+    rows = rows.withColumn("quote_status", F.coalesce("quote_status", F.lit("rejected")))
+    shown, kept = F.col("quote_status") != "rejected", F.col("bars_status") != "rejected"
+    return rows.select("symbol", "quote_status", "bars_status", F.when(shown, F.col("price")).alias("quote_price"), *[F.when(kept, F.col(v)).alias(v) for v in values])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import macro, market, messages, reactions, records, stored, vendors, workflow, visible, parts, research  # noqa: F401, I001 - visible takes up what the others registered
+from tidemark.plans import macro, market, messages, reactions, records, stored, vendors, workflow, visible, parts, research, named  # noqa: F401, I001 - visible takes up what the others registered
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 

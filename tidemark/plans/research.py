@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames, html_tree
-from tidemark.operators import evidence, targets
+from tidemark.operators import evidence, quality, targets
 from tidemark.plans import records, visible
 from tidemark.plans.registry import ORACLES, query
+from tidemark.sources import views
 from tidemark.sources.views import read, sql
 from tidemark.streaming import event_log
 
@@ -197,3 +198,57 @@ def c31_earnings_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reaction.earnings_reactions(found, symbols, reactions.bars(spark, sf_dir), reactions.daily(spark, sf_dir), reactions.calendar(spark, sf_dir), reactions.as_of())
     windows = F.array_join(F.transform("windows", lambda w: F.concat_ws(":", w["window"], w["status"])), "|")
     return rows.select("event_id", "symbol", "company", "rank", "alignment", "issues", windows.alias("windows"), "close_status", F.round("close_return", 6).alias("close_return"))
+
+
+#: Bars with faults of all kinds by symbol: none at all, another symbol's, weekly ones, an open one where none is allowed.
+_ALL_BARS = f"""b AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS ordinal, count(*) OVER (PARTITION BY symbol) AS n, substr(symbol, 2)::INT AS k FROM bars),
+q AS (SELECT symbol, ordinal, n, k, CASE WHEN k % 13 = 3 AND ordinal = 5 THEN day - 400 ELSE day END AS day, CASE WHEN k % 13 = 5 AND ordinal = 7 THEN 'raw' ELSE 'forward_adjusted' END AS adjustment, NOT (k % 13 = 7 AND ordinal = n) AS is_complete,
+  CASE WHEN k % 13 = 1 AND ordinal = 9 THEN 'other' ELSE lower(symbol) || ' ' END AS found, CASE WHEN k % 13 = 2 AND ordinal = 4 THEN '1w' ELSE '1d' END AS frame FROM b WHERE k % 13 <> 4),
+l AS (SELECT *, lag(day) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM q),
+f AS (SELECT symbol, bool_or(found = 'other') AS foreign_bar, bool_or(frame <> '1d') AS framed, count(DISTINCT adjustment) AS a, bool_or(day < before) AS unsorted, count(*) FILTER (NOT is_complete) AS open_bars, count(*) FILTER (is_complete) AS c FROM l GROUP BY symbol),
+d AS (SELECT DISTINCT symbol FROM (SELECT symbol, day FROM q GROUP BY symbol, day HAVING count(*) > 1)),
+r AS (SELECT s.symbol, CASE WHEN c IS NULL THEN 'bars_missing' WHEN foreign_bar THEN 'bar_symbol_mismatch' WHEN framed THEN 'bar_timeframe_mismatch' WHEN a <> 1 THEN 'mixed_bar_adjustment' WHEN unsorted THEN 'bars_not_sorted' WHEN s.symbol IN (SELECT symbol FROM d) THEN 'duplicate_bar'
+  WHEN open_bars > 0 THEN 'incomplete_bar_not_allowed' WHEN c = 0 THEN 'completed_bars_missing' END AS bad, c, concat_ws('|', {', '.join(f"CASE WHEN c < {n} THEN '{k}' END" for k, n in quality.REQUIRED.items())}) AS away FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN f USING (symbol)),
+bq AS (SELECT symbol, CASE WHEN bad IS NOT NULL THEN 'rejected' WHEN c < 60 OR away <> '' THEN 'degraded' ELSE 'usable' END AS status, coalesce(bad, concat_ws('|', CASE WHEN c < 60 THEN 'bar_window_insufficient' END, CASE WHEN away <> '' THEN 'technical_windows_unavailable' END)) AS issues FROM r)"""
+
+
+def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ordinal, day, start_at, end_at, close, is_complete, adjustment, found and timeframe of daily bars with faults."""
+    by = Window.partitionBy("symbol")
+    k = F.substring("symbol", 2, 2).cast("int") % 13
+    b = views.bars(spark, sf_dir).select("symbol", "day", "close", F.row_number().over(by.orderBy("day")).alias("ordinal"), F.count("*").over(by).alias("n")).withColumn("k", k).where("k != 4")
+    day = F.when((F.col("k") == 3) & (F.col("ordinal") == 5), F.date_sub("day", 400)).otherwise(F.col("day"))
+    at = day.cast("timestamp_ntz")
+    return b.select(
+        "symbol", "ordinal", "close", at.alias("start_at"), (at + F.expr("INTERVAL 8 HOURS")).alias("end_at"), (~((F.col("k") == 7) & (F.col("ordinal") == F.col("n")))).alias("is_complete"),
+        F.when((F.col("k") == 5) & (F.col("ordinal") == 7), "raw").otherwise("forward_adjusted").alias("adjustment"), F.when((F.col("k") == 1) & (F.col("ordinal") == 9), "other").otherwise(F.concat(F.lower("symbol"), F.lit(" "))).alias("found"),
+        F.when((F.col("k") == 2) & (F.col("ordinal") == 4), "1w").otherwise("1d").alias("timeframe"),
+    )
+
+
+def all_bar_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.bars(spark, sf_dir).select("symbol").distinct()
+    return quality.bar_quality(all_bars(spark, sf_dir), visible.at(visible.NOW), requests=asked, allow_open=False)
+
+
+@query(sql("bars", f"{_ALL_BARS} SELECT symbol, status, issues FROM bq"))
+def c16_bar_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested bars that are missing, foreign, of another timeframe, or open where none may be, beside the other faults."""
+    return all_bar_quality(spark, sf_dir).select("symbol", "status", "issues")
+
+
+@query(sql("bars", f"""{_ALL_BARS}, lc AS (SELECT symbol, max(day) AS day, arg_max(close, day) AS price, count(*)::BIGINT AS bars FROM bars WHERE substr(symbol, 2)::INT % 13 <> 4 GROUP BY symbol),
+qt AS (SELECT symbol, k, CASE WHEN k % 5 <> 0 THEN price * 2 END AS price, CASE WHEN k % 6 = 1 THEN 'rejected' ELSE 'degraded' END AS status FROM (SELECT symbol, substr(symbol, 2)::INT AS k, arg_max(close, day) AS price FROM bars GROUP BY symbol) WHERE k % 7 <> 6)
+SELECT symbol, coalesce(qt.status, 'rejected') AS quote_status, bq.status AS bars_status, CASE WHEN qt.status <> 'rejected' THEN qt.price END AS quote_price, CASE WHEN bq.status <> 'rejected' THEN lc.price END AS last_close, CASE WHEN bq.status <> 'rejected' THEN lc.bars END AS completed_bars,
+  CASE WHEN qt.status <> 'rejected' AND qt.price IS NOT NULL THEN qt.price WHEN bq.status <> 'rejected' THEN lc.price END AS reference_price FROM bq LEFT JOIN qt USING (symbol) LEFT JOIN lc USING (symbol)"""))
+def c20_guarded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that are fixtures are cleared, snapshots over rejected bars withheld; the reference price is what may be shown of the two."""
+    k = F.substring("symbol", 2, 2).cast("int")
+    last = views.bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "day").alias("last"))
+    at = visible.at(visible.NOW)
+    quotes = last.where(k % 7 != 6).select(
+        "symbol", F.col("symbol").alias("wanted"), F.when(k % 5 != 0, F.col("last") * 2).alias("price"), at.alias("quoted_at"), at.alias("received_at"), F.when(k % 6 == 1, "fixture").otherwise("historical").alias("data_mode"), F.lit(False).alias("is_delayed"), F.lit("closed").alias("market_state"),
+    )
+    snapshots = all_bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "end_at").alias("last_close"), F.count("*").alias("completed_bars"))
+    shown = quality.guarded_analysis(quality.quote_quality(quotes, at), all_bar_quality(spark, sf_dir), snapshots)
+    return shown.withColumn("reference_price", F.coalesce("quote_price", "last_close"))
