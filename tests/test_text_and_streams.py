@@ -28,6 +28,17 @@ def test_chunks_cover_the_text(content, size, data):
         assert all(b[0] == a[1] - overlap and b[0] > a[0] for a, b in zip(found, found[1:]))
 
 
+def test_chunks_end_at_the_best_separator():
+    assert text.chunk_bounds("aaaa bbbb cccc dddd", 10, 2) == [(0, 9), (7, 14), (12, 19)]
+    assert text.chunk_bounds("aaaaa\n\nb c d e f g h i", 12, 3) == [(0, 6), (3, 14), (11, 22)]
+    assert text.chunk_bounds("aaaaaaa\n\nb c d", 12, 3) == [(0, 7), (4, 14)]
+    assert text.chunk_bounds("x" * 25, 10, 3) == [(0, 10), (7, 17), (14, 24), (21, 25)]
+
+
+def test_json_that_is_too_deep_has_no_evidence():
+    assert text.evidence_modes("[" * 100_000 + "]" * 100_000) == []
+
+
 def test_normalized_text(spark):
     row = spark.createDataFrame([("  a b  c​ \n\n\n \nd\t e \n",)], "t string").select(text.normalized(F.col("t")).alias("t")).first()
     assert row["t"] == "a b c\n\nd e"

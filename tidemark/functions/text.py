@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,19 +23,41 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
+class _Separators:
+    """Places of blank lines, line ends and spaces of a text, found once."""
+
+    def __init__(self, text: str) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        lines = np.flatnonzero(codes == 10)
+        blank = lines[:-1][np.diff(lines) == 1]
+        self.kinds = ((blank, 2), (lines, 1), (np.flatnonzero(codes == 32), 1))
+
+    def last_within(self, low: int, high: int) -> int | None:
+        """The last place from low on of the best kind that has one that ends by high."""
+        for places, width in self.kinds:
+            k = int(np.searchsorted(places, high - width, side="right")) - 1
+            if k >= 0 and places[k] >= low:
+                return int(places[k])
+        return None
+
+
 def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Starts and ends of chunks, cut at the last blank line, line end or space in their second half."""
-    found, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = min(start + max(size // 2, overlap + 1), end)
-            end = next((at for mark in ("\n\n", "\n", " ") if (at := text.rfind(mark, low, end)) > start), end)
-        found.append((start, end))
-        if end == len(text):
-            break
-        start = end - overlap
-    return found
+    """Starts and ends of chunks, cut at the last blank line, line end or space in their second half; the next begins overlap before.
+
+    The chunks are a fold over the places of separators: each is decided by the end of the one before.
+    """
+    if not text:
+        return []
+    separators, bounds = _Separators(text), [(0, 0)]
+    shortest = max(size // 2, overlap + 1)
+    while bounds[-1][1] < len(text):
+        first = max(0, bounds[-1][1] - overlap)
+        if len(text) - first <= size:
+            bounds.append((first, len(text)))
+        else:
+            at = separators.last_within(first + min(shortest, size), first + size)
+            bounds.append((first, first + size if at is None else at))
+    return bounds[1:]
 
 
 def chunks(docs: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -93,7 +116,7 @@ def evidence_modes(document: str | None) -> list[tuple[str, str | None]]:
     found: list[tuple[str, str | None]] = []
     try:
         waiting: list[tuple[object, str | None]] = [(json.loads(document or "null"), None)]
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than any document is
         return found
     while waiting:
         value, mode = waiting.pop()
