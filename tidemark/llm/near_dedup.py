@@ -277,7 +277,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= PERCENT / 100 - MARGIN
                     first = same[near].reshape(-1, BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1) == at[v[near]]
                     u, v = u[near][first], v[near][first]
-                    found.append((v, a[u]))
+                    if len(u):
+                        found.append((v, a[u]))
         if found:
             right, names = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(right, kind="stable")
