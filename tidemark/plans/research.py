@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames, html_tree
-from tidemark.operators import evidence, quality, targets
+from tidemark.operators import evidence, paging, quality, targets
 from tidemark.plans import records, visible
 from tidemark.plans.registry import ORACLES, query
 from tidemark.sources import views
@@ -252,3 +252,45 @@ def c20_guarded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = all_bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "end_at").alias("last_close"), F.count("*").alias("completed_bars"))
     shown = quality.guarded_analysis(quality.quote_quality(quotes, at), all_bar_quality(spark, sf_dir), snapshots)
     return shown.withColumn("reference_price", F.coalesce("quote_price", "last_close"))
+
+
+#: Minute bars of a symbol and day in pages of twenty and one, newest first; by the day of the month, the second page is missing, not
+#: older than its cursor, different in its newest bar, or there twice, and some histories end in an empty page.
+_PAGES = """mb AS (SELECT symbol || ':' || start_at::DATE AS request_id, start_at, end_at, close, start_at::DATE AS d, row_number() OVER (PARTITION BY symbol, start_at::DATE ORDER BY start_at DESC) - 1 AS r FROM minute_bars),
+rq AS (SELECT request_id, day(min(d)) AS dd, CASE WHEN day(min(d)) % 5 = 0 THEN min(d)::TIMESTAMP ELSE min(start_at) END AS start_at, min(d)::TIMESTAMP + INTERVAL 1 DAY AS end_at, min(start_at) AS oldest, max(r) AS most FROM mb GROUP BY request_id),
+rw AS (SELECT request_id, k, request_id || '#' || lpad(k::VARCHAR, 3, '0') AS page_id, start_at, end_at, CASE WHEN dd % 7 = 3 AND k = 1 AND r = 20 THEN close + 1 ELSE close END AS close, r, dd FROM mb JOIN (SELECT request_id, dd FROM rq) USING (request_id), LATERAL (SELECT unnest([r // 20, (r - 1) // 20]) AS k)
+  WHERE k >= 0 AND r BETWEEN 20 * k AND 20 * k + 20),
+r1 AS (SELECT DISTINCT request_id, k, page_id, start_at, end_at, close, r, dd FROM rw WHERE NOT (dd % 7 = 1 AND k = 1)),
+pg AS (SELECT r1.request_id, page_id, CASE WHEN k = 0 THEN any_value(rq.end_at) ELSE max(r1.start_at) END AS cursor, CASE WHEN any_value(r1.dd) % 7 = 2 AND k = 1 THEN max(r1.start_at) + INTERVAL 1 MINUTE ELSE min(r1.start_at) END AS oldest, k, any_value(r1.dd) AS dd, count(*) AS n FROM r1 JOIN rq USING (request_id) GROUP BY r1.request_id, page_id, k),
+pa AS (SELECT request_id, page_id, cursor, oldest FROM pg WHERE NOT (k > 0 AND n = 1) UNION ALL SELECT request_id, page_id || 'b', cursor, oldest FROM pg WHERE dd % 7 = 4 AND k = 1 AND n > 1 UNION ALL SELECT request_id, request_id || '#z', oldest, NULL FROM rq WHERE dd % 10 = 0),
+fp AS (SELECT request_id, cursor, min(page_id) AS page_id, arg_min(struct_pack(o := oldest), page_id).o AS oldest, count(*) - 1 AS again FROM pa GROUP BY ALL),
+wk AS (SELECT fp.*, 0 AS place FROM fp JOIN rq ON fp.request_id = rq.request_id AND cursor = end_at UNION ALL SELECT fp.*, place + 1 FROM wk JOIN fp ON fp.request_id = wk.request_id AND fp.cursor = wk.oldest AND wk.oldest < wk.cursor WHERE place + 1 < 12),
+la AS (SELECT request_id, count(*) AS pages, sum(again)::BIGINT AS repeats, arg_max(struct_pack(o := oldest), place).o AS oldest, max(place) AS place, bool_or(coalesce(oldest >= cursor, false)) AS stuck FROM wk GROUP BY request_id),
+co AS (SELECT request_id, count(*) AS n_rows, bool_or(odd) AS odd FROM (SELECT r1.request_id, r1.start_at, min(close) <> max(close) AS odd FROM r1 JOIN wk USING (page_id) JOIN rq ON rq.request_id = r1.request_id AND r1.start_at >= rq.start_at AND r1.end_at <= rq.end_at GROUP BY ALL) GROUP BY request_id)"""
+
+
+def paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests, pages and their rows."""
+    mb = views.minute_bars(spark, sf_dir).select(F.concat_ws(":", "symbol", F.to_date("start_at").cast("string")).alias("request_id"), "start_at", "end_at", "close", F.to_date("start_at").alias("d"))
+    mb = mb.withColumn("r", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("start_at"))) - 1)
+    rq = mb.groupBy("request_id").agg(F.min("d").alias("d"), F.min("start_at").alias("oldest")).withColumn("dd", F.dayofmonth("d"))
+    rq = rq.select("request_id", "dd", F.when(F.col("dd") % 5 == 0, F.col("d").cast("timestamp_ntz")).otherwise(F.col("oldest")).alias("start_at"), (F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("end_at"), "oldest")
+    own, r = F.floor(F.col("r") / 20), F.col("r")
+    k = F.explode(F.when((r % 20 == 0) & (r > 0), F.array(own, own - 1)).otherwise(F.array(own))).alias("k")
+    rows = mb.join(rq.select("request_id", "dd"), "request_id").select("request_id", "dd", "r", "start_at", "end_at", "close", k).where(~((F.col("dd") % 7 == 1) & (F.col("k") == 1)))
+    rows = rows.withColumn("close", F.when((F.col("dd") % 7 == 3) & (F.col("k") == 1) & (r == 20), F.col("close") + 1).otherwise(F.col("close")))
+    rows = rows.withColumn("page_id", F.concat("request_id", F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0")))
+    newest = F.max("start_at")
+    made = rows.groupBy("request_id", "page_id", "k", "dd").agg(newest.alias("newest"), F.when((F.col("dd") % 7 == 2) & (F.col("k") == 1), newest + F.expr("INTERVAL 1 MINUTE")).otherwise(F.min("start_at")).alias("oldest"), F.count("*").alias("n")).where((F.col("k") == 0) | (F.col("n") > 1))
+    pages = made.join(rq.select("request_id", "end_at"), "request_id").select("request_id", "page_id", F.when(F.col("k") == 0, F.col("end_at")).otherwise(F.col("newest")).alias("cursor"), "oldest", "k", "dd")
+    again = pages.where((F.col("dd") % 7 == 4) & (F.col("k") == 1)).withColumn("page_id", F.concat("page_id", F.lit("b")))
+    empty = rq.where("dd % 10 = 0").select("request_id", F.concat("request_id", F.lit("#z")).alias("page_id"), F.col("oldest").alias("cursor"), F.lit(None).cast("timestamp_ntz").alias("oldest"))
+    names = ["request_id", "page_id", "cursor", "oldest"]
+    return rq.select("request_id", "start_at", "end_at"), pages.unionByName(again).select(*names).unionByName(empty), rows.select("page_id", "start_at", "end_at", "close")
+
+
+@query(sql("minute_bars", f"""{_PAGES} SELECT rq.request_id, coalesce(pages, 0)::BIGINT AS pages, coalesce(repeats, 0)::BIGINT AS repeats, coalesce(n_rows, 0)::BIGINT AS rows,
+  CASE WHEN stuck THEN 'no_progress' WHEN odd THEN 'conflicting' WHEN pages IS NOT NULL AND (la.oldest IS NULL OR la.oldest <= rq.start_at) THEN 'complete' WHEN place = 11 THEN 'page_limit' ELSE 'broken' END AS status FROM rq LEFT JOIN la USING (request_id) LEFT JOIN co USING (request_id)"""))
+def s09_page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars of a symbol and day, collected from pages that are linked by their cursors."""
+    return paging.collected(*paged(spark, sf_dir), ["close"])[1]

@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).rsplit("/", 1)[0])
+    return df.checkpoint()
+
+
 def _bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"), "content")
 
