@@ -243,7 +243,8 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A cell's right members with the left ones that may be similar to each, as names, from rows sorted by cell with the left ones first.
 
-    Holds the left members of one cell, at most about BLOCK, and a batch of right ones.
+    Left members that a batch names are rows too, without names. Holds the left members of one cell, at most
+    about BLOCK, and a batch of right ones.
     """
     cell, left = None, []
     luck = np.asarray(chance())
@@ -254,7 +255,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         main, side = (np.asarray(col[name].cast(pa.int8())) for name in ("main", "side"))
         node, root, size, at = (np.asarray(col[name]) for name in ("node", "root", "n_shingles", "i"))
         sketch = np.frombuffer(b"".join(col["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
-        found = []
+        found, named = [], []
         for begin, end in zip(start, [*start[1:], len(cells)]):
             if (key := tuple(cells[begin])) != cell:
                 cell, left = key, []
@@ -279,7 +280,14 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u, v = u[near][first], v[near][first]
                     if len(u):
                         found.append((v, a[u]))
+                        named.append((np.full(len(u), begin), a[u]))
         if found:
+            at_cell, once = (np.concatenate(x) for x in zip(*named))
+            order = np.lexsort((once, at_cell))
+            at_cell, once = at_cell[order], once[order]
+            new = np.r_[True, (at_cell[1:] != at_cell[:-1]) | (once[1:] != once[:-1])]
+            nothing = pa.nulls(int(new.sum()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells[at_cell[new]].T), pa.array(once[new]), nothing], names=[*CELL, "node", "names"])
             right, names = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(right, kind="stable")
             right, names = right[order], names[order]
@@ -311,21 +319,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within_cells(near: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges u, v of the right members of near and those of their names whose full sets are similar enough.
+    """Edges u, v of the right members of near and those of their names whose full sets are similar enough; near is what _likely() gives.
 
     A cell's left sets are dealt into parts of about HELD_SHINGLES together. A set goes to each part that
     needs it once, not with each of its pairs: a part's left sets are held, and each right set
     comes by with the names of those to compare it with.
     """
     sizes = classes.select("node", "n_shingles")
-    lefts = cut(near.select(*CELL, F.explode("names").alias("node")).distinct().join(sizes, "node"))
+    lefts = cut(near.where("names IS NULL").select(*CELL, "node").distinct().join(sizes, "node"))
     loads = lefts.groupBy(*CELL).agg(F.ceil(F.sum("n_shingles") / HELD_SHINGLES).alias("parts"))
 
     def part_of(node: Column) -> Column:
         return F.pmod(F.xxhash64(node, F.lit(13)), F.col("parts"))
 
     held = lefts.join(loads, CELL).select(*CELL, part_of(F.col("node")).alias("part"), "node", F.lit(None).cast("array<bigint>").alias("names"))
-    spread = near.join(loads, CELL).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    spread = near.where("names IS NOT NULL").join(loads, CELL).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     spread = spread.withColumn("names", F.when(F.col("parts") == 1, F.col("names")).otherwise(F.filter("names", lambda n: part_of(n) == F.col("part")))).where(F.size("names") > 0)
     rows = held.unionByName(spread.select(*PART, "node", "names")).join(sets, "node").select(*PART, "node", "names", "set")
     return rows.repartition(*PART).sortWithinPartitions(*PART, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
