@@ -173,7 +173,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
         .where(estimate(F.col("ka"), F.col("kb"), F.greatest("na", "nb")) >= PERCENT / 100 - MARGIN)
         .select("a", "b")
     )
-    full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    likely = packed(cut(likely), BAND_ROWS)
+    named = lookup(cut(likely.select(F.col("b").alias("node")).distinct()))
+    full = sets.toDF("a", "sa").join(lookup(likely), "a").join(sets.join(named, "node", "left_semi").toDF("b", "sb"), "b")  # sets that no pair names aren't shuffled
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     return common.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
