@@ -116,13 +116,16 @@ def test_ranges_of_keys_give_what_one_range_gives(spark, monkeypatch):
     assert sorted(map(str, mixing.mix(documents(spark, rows)).collect())) == whole
 
 
-def test_chats(spark):
+@pytest.mark.parametrize("turns", [1024, 15])
+def test_chats(spark, monkeypatch, turns):
+    monkeypatch.setattr(chats, "TURNS", turns)  # the smaller one cuts conversations into stretches
     rows = []
     rng = random.Random(8)
     for c in range(60):
         talk = [(rng.choice(["user", "bot"]), rng.choice(["hi", "yo", None, ""])) for _ in range(rng.randrange(1, 4))]
         rows += [(c, 10 * i, r, t) for i, (r, t) in enumerate(talk)]
     rows += [(None, 1, "user", "x"), (None, 1, "user", "x"), (None, 5, "user", "hi"), (99, None, None, None)]
+    rows += [(98, t, "user", f"t{k}") for k, t in enumerate([None, 0, 0, 3, 9, 70, 71])] + [(97, t, "user", f"t{k}") for k, t in enumerate([None, 1, 2, 3])]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, place string")
     talks = defaultdict(list)
     for c, turn, role, text in rows:

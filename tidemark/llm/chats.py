@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, group_key
 
 START, STOP = "<|im_start|>", "<|im_end|>"
+#: Turn numbers of a conversation that are put in order together.
+TURNS = 1024
 
 
 def _line() -> Column:
@@ -33,12 +35,26 @@ def _hash(seed: int) -> Column:
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, its key, the place of each turn, its last place, and the hash of the prefix that it ends."""
-    order = Window.partitionBy("key").orderBy("turn", "role", "text")
-    placed = turns.select("conv_id", group_key(F.col("conv_id")).alias("key"), "turn", "role", "text").withColumn("place", F.row_number().over(order) - 1)
-    upto = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = [F.sum(_hash(s).cast("decimal(38,0)")).over(upto).alias(n) for s, n in ((1, "h1"), (2, "h2"))]
-    return placed.select("conv_id", "key", "place", F.lead("place").over(Window.partitionBy("key").orderBy("place")).isNull().alias("last"), *sums)
+    """conv_id, its key, the place of each turn, its last place, and the hash of the prefix that it ends.
+
+    Places and sums are taken in two steps: over the stretches of TURNS turn numbers of a conversation, whose counts
+    and sums are added up first, then within a stretch, so that no long conversation is sorted in one task.
+    """
+    part = ["key", "stretch"]
+    stretch = F.coalesce(F.floor(F.col("turn") / TURNS).cast("long"), F.lit(-(1 << 62)))  # null turns come first
+    rows = turns.select("conv_id", group_key(F.col("conv_id")).alias("key"), stretch.alias("stretch"), "turn", "role", "text")
+    by_stretch = Window.partitionBy("key").orderBy("stretch")
+    ahead = by_stretch.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("size"))
+    sizes = sizes.select(*part, "size", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"), F.lead("stretch").over(by_stretch).isNull().alias("ends"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("turn", "role", "text"))
+    placed = rows.withColumn("own", own).join(sizes, part).withColumn("place", (F.col("ahead") + F.col("own") - 1).cast("int"))
+    hashed = cut(placed.select("conv_id", *part, "own", "place", (F.col("ends") & (F.col("own") == F.col("size"))).alias("last"), *[_hash(s).cast("decimal(38,0)").alias(n) for s, n in ((1, "a1"), (2, "a2"))]))
+    sums = hashed.groupBy(*part).agg(F.sum("a1").alias("s1"), F.sum("a2").alias("s2"))
+    sums = sums.select(*part, *[F.coalesce(F.sum(f"s{n}").over(ahead), F.lit(0)).cast("decimal(38,0)").alias(f"before{n}") for n in (1, 2)])
+    upto = Window.partitionBy(*part).orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = [(F.col(f"before{n}") + F.sum(f"a{n}").over(upto)).cast("decimal(38,0)").alias(f"h{n}") for n in (1, 2)]
+    return hashed.join(sums, part).select("conv_id", "key", "place", "last", *whole)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
