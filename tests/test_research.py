@@ -258,3 +258,22 @@ def test_each_rule_of_run_records_is_found_alone(spark):
 def test_index_rows_need_four_cells_and_a_named_link():
     html = '<table class="tableFile"><tr><td>1</td><td> a <i>b</i></td><td><a> x </a><td>10-K</tr><tr><td>2<td><td>no link<td>t</tr><tr><td>3</td><td></td><td><a></a></td><td></td></tr><tr><td></td><td></td><td><a>y.htm</a></td><td>EX</td><td>9</td></tr></table><table><tr><td>1<td>2<td><a>z</a><td>4</table>'
     assert html_tree.index_rows(html) == [("1", "x", "10-K", "a b"), (None, "y.htm", "EX", None)]
+
+
+def test_facts_are_filled_where_the_store_does_not_reach(spark):
+    from datetime import date
+
+    from tidemark.operators import facts
+
+    row = "company string, concept string, unit string, start_date date, end_date date, filed_date date, value double, k long"
+    source = [("C", c, "u", date(2020, m, 1), date(2020, m, 28), date(2020, m + 1, 15), float(m), m) for c in "ab" for m in range(1, 11)]
+    store = [r for r in source if r[1] == "a" and r[5] <= date(2020, 6, 30)]
+    asked = [(1, "C", "a", "u", date(2020, 6, 1)), (2, "C", "b", "u", date(2020, 4, 1)), (3, "C", "c", "u", date(2020, 4, 1))]
+    found, added, states = facts.answered(
+        spark.createDataFrame(asked, "request_id long, company string, concept string, unit string, as_of date"), spark.createDataFrame(store, row),
+        spark.createDataFrame([("C", "a", "u", date(2020, 6, 30))], "company string, concept string, unit string, covered_through date"), spark.createDataFrame(source, row), ["concept", "k"], F.to_date(F.lit("2020-12-31")),
+    )
+    rows = {(r["request_id"], r["rank"]): (r["refreshed"], r["value"]) for r in found.collect()}
+    assert rows == {(1, 1): (False, 4.0), (1, 2): (False, 3.0), (1, 3): (False, 2.0), (1, 4): (False, 1.0), (2, 1): (True, 2.0), (2, 2): (True, 1.0), (3, None): (True, None)}
+    assert {r["concept"] for r in added.collect()} <= {"b"}
+    assert {r["concept"]: str(r["covered_through"]) for r in states.collect()} == {"a": "2020-06-30", "b": "2020-12-31", "c": "2020-12-31"}

@@ -61,3 +61,24 @@ def newest_facts(facts: DataFrame, keys: list[str], limit: int = 4) -> DataFrame
     """The limit facts of each key with the latest end, of those the latest start."""
     order = Window.partitionBy(*keys).orderBy(F.desc("end_date"), F.desc_nulls_last("start_date"))
     return facts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def answered(requests: DataFrame, store: DataFrame, synced: DataFrame, source: DataFrame, ids: list[str], today: Column, limit: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The newest facts that requests may see, out of a store that is filled first where it doesn't reach; then the rows to add to the store, and the sync states.
+
+    requests: request_id, company, concept, unit, as_of (a date). synced: company, concept, unit (unique), covered_through. A request is covered if its
+    series was synced through its as_of or later; the series of the others are read from source whole, rows that the store has not (by ids)
+    are added, and their state becomes today. store and source have the facts' columns and company. The answer has request_id,
+    refreshed, whether its series was read anew, and up to limit facts with their rank, null without any.
+    """
+    series = ["company", "concept", "unit"]
+    covered = F.coalesce(F.col("covered_through") >= F.col("as_of"), F.lit(False))
+    asked = requests.join(synced, series, "left").withColumn("_covered", covered).drop("covered_through")
+    due = asked.where("NOT _covered").select(*series).distinct()
+    added = insert_ignore(store, source.join(due, series, "left_semi"), ids)
+    states = synced.join(due, series, "left_anti").unionByName(due.withColumn("covered_through", today))
+    whole = store.unionByName(added).join(asked.select("request_id", *series, "as_of"), series).where(F.col("filed_date") <= F.col("as_of"))
+    latest = latest_per_period(whole.drop("as_of"), ["request_id"], ids)
+    newest = newest_facts(latest, ["request_id"], limit)
+    state = asked.join(due.withColumn("refreshed", F.lit(True)), series, "left").select("request_id", F.coalesce("refreshed", F.lit(False)).alias("refreshed"))
+    return state.join(newest.select("request_id", "start_date", "end_date", "value", "rank"), "request_id", "left"), added, states

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames, html_tree
-from tidemark.operators import evidence, paging, quality, targets
+from tidemark.operators import evidence, facts, paging, quality, targets
 from tidemark.plans import records, visible
 from tidemark.plans.registry import ORACLES, query
 from tidemark.sources import views
@@ -294,3 +294,23 @@ def paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 def s09_page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars of a symbol and day, collected from pages that are linked by their cursors."""
     return paging.collected(*paged(spark, sf_dir), ["close"])[1]
+
+
+@query(sql("facts", f"""sy AS (SELECT concept, unit, CASE concept WHEN 'A' THEN DATE '1996-06-01' WHEN 'N' THEN DATE '1998-06-01' END AS covered FROM (SELECT DISTINCT concept, unit FROM facts)),
+rq AS (SELECT concept || unit || year(as_of) AS request_id, concept, unit, as_of FROM sy, (SELECT unnest([DATE '1995-03-31', DATE '1997-03-31', DATE '1999-03-31']) AS as_of) WHERE NOT (unit = 'F' AND year(as_of) = 1999 AND concept = 'N')),
+du AS (SELECT DISTINCT concept, unit FROM rq JOIN sy USING (concept, unit) WHERE NOT coalesce(covered >= as_of, false)),
+st AS (SELECT f.* FROM facts f JOIN sy USING (concept, unit) WHERE filed_date <= covered OR EXISTS (SELECT 1 FROM du WHERE du.concept = f.concept AND du.unit = f.unit)),
+la AS (SELECT request_id, start_date, end_date, value, row_number() OVER (PARTITION BY request_id, start_date, end_date ORDER BY filed_date DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, value DESC) AS k FROM st JOIN rq USING (concept, unit) WHERE filed_date <= as_of),
+ne AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY end_date DESC, start_date DESC) AS rank FROM la WHERE k = 1)
+SELECT request_id, EXISTS (SELECT 1 FROM du WHERE du.concept = rq.concept AND du.unit = rq.unit) AS refreshed, end_date::VARCHAR AS end_date, value, rank::INT AS rank FROM rq LEFT JOIN (SELECT * FROM ne WHERE rank <= 4) n USING (request_id)"""))
+def c33_facts_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of series at three days, of a store that was synced at different times and is filled where it doesn't reach."""
+    source = views.facts(spark, sf_dir).withColumn("company", F.lit("C"))
+    covered = F.when(F.col("concept") == "A", F.to_date(F.lit("1996-06-01"))).when(F.col("concept") == "N", F.to_date(F.lit("1998-06-01")))
+    series = source.select("company", "concept", "unit").distinct().withColumn("covered_through", covered)
+    days = F.array(*[F.to_date(F.lit(f"{y}-03-31")) for y in (1995, 1997, 1999)])
+    requests = series.select("company", "concept", "unit", F.explode(days).alias("as_of")).withColumn("request_id", F.concat("concept", "unit", F.year("as_of").cast("string"))).where("NOT (unit = 'F' AND year(as_of) = 1999 AND concept = 'N')")
+    store = source.where(F.col("filed_date") <= covered)
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "value"]
+    found = facts.answered(requests, store, series.where("covered_through IS NOT NULL"), source, ids, F.to_date(F.lit("1999-06-15")))[0]
+    return found.select("request_id", "refreshed", F.col("end_date").cast("string").alias("end_date"), "value", "rank")
