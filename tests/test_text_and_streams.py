@@ -82,6 +82,37 @@ def test_aliases_are_found_as_by_a_pattern_each(message, entries):
     assert sorted(mentions.Scanner(entries, plain=True).spans(message)) == sorted(plain)
 
 
+def test_an_alias_that_overlaps_itself_counts_as_asked():
+    assert sorted(mentions.Scanner(["the the"]).spans("breathe the the")) == [(8, 15, "the the")]
+    assert sorted(mentions.Scanner(["the the"], split=True).spans("breathe the the")) == []
+    assert sorted(mentions.Scanner(["the the"], split=True).spans("The the the the")) == [(0, 7, "the the"), (8, 15, "the the")]
+
+
+def _document(tmp_path, text):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [text], "lang": ["en"]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"n_nationkey": pa.array(range(25), pa.int32()), "n_name": [f"{chr(65 + k)}LAND" for k in range(25)]}), tmp_path / "nation.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": ["the the report"]}), tmp_path / "benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_queries_count_aliases_that_overlap_themselves_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    folder, db = _document(tmp_path, "They breathe the the air, the the the"), duckdb.connect()
+    for table in ("documents", "nation", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for name in ("u01_mention_spans", "j18_mention_overlap", "c34_from_messages"):
+        want = db.execute(catalog.oracle_sql()[name])
+        columns = [d[0] for d in want.description]
+        found = [tuple(r) for r in catalog.queries()[name](spark, folder).select(columns).collect()]
+        assert sorted(found) == sorted(want.fetchall())
+
+
 def test_aliases_without_latin_letters_are_found(spark):
     messages = spark.createDataFrame([(1, "买英伟达和NVIDIA Corp_2"), (2, "用C++11或c++"), (3, "pineapple apple"), (4, None), (5, "")], "doc_id long, text string")
     names = spark.createDataFrame([("英伟达",), ("nvidia corp",), ("c++",), ("apple",), ("",), (None,)], "alias string")

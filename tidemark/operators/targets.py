@@ -57,12 +57,12 @@ def resolve(messages: DataFrame, mentions: DataFrame, registry: DataFrame) -> Da
     return out.select("message_id", "resolved", "n_mentions", "n_ambiguous", "n_rejected", unsure.alias("needs_meaning"))
 
 
-def from_messages(messages: DataFrame, dictionary: DataFrame, registry: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def from_messages(messages: DataFrame, dictionary: DataFrame, registry: DataFrame, fallback: DataFrame | None = None, split: bool = False) -> DataFrame:
     """resolve() for messages (doc_id, text) themselves: both scanners, the longest of overlapping mentions, candidates checked in the registry, else in the fallback.
 
-    dictionary: alias (unique), tickers (array). registry and fallback: ticker (unique), symbol.
+    dictionary: alias (unique), tickers (array). registry and fallback: ticker (unique), symbol. split is that of mentions.Scanner.
     """
-    found = mentions.without_overlaps(mentions.spans(messages, dictionary.select("alias")))
+    found = mentions.without_overlaps(mentions.spans(messages, dictionary.select("alias"), split=split))
     named = found.join(dictionary.select(F.lit("alias").alias("source"), F.col("alias").alias("name"), "tickers"), ["source", "name"], "left")
     candidates = F.when(F.col("source") == "explicit", F.array("name")).otherwise(F.col("tickers"))
     known = registry if fallback is None else registry.unionByName(fallback.join(registry.select("ticker"), "ticker", "left_anti"))
