@@ -255,6 +255,12 @@ def test_each_rule_of_run_records_is_found_alone(spark):
     assert {r["seq"]: r["fault"] for r in odd.collect()} == {1: "result_before_request", 3: "request_repeated", 4: "result_repeated", 6: "after_end"}
 
 
+def test_what_shares_a_place_with_the_end_is_not_after_it(spark):
+    rows = [(k, 3, *e) for k in range(8) for e in ([("run_finished", None), ("tool_failed", "a"), ("run_finished", None)] if k % 2 else [("tool_failed", "a"), ("run_finished", None)])]
+    odd = evidence.order_faults(spark.createDataFrame(rows, "run_id long, seq long, type string, tool_call_id string"))
+    assert sorted((r["run_id"], r["fault"]) for r in odd.collect()) == sorted([(k, "result_before_request") for k in range(8)] + [(k, "after_end") for k in range(1, 8, 2)])
+
+
 def test_index_rows_need_four_cells_and_a_named_link():
     html = '<table class="tableFile"><tr><td>1</td><td> a <i>b</i></td><td><a> x </a><td>10-K</tr><tr><td>2<td><td>no link<td>t</tr><tr><td>3</td><td></td><td><a></a></td><td></td></tr><tr><td></td><td></td><td><a>y.htm</a></td><td>EX</td><td>9</td></tr></table><table><tr><td>1<td>2<td><a>z</a><td>4</table>'
     assert html_tree.index_rows(html) == [("1", "x", "10-K", "a b"), (None, "y.htm", "EX", None)]

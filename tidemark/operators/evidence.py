@@ -136,12 +136,14 @@ def check_records(records: DataFrame, events: DataFrame, expected: DataFrame, er
 def order_faults(events: DataFrame) -> DataFrame:
     """run_id, seq and fault of events out of order: result_before_request, request_repeated, result_repeated, or after_end.
 
-    events: run_id, seq (unique in a run), type, tool_call_id. One pass over each run's events, in order.
+    events: run_id, seq, type, tool_call_id. One pass over each run's events, in order; of events that share a
+    seq a request comes first, then a result, and the end last, so that only a larger seq is after it.
     """
     kind = F.col("type")
     asked, answered = (kind == "tool_requested").cast("int"), kind.isin("tool_succeeded", "tool_failed").cast("int")
-    run = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    call = Window.partitionBy("run_id", "tool_call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["seq", F.when(kind == "tool_requested", 0).when(answered == 1, 1).when(kind == "run_finished", 3).otherwise(2)]
+    run = Window.partitionBy("run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    call = Window.partitionBy("run_id", "tool_call_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = events.select("run_id", "seq", asked.alias("asks"), answered.alias("answers"), F.coalesce(F.max((kind == "run_finished").cast("int")).over(run), F.lit(0)).alias("ended"), F.coalesce(F.sum(asked).over(call), F.lit(0)).alias("asked"), F.coalesce(F.sum(answered).over(call), F.lit(0)).alias("answered"))
     c = F.col
     fault = (
