@@ -145,3 +145,64 @@ def test_reference_price_of_zero_gives_no_return(spark):
     bars_ = spark.createDataFrame(rows, "symbol string, start_at timestamp_ntz, end_at timestamp_ntz, close double")
     found = reaction.window_returns(events, bars_.select("symbol").distinct(), bars_, F.to_timestamp_ntz(F.lit("2027-01-01 00:00:00"))).where("window = '5m'").first()
     assert (found["status"], found["price"], found["return_pct"]) == ("usable", 5.0, None)
+
+
+def test_minutes_around_events_give_what_bars_one_by_one_give(spark):
+    import random
+
+    draw = random.Random(3)
+    starts = [dt.datetime(2024, 3, 1, 22), dt.datetime(1969, 12, 31, 22)]
+    made = {(s, top + dt.timedelta(minutes=draw.randrange(300))) for top in starts for s, n in (("A", 40), ("B", 250), ("C", 3)) for _ in range(n)}
+    bars_ = spark.createDataFrame([(s, t, t + dt.timedelta(minutes=1), 1.0) for s, t in sorted(made)], "symbol string, start_at timestamp_ntz, end_at timestamp_ntz, close double")
+    at = [top + dt.timedelta(minutes=draw.randrange(-130, 430), microseconds=draw.choice([0, 0, 1, 30_000_000, 59_999_999])) for top in starts for _ in range(150)]
+    events = spark.createDataFrame(list(enumerate(at)), "event_id long, event_at timestamp_ntz").cache()
+    marked = reaction.classified(events, bars_).cache()
+
+    def same(found, want):
+        columns = want.columns
+        assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, want.collect()))
+
+    same(reaction.class_counts(events, bars_), marked.groupBy("event_id", "symbol", "kind").agg(F.count("*").alias("n")))
+    same(reaction.bars_until(events, bars_), marked.where("kind != 'post'").select("event_id", "symbol", "start_at"))
+    pairs = events.join(F.broadcast(spark.createDataFrame([("A",), ("B",), ("C",), ("none",)], "symbol string")), how="cross")
+    now = F.to_timestamp_ntz(F.lit("2024-03-02 01:00:00"))
+    same(reaction.minute_alignment(pairs, bars_, now), reaction.alignment(pairs, marked, now))
+
+
+def test_alignment_does_not_meet_single_bars(spark, tmp_path):
+    """Events of one minute with every bar around them: a row each that is joined, not one a bar."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemark.plans import catalog
+
+    top = dt.datetime(2024, 1, 2, 10)
+    rows = [(k, top + dt.timedelta(minutes=k - 60, seconds=7), "click") for k in range(240)] + [(1000 + k, top + dt.timedelta(seconds=1), "signup") for k in range(20_000)]
+    ids, ts, kinds = zip(*rows)
+    pq.write_table(pa.table({"event_id": pa.array(ids), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array(ids), "event_type": kinds, "value": pa.array([1.0] * len(ids)), "props": [""] * len(ids)}), tmp_path / "events.parquet")
+    for name, most in (("w24_alignment", 20_000), ("j06_bar_classes", 60_000), ("j07_event_window", 120_000)):
+        found = catalog.queries()[name](spark, str(tmp_path))
+        assert found.count() == most
+        seen = max(_joined_rows(found))
+        assert seen <= 20_000, (name, seen)
+
+
+def _joined_rows(df):
+    """Rows that each join of a query gives when it is run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in kind and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found

@@ -282,7 +282,7 @@ def f20_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("minute_bars", f"""{reactions._MARKED} SELECT event_id, symbol, strftime(start_at, '%Y-%m-%d %H:%M:%S') AS start_at FROM mk WHERE kind != 'post' """))
 def j07_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars that were fetched for an event and don't lie after it."""
-    rows = reaction.classified(reactions.events(spark, sf_dir), reactions.bars(spark, sf_dir)).where("kind != 'post'")
+    rows = reaction.bars_until(reactions.events(spark, sf_dir), reactions.bars(spark, sf_dir))
     return rows.select("event_id", "symbol", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"))
 
 

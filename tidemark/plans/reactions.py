@@ -64,7 +64,7 @@ FROM ev JOIN mb ON start_at >= date_trunc('minute', event_at - INTERVAL 5 MINUTE
 
 @query(sql("minute_bars", f"{_MARKED} SELECT event_id, symbol, kind, count(*)::BIGINT AS n FROM mk GROUP BY ALL"))
 def j06_bar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reaction.classified(events(spark, sf_dir), bars(spark, sf_dir)).groupBy("event_id", "symbol", "kind").agg(F.count("*").alias("n"))
+    return reaction.class_counts(events(spark, sf_dir), bars(spark, sf_dir))
 
 
 @query(sql("minute_bars", f"""{_MARKED}, sd AS (SELECT e.event_id, e.event_at, sy.symbol, max(CASE WHEN kind = 'pre' THEN end_at END) AS pre_end, min(CASE WHEN kind = 'post' THEN start_at END) AS post_start, coalesce(bool_or(kind = 'crossing'), false) AS crossing
@@ -74,9 +74,8 @@ iss AS (SELECT *, CASE WHEN pre_end IS NULL THEN 'pre_bar_missing' WHEN event_at
     WHEN post_start - event_at > INTERVAL 5 MINUTE THEN 'post_bar_too_old' END AS b, CASE WHEN date_trunc('minute', event_at) != event_at AND NOT crossing THEN 'event_minute_not_observed' END AS c FROM sd)
 SELECT event_id, symbol, CASE WHEN a IS NOT NULL THEN 'unavailable' WHEN b IS NOT NULL THEN 'incomplete' ELSE 'ready' END AS status, concat_ws('|', a, b, c) AS issues FROM iss"""))
 def w24_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, mb = events(spark, sf_dir), bars(spark, sf_dir)
-    pairs = ev.join(F.broadcast(symbols(spark, sf_dir)), how="cross")
-    return reaction.alignment(pairs, reaction.classified(ev, mb), as_of())
+    pairs = events(spark, sf_dir).join(F.broadcast(symbols(spark, sf_dir)), how="cross")
+    return reaction.minute_alignment(pairs, bars(spark, sf_dir), as_of())
 
 
 _RETURNS = f"""{_OBS}, rt AS (SELECT t.event_id, t.symbol, t."window", CASE WHEN reference_price IS NULL THEN 'unavailable' WHEN target_at > TIMESTAMP '{AS_OF}' THEN 'pending' WHEN price IS NULL THEN 'missing' ELSE 'usable' END AS status,
