@@ -50,3 +50,13 @@ def test_long_words_are_not_kept():
     short = counts.word("ab" * 6)
     counts.longest = 100
     assert counts.word("ab" * 6) == short
+
+
+def test_short_parts_are_counted_as_long_ones():
+    import random
+
+    counter, draw = token_counts.Counter([("▁", -2.0), ("a", -3.0), ("ab", -3.5), ("▁ab", -4.0), ("bc", -5.0), ("abcab", -6.0), ("é", -7.0)]), random.Random(5)
+    for _ in range(2000):
+        text = "".join(draw.choice("▁abcé🙂") for _ in range(draw.randrange(0, 30)))
+        assert counter.part(text) == counter.long_part(text)
+    assert counter.part("xyz") == (3 * counter.unknown, 3)

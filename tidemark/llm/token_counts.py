@@ -36,6 +36,9 @@ UNKNOWN = 10.0
 #: Distinct words that a worker keeps, and their most characters.
 KEPT_WORDS = 300_000
 LONG_WORD = 32
+#: Characters of a part above which only a ring of them is held, and of a text up to which its words are listed.
+RING = 256
+LISTED = 1 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PART = re.compile(f"{MARK}[^{MARK}]*")
 
@@ -60,6 +63,32 @@ class Counter:
 
     def part(self, text: str) -> tuple[float, int]:
         """Best score and its piece count of a text that is segmented as one."""
+        if len(text) > RING:
+            return self.long_part(text)
+        best, count, unknown = [0.0], [0], self.unknown
+        top, pieces, single, now = -math.inf, 0, False, 1
+        for end, (length, score) in self.automaton.iter(text):  # of one end, the longest and so the earliest start first
+            while now <= end:
+                if not single and best[-1] + unknown > top:
+                    top, pieces = best[-1] + unknown, count[-1] + len(text[now - 1].encode("utf-8", "replace"))
+                best.append(top)
+                count.append(pieces)
+                top, pieces, single = -math.inf, 0, False
+                now += 1
+            single |= length == 1
+            if best[-length] + score > top:
+                top, pieces = best[-length] + score, count[-length] + 1
+        while now <= len(text):
+            if not single and best[-1] + unknown > top:
+                top, pieces = best[-1] + unknown, count[-1] + len(text[now - 1].encode("utf-8", "replace"))
+            best.append(top)
+            count.append(pieces)
+            top, pieces, single = -math.inf, 0, False
+            now += 1
+        return best[-1], count[-1]
+
+    def long_part(self, text: str) -> tuple[float, int]:
+        """part() with a ring of the newest characters only."""
         ring = min(len(text), self.longest) + 1
         best, count = [0.0] * ring, [0] * ring
         matches = self.automaton.iter(text)
@@ -83,6 +112,8 @@ class Counter:
         return best[len(text) % ring], count[len(text) % ring]
 
     def word(self, word: str) -> tuple[float, int]:
+        if MARK not in word:
+            return self.part(MARK + word)
         score, pieces = 0.0, 0
         for part in PART.finditer(word if word.startswith(MARK) else MARK + word):
             s, p = self.part(part.group())
@@ -95,8 +126,8 @@ class Counter:
             self.known.clear()
         known, new = self.known, self.word
         words, pieces, score = 0, 0, 0.0
-        for match in WORD.finditer(text):
-            w = match.group()
+        # The words of a text of common length as one list, which takes a few times its own memory.
+        for w in WORD.findall(text) if len(text) <= LISTED else (m.group() for m in WORD.finditer(text)):
             found = known.get(w)
             if found is None:
                 found = new(w)
