@@ -173,6 +173,43 @@ def test_noisy_and_held_copies_are_all_found(spark):
     assert len(want) > 15 and any(b[4] > 0.1 * 32 * b[3] for b in want.values())
 
 
+def test_blocks_count_the_votes_of_a_plain_loop(spark, monkeypatch):
+    """Codes of few values with the highest bit set in some, held a few votes at a time: each pair's best offset among those with votes, bit by bit."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(24):
+        codes = rng.choice(np.array([1, 2, 3 << 30, 7, 1 << 31], dtype=np.int64), int(rng.integers(20, 60)))
+        rows.append((k, codes.tolist(), (rng.random(len(codes)) < 0.9).tolist(), rng.choice([0, 1, 6, 1 << 31], len(codes)).tolist()))
+    rows += [(30 + k, *(x[4:] for x in rows[k][1:])) for k in range(6)]
+    want = {}
+    for q, qc, qs, qd in rows[::3]:
+        for m, mc, ms, _ in rows:
+            votes = {}
+            for i, j in ((i, j) for i in range(len(qc)) for j in range(len(mc)) if q != m and qs[i] and ms[j]):
+                if qc[i] == mc[j] or ((qc[i] ^ mc[j]) & qd[i] == qc[i] ^ mc[j] and bin(qc[i] ^ mc[j]).count("1") == 1):
+                    votes[j - i] = votes.get(j - i, 0) + 1
+            for offset in (o for o, n in votes.items() if n >= chroma.LEAST_VOTES):
+                both = [i for i in range(len(qc)) if 0 <= i + offset < len(mc)]
+                errors = [bin(qc[i] ^ mc[i + offset]).count("1") for i in both]
+                like = sum(e <= chroma.MOST_ERRORS * 32 and qs[i] and ms[i + offset] for i, e in zip(both, errors))
+                if len(both) >= chroma.LEAST_OVERLAP and like >= chroma.LEAST_VOTES and sum(errors) <= chroma.MOST_ERRORS * 32 * len(both):
+                    want[q, m] = max(want.get((q, m), (-1,)), (like, -abs(offset), offset, len(both), sum(errors)))
+    prints = spark.createDataFrame(rows, "rec_id long, codes array<long>, sounds array<boolean>, doubts array<long>")
+    found = chroma.align_by_votes(prints, F.col("rec_id").isin([r[0] for r in rows[::3]]))[1]
+    assert {(r["query_id"], r["match_id"]): (r["votes"], -abs(r["offset"]), r["offset"], r["overlap"], r["bit_errors"]) for r in found.collect()} == want
+    assert len(want) > 20 and any(q in range(30) and m >= 30 for q, m in want)
+    sides = []
+    for some in (rows[::3], rows):
+        sizes = np.array([len(r[1]) for r in some])
+        sides.append({"ids": np.array([r[0] for r in some]), "sizes": sizes, "starts": np.cumsum(sizes) - sizes, "owner": np.repeat(np.arange(len(sizes)), sizes), "codes": np.concatenate([r[1] for r in some]).astype(np.uint32), "sounds": np.concatenate([r[2] for r in some]), "doubts": np.concatenate([r[3] for r in some]).astype(np.uint32)})
+    least = [set(zip(*map(np.ndarray.tolist, x))) for x in chroma._offsets(*sides)]
+    monkeypatch.setattr(chroma, "HELD_VOTES", 50)
+    few = [set(zip(*map(np.ndarray.tolist, x))) for x in chroma._offsets(*sides)]
+    assert len(few) > len(least) and set().union(*few) == set().union(*least) and sum(map(len, few)) == sum(map(len, least))
+    whole, parts = (sorted(zip(*map(np.ndarray.tolist, chroma._verified(*sides, *(np.array(c) for c in zip(*sorted(set().union(*few)))))))) for _ in range(2))
+    assert whole == parts
+
+
 def test_votes_find_what_all_offsets_find(spark):
     """Recall and precision of the search by votes against all offsets of all pairs: shifted, cut and noisy copies of a share of the recordings."""
     rng = np.random.default_rng(5)

@@ -9,8 +9,9 @@ Two recordings are aligned at an offset if few bits differ over the whole overla
 alignments by a histogram of offsets: all sounding frames of all recordings are looked up by the
 integers of a query's sounding frames, and by those integers with one of their DOUBTS least certain
 bits turned, which are the bits of the filters nearest to an edge. Each frame met is a vote for a
-pair and an offset, and an offset with LEAST_VOTES has its bit errors counted over the overlap. The work grows with the
-frames that share an integer, not with all pairs. align() compares all offsets of all pairs instead, blocks of
+pair and an offset, and an offset with LEAST_VOTES has its bit errors counted over the overlap. Votes are counted where a
+block of queries meets a block of recordings, so that no vote is a row of Spark: blocks are sent, which are far fewer bytes. Each
+block of queries meets each block of recordings, and within it frames meet by their integers. align() compares all offsets of all pairs instead, blocks of
 recordings at a time, by products of matrices of bits, and is what recall is measured against (README).
 
 Of a pair's alignments, the one with most like frames is given, of those the one of the least offset, forwards
@@ -36,7 +37,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +62,9 @@ MOST_PARTS = 10_000
 #: Recordings in an Arrow batch.
 BATCH_ROWS = 64
 BROADCAST_BLOCKS = 64
+#: Votes, or frames of overlaps, that are held at a time, and pairs of blocks in an Arrow batch.
+HELD_VOTES = 1 << 21
+BATCH_CELLS = 8
 BLOCK_COLUMNS = ["ids", "sizes", "codes", "sounds"]
 ALIGNED = "query_id long, match_id long, offset int, votes long, overlap int, bit_errors int"
 
@@ -234,63 +237,125 @@ def align(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     return member, right.crossJoin(lookup(left, BROADCAST_BLOCKS)).mapInPandas(aligned, ALIGNED)
 
 
-def votes(shown: DataFrame) -> DataFrame:
-    """query_id, match_id, offset and votes: sounding frames of two classes that lie that far apart and share an integer, the query's perhaps with one doubtful bit turned."""
-    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(32)])
-    frame = F.explode(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("codes") - 1).alias("at"), "codes", "sounds", "doubts"), lambda f: f["sounds"])).alias("f")
-    have = shown.select(F.col("class_id").alias("match_id"), frame).select("match_id", F.col("f.codes").alias("code"), F.col("f.at").alias("there"))
-    turned = F.transform(F.filter(masks, lambda m: F.col("f.doubts").bitwiseAND(m) != 0), lambda m: F.col("f.codes").bitwiseXOR(m))
-    want = shown.where("asks").select(F.col("class_id").alias("query_id"), frame).select("query_id", F.col("f.at").alias("here"), F.explode(F.concat(F.array("f.codes"), turned)).alias("code"))
-    met = want.join(have, "code").where("query_id != match_id").groupBy("query_id", "match_id", (F.col("there") - F.col("here")).alias("offset"))
-    return met.agg(F.count("*").alias("votes"))
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2 and so on up to each size, end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _wanted(codes: np.ndarray, sounds: np.ndarray, doubts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sounding frames, one for each integer they are looked up by, in order, and those integers: their own, and it with one doubtful bit turned."""
+    at = np.flatnonzero(sounds)
+    frame, bit = np.nonzero((doubts[at, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1))
+    place, code = np.r_[at, at[frame]], np.r_[codes[at], codes[at[frame]] ^ (np.uint32(1) << bit.astype(np.uint32))]
+    order = np.argsort(place, kind="stable")
+    return place[order], code[order]
+
+
+def _offsets(q: dict[str, np.ndarray], m: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, match and offset (places within the two blocks, and frames) with LEAST_VOTES, all of a query at once, from about HELD_VOTES votes at a time."""
+    place, code = _wanted(q["codes"], q["sounds"], q["doubts"])
+    there = np.flatnonzero(m["sounds"])
+    there = there[np.argsort(m["codes"][there], kind="stable")]
+    shown = m["codes"][there]
+    low = np.searchsorted(shown, code, "left")
+    met = np.searchsorted(shown, code, "right") - low
+    some = met > 0
+    place, low, met = place[some], low[some], met[some]
+    longest = int(q["sizes"].max())
+    span = longest + int(m["sizes"].max())
+    upto = np.cumsum(met)
+    ends = np.searchsorted(q["owner"][place], np.arange(len(q["sizes"])), "right")  # where each query's lookups end
+    begin = 0
+    while begin < len(met):
+        before = int(upto[begin - 1]) if begin else 0
+        fitting = ends[(ends > begin) & (upto[np.maximum(ends, 1) - 1] - before <= HELD_VOTES)]
+        stop = int(fitting.max()) if len(fitting) else int(ends[ends > begin].min())
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        while begin < stop:  # one query alone may have more votes than are held at a time
+            before = int(upto[begin - 1]) if begin else 0
+            part = slice(begin, min(stop, max(begin + 1, int(np.searchsorted(upto, before + HELD_VOTES, "right")))))
+            here, frame = np.repeat(place[part], met[part]), there[np.repeat(low[part], met[part]) + _runs(met[part])]
+            mine, other = q["owner"][here], m["owner"][frame]
+            offset = (frame - m["starts"][other]) - (here - q["starts"][mine])
+            new, n = np.unique((mine * len(m["sizes"]) + other) * span + offset + longest, return_counts=True)
+            if len(keys):
+                new, at = np.unique(np.r_[keys, new], return_inverse=True)
+                n = np.bincount(at, weights=np.r_[counts, n]).astype(np.int64)
+            keys, counts, begin = new, n, part.stop
+        keys = keys[counts >= LEAST_VOTES]
+        pair, offset = keys // span, keys % span - longest
+        mine, other = pair // len(m["sizes"]), pair % len(m["sizes"])
+        differ = q["ids"][mine] != m["ids"][other]
+        yield mine[differ], other[differ], offset[differ]
+
+
+def _verified(q: dict[str, np.ndarray], m: dict[str, np.ndarray], mine: np.ndarray, other: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs and offsets those within the bounds: mine, other, offset, like frames, overlap and bit errors."""
+    first = np.maximum(0, -offset)
+    overlap = np.minimum(q["sizes"][mine], m["sizes"][other] - offset) - first
+    long = overlap >= LEAST_OVERLAP
+    mine, other, offset, first, overlap = (x[long] for x in (mine, other, offset, first, overlap))
+    upto, begin, like, total = np.cumsum(overlap), 0, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    while begin < len(overlap):
+        before = int(upto[begin - 1]) if begin else 0
+        part = slice(begin, max(begin + 1, int(np.searchsorted(upto, before + HELD_VOTES, "right"))))
+        n, steps = overlap[part], _runs(overlap[part])
+        here = np.repeat(q["starts"][mine[part]] + first[part], n) + steps
+        frame = np.repeat(m["starts"][other[part]] + first[part] + offset[part], n) + steps
+        errors = np.bitwise_count(q["codes"][here] ^ m["codes"][frame])
+        alike = (errors <= MOST_ERRORS * 32) & q["sounds"][here] & m["sounds"][frame]
+        starts = np.cumsum(n) - n
+        like.append(np.add.reduceat(alike, starts, dtype=np.int64))
+        total.append(np.add.reduceat(errors, starts, dtype=np.int64))
+        begin = part.stop
+    like, total = np.concatenate(like), np.concatenate(total)
+    near = (like >= LEAST_VOTES) & (total <= MOST_ERRORS * 32 * overlap)
+    return tuple(x[near] for x in (mine, other, offset, like, overlap, total))
+
+
+def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best alignment of each pair of recordings of two blocks, over the offsets with LEAST_VOTES."""
+
+    def side(row: object, name: str) -> dict[str, np.ndarray]:
+        sizes = np.asarray(getattr(row, f"{name}_sizes"), dtype=np.int64)
+        codes, sounds = np.asarray(getattr(row, f"{name}_codes")).astype(np.uint32), np.asarray(getattr(row, f"{name}_sounds")).astype(bool)
+        return {"ids": np.asarray(getattr(row, f"{name}_ids"), dtype=np.int64), "sizes": sizes, "starts": np.cumsum(sizes) - sizes, "owner": np.repeat(np.arange(len(sizes)), sizes), "codes": codes, "sounds": sounds}
 
-
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best alignment of each pair among its offsets, from rows query_id, match_id, offsets, and codes and sounds of both."""
     for batch in batches:
         rows = []
-        for k in range(batch.num_rows):
-            query_id, match_id, offsets = (batch.column(c)[k].as_py() for c in range(3))
-            q, q_sounds, m, m_sounds = (np.asarray(batch.column(c)[k].values.to_numpy(zero_copy_only=False)) for c in range(3, 7))
-            best = None
-            for offset in offsets:
-                start, stop = max(0, -offset), min(len(q), len(m) - offset)
-                n = stop - start
-                if n < LEAST_OVERLAP:
-                    continue
-                here, there = slice(start, stop), slice(start + offset, stop + offset)
-                errors = np.bitwise_count(q[here] ^ m[there])
-                total = int(errors.sum())
-                like = int(((errors <= MOST_ERRORS * 32) & q_sounds[here] & m_sounds[there]).sum())
-                if like >= LEAST_VOTES and total <= MOST_ERRORS * 32 * n:
-                    best = max(best or (-1,), (like, -abs(offset), offset, n, total))
-            if best is not None:
-                rows.append((query_id, match_id, best[2], best[0], best[3], best[4]))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        columns = list(zip(*rows)) if rows else [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "match_id", "offset", "votes", "overlap", "bit_errors"])
+        for row in batch.itertuples(index=False):
+            q, m = side(row, "q"), side(row, "m")
+            q["doubts"] = np.asarray(row.q_doubts).astype(np.uint32)
+            for offsets in _offsets(q, m):
+                mine, other, offset, like, overlap, total = _verified(q, m, *offsets)
+                order = np.lexsort((offset, -np.abs(offset), like, other, mine))
+                mine, other, offset, like, overlap, total = (x[order] for x in (mine, other, offset, like, overlap, total))
+                best = np.flatnonzero(np.r_[(mine[1:] != mine[:-1]) | (other[1:] != other[:-1]), True][: len(mine)])
+                rows.append(np.stack([q["ids"][mine], m["ids"][other], offset, like, overlap, total], axis=1)[best])
+        found = np.concatenate(rows) if rows else np.zeros((0, 6), dtype=np.int64)
+        yield pd.DataFrame(found, columns=["query_id", "match_id", "offset", "votes", "overlap", "bit_errors"])
 
 
 def align_by_votes(prints: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     """What align() gives, but of pairs and offsets with LEAST_VOTES only; prints has doubts."""
     member, shown = _classes(prints, query)
-    offsets = votes(shown).where(F.col("votes") >= LEAST_VOTES).groupBy("query_id", "match_id").agg(F.collect_list("offset").alias("offsets"))
-    small = F.transform("codes", lambda c: F.when(c >= 1 << 31, c - (1 << 32)).otherwise(c).cast("int"))
-    side = shown.select("class_id", small.alias("codes"), "sounds")
-    pairs = offsets.join(side.toDF("query_id", "q_codes", "q_sounds"), "query_id").join(side.toDF("match_id", "m_codes", "m_sounds"), "match_id")
-    return member, pairs.select("query_id", "match_id", "offsets", "q_codes", "q_sounds", "m_codes", "m_sounds").mapInArrow(verified, ALIGNED)
+    left = blocks(shown.where("asks"), "doubts").select(*[F.col(c).alias(f"q_{c}") for c in [*BLOCK_COLUMNS, "doubts"]])
+    right = blocks(shown).select(*[F.col(c).alias(f"m_{c}") for c in BLOCK_COLUMNS])
+    right = right.repartition(max(1, min(MOST_PARTS, right.count())))
+    with arrow_rows(shown.sparkSession, BATCH_CELLS):
+        return member, cut(right.crossJoin(lookup(left, BROADCAST_BLOCKS)).mapInPandas(voted, ALIGNED))
 
 
-def blocks(shown: DataFrame) -> DataFrame:
-    """Recordings of like lengths, about BLOCK frames together, as ids, sizes, and codes and sounds end to end."""
+def blocks(shown: DataFrame, *more: str) -> DataFrame:
+    """Recordings of like lengths, about BLOCK frames together, as ids, sizes, and codes, sounds and more of the kind end to end."""
     like = F.ceil(F.log2(F.size("codes"))).cast("int")
     counts = {r["like"]: r["count"] for r in shown.groupBy(like.alias("like")).count().collect()}  # a row per power of two
     n = F.lit(1)
     for k, count in counts.items():
         n = F.when(like == k, -(-count // max(1, BLOCK >> k))).otherwise(n)
-    rows = shown.select(like.alias("like"), F.pmod(F.xxhash64("class_id"), n).alias("block"), F.struct("class_id", "codes", "sounds").alias("r"))
+    rows = shown.select(like.alias("like"), F.pmod(F.xxhash64("class_id"), n).alias("block"), F.struct("class_id", "codes", "sounds", *more).alias("r"))
     together = rows.groupBy("like", "block").agg(F.collect_list("r").alias("rs"))
-    return cut(together.select(F.col("rs.class_id").alias("ids"), F.transform("rs", lambda r: F.size(r["codes"])).alias("sizes"), F.flatten("rs.codes").alias("codes"), F.flatten("rs.sounds").alias("sounds")))
+    return cut(together.select(F.col("rs.class_id").alias("ids"), F.transform("rs", lambda r: F.size(r["codes"])).alias("sizes"), *[F.flatten(f"rs.{c}").alias(c) for c in ("codes", "sounds", *more)]))
 
 
 def _unpacked(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
