@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import near_dedup
@@ -136,3 +137,24 @@ def test_last_round_alone_links_all_over_many_blocks(spark, monkeypatch):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result(spark, rows, 2)}
     assert found == brute(rows, 2)
     assert len({c for _, c in found.values()}) > 1
+
+
+def test_last_round_gives_likely_pairs_in_bounded_batches(monkeypatch):
+    """A bucket of like members makes as many pairs as the square of its size, which aren't held at once."""
+    monkeypatch.setattr(near_dedup, "PAIRS_HELD", 256, raising=False)
+    n, sketch = 60, np.arange(near_dedup.BUCKETS, dtype=np.uint16).tobytes()
+    rows = [(7, 0, 0, 0, side, 0, k, k, 100, False, sketch) for side in (0, 1) for k in range(n)]
+    names = [*near_dedup.CELL, "side", "i", "node", "root", "n_shingles", "main", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) if isinstance(x[0], bytes) else pa.array(x) for x in zip(*rows)], names=names)
+    out = list(near_dedup._likely(iter([batch])))
+    found, held, most = [], set(), 0
+    for part in out:
+        for row in part.to_pylist():
+            if row["names"] is None:
+                held.add(row["node"])
+            else:
+                assert held.issuperset(row["names"])
+                found += [(a, row["node"]) for a in row["names"]]
+        most = max(most, sum(len(r["names"] or ()) for r in part.to_pylist()))
+    assert sorted(found) == [(a, b) for a in range(n) for b in range(n) if a < b]
+    assert most <= 256

@@ -47,6 +47,8 @@ ROUNDS = 3
 PERCENT = 80
 #: Sets in an Arrow batch; rows of bands, of sketches and of sets in a task, so that small tables are few tasks.
 BATCH_ROWS = 2000
+#: Rows in an Arrow batch that has both a set and names, and pairs of members that are compared at once.
+FULL_ROWS, PAIRS_HELD = 200, 1 << 17
 BAND_ROWS, SKETCH_ROWS, SET_ROWS = 500_000, 50_000, 10_000
 #: Left and right members whose sketches meet in one task of the last round, and shingles of the left sets that are held at once when full sets meet.
 BLOCK, PIECE = 8192, 65536
@@ -232,6 +234,7 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     placed, open_ = _open(members, tree, ROUNDS)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         near = packed(cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node"))), SKETCH_ROWS)
+    with arrow_rows(docs.sparkSession, FULL_ROWS):
         edges = cut(_within_cells(near, chosen, sets))
     if edges.limit(1).count():
         tree = components(tree.unionByName(edges)).toDF("u", "v")
@@ -245,8 +248,8 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A cell's right members with the left ones that may be similar to each, as names, from rows sorted by cell with the left ones first.
 
-    Left members that a batch names are rows too, without names. Holds the left members of one cell, at most
-    about BLOCK, and a batch of right ones.
+    Left members that are named are rows too, without names, some more than once. Holds the left members of
+    one cell, at most about BLOCK, a batch of right ones and about PAIRS_HELD pairs at most.
     """
     cell, left = None, []
     luck = np.asarray(chance())
@@ -257,7 +260,6 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         main, side = (np.asarray(col[name].cast(pa.int8())) for name in ("main", "side"))
         node, root, size, at = (np.asarray(col[name]) for name in ("node", "root", "n_shingles", "i"))
         sketch = np.frombuffer(b"".join(col["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
-        found, named = [], []
         for begin, end in zip(start, [*start[1:], len(cells)]):
             if (key := tuple(cells[begin])) != cell:
                 cell, left = key, []
@@ -268,34 +270,35 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             a, ra, na, ka = (np.concatenate(x) for x in zip(*left))
             left = [[a, ra, na, ka]]
-            for low in range(middle, end, 128):
-                part = slice(low, min(end, low + 128))
+            named, step = np.zeros(len(a), dtype=bool), max(1, PAIRS_HELD // len(a))
+            for low in range(middle, end, step):
+                part = slice(low, min(end, low + step))
                 small, large = np.minimum(na[:, None], size[part]), np.maximum(na[:, None], size[part])
                 meet = (ra[:, None] != root[part]) & (100 * small >= PERCENT * large) & ((main[part] == 1) | (a[:, None] < node[part]))
                 x, y = np.nonzero(meet)
+                found = []
                 for k in range(0, len(x), 8192):
                     u, v = x[k : k + 8192], y[k : k + 8192] + low
                     same = ka[u] == sketch[v]
                     by_chance = luck[np.minimum(len(luck), np.floor(np.log2(np.maximum(na[u], size[v]))).astype(int) + 1) - 1]
                     near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= PERCENT / 100 - MARGIN
                     first = same[near].reshape(-1, BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1) == at[v[near]]
-                    u, v = u[near][first], v[near][first]
-                    if len(u):
-                        found.append((v, a[u]))
-                        named.append((np.full(len(u), begin), a[u]))
-        if found:
-            at_cell, once = (np.concatenate(x) for x in zip(*named))
-            order = np.lexsort((once, at_cell))
-            at_cell, once = at_cell[order], once[order]
-            new = np.r_[True, (at_cell[1:] != at_cell[:-1]) | (once[1:] != once[:-1])]
-            nothing = pa.nulls(int(new.sum()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells[at_cell[new]].T), pa.array(once[new]), nothing], names=[*CELL, "node", "names"])
-            right, names = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(right, kind="stable")
-            right, names = right[order], names[order]
-            new = np.flatnonzero(np.r_[True, right[1:] != right[:-1]])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(right)], pa.int32()), pa.array(names))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells[right[new]].T), pa.array(node[right[new]]), lists], names=[*CELL, "node", "names"])
+                    found.append((v[near][first], u[near][first]))
+                if not sum(len(v) for v, _ in found):
+                    continue
+                right, names = (np.concatenate(x) for x in zip(*found))
+                new = np.setdiff1d(names, np.flatnonzero(named))
+                named[new] = True
+                if len(new):
+                    yield _rows(cells[np.full(len(new), begin)], a[new], pa.nulls(len(new), pa.list_(pa.int64())))
+                order = np.argsort(right, kind="stable")
+                right, names = right[order], a[names[order]]
+                new = np.flatnonzero(np.r_[True, right[1:] != right[:-1]])
+                yield _rows(cells[right[new]], node[right[new]], pa.ListArray.from_arrays(pa.array(np.r_[new, len(right)], pa.int32()), pa.array(names)))
+
+
+def _rows(cells: np.ndarray, node: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells.T), pa.array(node), names], names=[*CELL, "node", "names"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +313,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, left = key, {}
             mine, own = node[row].as_py(), np.asarray(sets[row].values)
             if not names[row].is_valid:
-                left[mine] = own
+                left[mine] = own.copy()  # a view would keep the whole batch
                 continue
             for other in names[row].as_py():
                 both = int((own[np.minimum(np.searchsorted(own, left[other]), len(own) - 1)] == left[other]).sum())
