@@ -143,8 +143,8 @@ def test_last_round_gives_likely_pairs_in_bounded_batches(monkeypatch):
     """A bucket of like members makes as many pairs as the square of its size, which aren't held at once."""
     monkeypatch.setattr(near_dedup, "PAIRS_HELD", 256, raising=False)
     n, sketch = 60, np.arange(near_dedup.BUCKETS, dtype=np.uint16).tobytes()
-    rows = [(7, 0, 0, 0, side, 0, k, k, 100, False, sketch) for side in (0, 1) for k in range(n)]
-    names = [*near_dedup.CELL, "side", "i", "node", "root", "n_shingles", "main", "sketch"]
+    rows = [(32, 0, 0, 0, side, k, k, 100, False, sketch) for side in (0, 1) for k in range(n)]
+    names = [*near_dedup.CELL, "side", "node", "root", "n_shingles", "main", "sketch"]
     batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) if isinstance(x[0], bytes) else pa.array(x) for x in zip(*rows)], names=names)
     out = list(near_dedup._likely(iter([batch])))
     found, held, most = [], set(), 0
@@ -158,3 +158,27 @@ def test_last_round_gives_likely_pairs_in_bounded_batches(monkeypatch):
         most = max(most, sum(len(r["names"] or ()) for r in part.to_pylist()))
     assert sorted(found) == [(a, b) for a in range(n) for b in range(n) if a < b]
     assert most <= 256
+
+
+def test_members_are_the_bands_that_several_nodes_share(spark):
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 60000, (9, near_dedup.BUCKETS)).astype(np.uint16)
+    sketches[1, :8], sketches[2, :8], sketches[5, -4:] = sketches[0, :8], sketches[0, :8], sketches[4, -4:]
+    classes = spark.createDataFrame([(k - 4, bytearray(x.tobytes())) for k, x in enumerate(sketches)], "node long, sketch binary")
+    found = defaultdict(set)
+    for r in near_dedup._members(classes).collect():
+        found[r["band"]].add(r["node"])
+    last = near_dedup.BUCKETS // near_dedup.BAND - 1
+    assert sorted((band & last, sorted(nodes)) for band, nodes in found.items()) == [(0, [-4, -3, -2]), (1, [-4, -3, -2]), (last, [0, 1])]
+
+
+def test_nodes_of_one_lead_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LED_ROWS", 3)
+    rng = random.Random(4)
+    held = {k: sorted({*range(100 - k), *(1000 * k + i for i in range(k))}) for k in range(1, 20)}
+    sets = spark.createDataFrame(sorted(held.items(), key=lambda _: rng.random()), "node long, set array<bigint>")
+    pairs = spark.createDataFrame([(k, 1) for k in range(2, 15)] + [(k, 15) for k in range(16, 20)], "node long, lead long")
+    want = {(a, b) for a, b in pairs.collect() if 100 * len({*held[a]} & {*held[b]}) >= 80 * len({*held[a]} | {*held[b]})}
+    found = near_dedup._confirmed(pairs, sets).collect()
+    assert {(r["u"], r["v"]) for r in found} == want and len(found) == len(want)
+    assert 0 < len(want) < pairs.count()

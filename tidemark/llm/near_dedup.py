@@ -11,8 +11,8 @@ estimated from the agreeing registers, less those that agree by chance, and a pa
 threshold (five standard errors) goes; the rest is confirmed on the full sets.
 
 Groups of copies are linked without all their pairs. In each of ROUNDS rounds every band's bucket
-has one leader, and members of other components are compared with it; components then grow by
-what was confirmed. At last, in each bucket that still holds several components, the members
+has one leader, and members of other components are held against it; of its leaders, the one that
+seems most like a member is compared with it, and components then grow by what was confirmed. At last, in each bucket that still holds several components, the members
 outside its largest component are compared with all members of other components, so that no link
 between components goes untested: in cells that are dealt over tasks, where full sets are confirmed too.
 
@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, ascii_lower, cut, let, lookup, packed, ready, words
@@ -49,7 +49,9 @@ PERCENT = 80
 BATCH_ROWS = 2000
 #: Rows in an Arrow batch that has both a set and names, and pairs of members that are compared at once.
 FULL_ROWS, PAIRS_HELD = 200, 1 << 17
-BAND_ROWS, SKETCH_ROWS, SET_ROWS = 500_000, 50_000, 10_000
+BAND_ROWS, SKETCH_ROWS, SET_ROWS = 100_000, 20_000, 4_000
+#: Nodes whose sets meet that of their lead in a part.
+LED_ROWS = 1024
 #: Left and right members whose sketches meet in one task of the last round, and shingles of the left sets that are held at once when full sets meet.
 BLOCK, PIECE = 8192, 65536
 HELD_SHINGLES = 2 << 20
@@ -165,21 +167,25 @@ def estimate(a: Column, b: Column, n: Column) -> Column:
     return (same / BUCKETS - luck) / (1 - luck)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough."""
+def _best(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (node, lead), each node's lead that seems most like it, if that may be similar enough; links with others are left to later rounds."""
     side = classes.select("node", "n_shingles", "sketch")
-    likely = (
-        pairs.join(side.toDF("a", "na", "ka"), "a")
-        .join(side.toDF("b", "nb", "kb"), "b")
-        .where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        .where(estimate(F.col("ka"), F.col("kb"), F.greatest("na", "nb")) >= PERCENT / 100 - MARGIN)
-        .select("a", "b")
-    )
-    likely = packed(cut(likely), BAND_ROWS)
-    named = lookup(cut(likely.select(F.col("b").alias("node")).distinct()))
-    full = sets.toDF("a", "sa").join(lookup(likely), "a").join(sets.join(named, "node", "left_semi").toDF("b", "sb"), "b")  # sets that no pair names aren't shuffled
-    common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return common.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    met = pairs.join(side.toDF("node", "na", "ka"), "node").join(side.toDF("lead", "nb", "kb"), "lead").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    likely = met.select("node", "lead", estimate(F.col("ka"), F.col("kb"), F.greatest("na", "nb")).alias("like")).where(F.col("like") >= PERCENT / 100 - MARGIN)
+    return likely.groupBy("node").agg(F.max_by("lead", F.struct("like", "lead")).alias("lead"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges u, v: of pairs (node, lead), those whose full sets are similar enough.
+
+    A node's set goes to its lead once. A lead of many nodes has them dealt into parts of LED_ROWS, to each of which its set goes.
+    """
+    loads = lookup(cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / LED_ROWS).alias("parts"))))
+    dealt = lookup(cut(pairs.join(loads, "lead").select("node", "lead", F.pmod(F.xxhash64("node", F.lit(17)), F.col("parts")).alias("part"))))
+    led = sets.join(dealt, "node").select("lead", "part", F.col("node").alias("u"), F.col("set").alias("su"))
+    leads = sets.toDF("lead", "sv").join(loads, "lead").select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "sv")
+    common = led.join(leads, ["lead", "part"]).select("u", F.col("lead").alias("v"), F.size(F.array_intersect("su", "sv")).alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
+    return common.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
 def _one_document(rows: DataFrame) -> DataFrame:
@@ -188,6 +194,19 @@ def _one_document(rows: DataFrame) -> DataFrame:
     return rows.join(lookup(least), "doc_id").where("key1 != u").select("u", F.col("key1").alias("v")).distinct()
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """band and node of the bands that several nodes share. A band's low bits are its number.
+
+    Rows meet their neighbours in the order of bands, so that bands are shuffled once and not counted first.
+    """
+    width, bands = 2 * BAND, BUCKETS // BAND
+    rows = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i"), "sketch").select(
+        "node", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).bitwiseAND(-bands).bitwiseOR(F.col("i").cast("long")).alias("band")
+    )
+    order = Window.partitionBy("band").orderBy("node")
+    return rows.select("band", "node", F.lag("node").over(order).alias("_low"), F.lead("node").over(order).alias("_high")).where("_low < node OR _high > node").select("band", "node")
+
+
 def _open(members: DataFrame, tree: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """The members with their components' roots, and the bands of several components with the leader of this turn."""
     roots = tree.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -207,12 +226,7 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     rows = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     grouped = rows.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("sketch").alias("sketch"))
     classes = packed(cut(grouped.withColumn("node", F.col("key1"))), SKETCH_ROWS)
-    width = 2 * BAND
-    bands = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1))).alias("i"), "sketch").select(
-        "node", "i", F.xxhash64("i", F.substring("sketch", F.col("i") * width + 1, F.lit(width))).alias("band")
-    )
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = packed(cut(bands.join(shared, "band").select("band", "i", "node")), BAND_ROWS)
+    members = packed(cut(_members(classes)), BAND_ROWS)
     active = lookup(cut(members.select("node").distinct()))
     chosen = packed(cut(classes.join(active, "node", "left_semi").select("node", "n_shingles", "sketch", "row")), SKETCH_ROWS)
     ids = lookup(chosen.select("node", F.col("row.doc_id").alias("doc_id"), F.col("row.mark").alias("mark")))
@@ -223,14 +237,15 @@ def _linked(docs: DataFrame, size: int, by_id: bool) -> tuple[DataFrame, DataFra
     sets = packed(sets, SET_ROWS)
     none = chosen.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     tree = components(_one_document(rows)).toDF("u", "v") if by_id else cut(none)
-    tested = cut(none).toDF("a", "b")
+    tested = cut(none).toDF("node", "lead")
     for turn in range(ROUNDS):
         placed, open_ = _open(members, tree, turn)
-        found = placed.join(open_, "band").where("root != lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        pairs = packed(cut(found.distinct().join(tested, ["a", "b"], "left_anti")), BAND_ROWS)
-        if pairs.limit(1).count():
-            tree = components(tree.unionByName(_confirmed(pairs, chosen, sets))).toDF("u", "v")
-            tested = tested.unionByName(pairs)
+        found = placed.join(open_, "band").where("root != lead_root").select("node", "lead")
+        pairs = packed(cut(found.distinct().join(tested, ["node", "lead"], "left_anti")), BAND_ROWS)
+        best = packed(cut(_best(pairs, chosen)), BAND_ROWS)
+        if best.limit(1).count():
+            tree = components(tree.unionByName(_confirmed(best, sets))).toDF("u", "v")
+            tested = tested.unionByName(best)
     placed, open_ = _open(members, tree, ROUNDS)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         near = packed(cut(_rest(placed.join(open_.select("band"), "band").join(chosen.select("node", "n_shingles", "sketch"), "node"))), SKETCH_ROWS)
@@ -258,7 +273,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.stack([np.asarray(col[name]) for name in CELL], axis=1)
         start = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]) if len(cells) else []
         main, side = (np.asarray(col[name].cast(pa.int8())) for name in ("main", "side"))
-        node, root, size, at = (np.asarray(col[name]) for name in ("node", "root", "n_shingles", "i"))
+        node, root, size = (np.asarray(col[name]) for name in ("node", "root", "n_shingles"))
+        at = cells[:, 0] & (BUCKETS // BAND - 1)  # the number of the band
         sketch = np.frombuffer(b"".join(col["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
         for begin, end in zip(start, [*start[1:], len(cells)]):
             if (key := tuple(cells[begin])) != cell:
@@ -340,12 +356,13 @@ def _within_cells(near: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
     held = lefts.join(loads, CELL).select(*CELL, part_of(F.col("node")).alias("part"), "node", F.lit(None).cast("array<bigint>").alias("names"))
     spread = near.where("names IS NOT NULL").join(loads, CELL).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     spread = spread.withColumn("names", F.when(F.col("parts") == 1, F.col("names")).otherwise(F.filter("names", lambda n: part_of(n) == F.col("part")))).where(F.size("names") > 0)
-    rows = held.unionByName(spread.select(*PART, "node", "names")).join(sets, "node").select(*PART, "node", "names", "set")
+    met = lookup(cut(near.select("node").distinct()))  # sets of no likely pair aren't shuffled
+    rows = held.unionByName(spread.select(*PART, "node", "names")).join(sets.join(met, "node", "left_semi"), "node").select(*PART, "node", "names", "set")
     return rows.repartition(*PART).sortWithinPartitions(*PART, F.col("names").isNotNull()).mapInArrow(_alike, "u long, v long")
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """Cells, nodes and names of the members (band, i, node, root, n_shingles, sketch) of a bucket that may be similar to others, which names lists, of other components.
+    """Cells, nodes and names of the members (band, node, root, n_shingles, sketch) of a bucket that may be similar to others, which names lists, of other components.
 
     Not both are of the bucket's largest component. Sizes within the threshold differ by at most
     one class of a logarithmic scale, so only those of neighbouring classes meet: the members
@@ -370,7 +387,7 @@ def _rest(members: DataFrame) -> DataFrame:
         rows = side.join(cells, ["band", "scale"]).withColumn(own, F.pmod(F.xxhash64("node", F.lit(11)), F.col(f"{own}s")))
         rows = rows.withColumn(every, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{every}s") - 1)))
         return rows.withColumn("side", F.lit(rank)).select(
-            *CELL, "side", "i", "node", "root", "n_shingles", "main", "sketch"
+            *CELL, "side", "node", "root", "n_shingles", "main", "sketch"
         )
 
     both = dealt(left, "block", "piece", 0).unionByName(dealt(sized, "piece", "block", 1))
